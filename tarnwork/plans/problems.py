@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwork.model import STATES
+from tarnwork.operators import nested
 from tarnwork.operators import tree_agg as tree
+from tarnwork.runtime import staged
 from tarnwork.sources import distinct_rows, table
 
 #: A chunk's rows, and the merges per round, of the queries below.
@@ -32,12 +34,34 @@ def p1_summary(spark: SparkSession, d: str) -> DataFrame:
     return tree.by_fields(jobs, ["queue", "kind"], measures, **TREE)
 
 
-QUERIES = {"p1_found": p1_found, "p1_summary": p1_summary}
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every child record of args, metadata and errors."""
+    jobs = table(spark, d, "job_row").select("id", "args", "metadata", "errors")
+    return nested.child_records(jobs, "id", ["args", "metadata"], ["errors"]).select(F.col("key").alias("id"), "path", "pos")
+
+
+def p4_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The child records of args and metadata with their fields (as JSON) and
+    the record each lies in."""
+    jobs = table(spark, d, "job_row").select("id", "args", "metadata")
+    links = nested.linked(staged(nested.label(jobs, "id", ["args", "metadata"]), "nodes"))
+    return links.select(F.col("key").alias("id"), "path", "pos", "pre", "post", F.to_json("fields").alias("fields"), "parent_path", "parent_pos")
+
+
+def p4_errors(spark: SparkSession, d: str) -> DataFrame:
+    """The table of the elements of errors."""
+    jobs = table(spark, d, "job_row").select("id", "errors").distinct()
+    item = nested.elements(jobs, "id", "errors")
+    return item.select(F.col("key").alias("id"), F.col("pos").cast("int").alias("pos"), *(F.col(f"item.{c}").alias(c) for c in ("at", "attempt", "error", "trace")))
+
+
+QUERIES = {"p1_found": p1_found, "p1_summary": p1_summary, "p4_found": p4_found, "p4_tables": p4_tables, "p4_errors": p4_errors}
 
 _JOBS = "(SELECT DISTINCT id, queue, kind, state, attempt, attempted_at, scheduled_at FROM job_row)"
 _FIELDS = f"(SELECT 'queue' AS field, queue AS value, * FROM {_JOBS} UNION ALL SELECT 'kind' AS field, kind AS value, * FROM {_JOBS})"
 SQL = {
     "p1_found": f"SELECT field, value FROM {_FIELDS} WHERE value IS NOT NULL GROUP BY field, value HAVING count(*) * 100 >= 3 * (SELECT count(*) FROM {_JOBS})",
+    "p4_errors": "SELECT id, pos - 1 AS pos, e.at AS at, e.attempt AS attempt, e.error AS error, e.trace AS trace FROM (SELECT id, unnest(errors) AS e, generate_subscripts(errors, 1) AS pos FROM (SELECT DISTINCT id, errors FROM job_row WHERE len(errors) > 0)) WHERE e IS NOT NULL",
     "p1_summary": "SELECT field, value, count(*) AS n, "
     + ", ".join(f"count(*) FILTER (WHERE state = '{s}') AS n_{s}" for s in STATES)
     + f", CAST(sum(attempt) AS BIGINT) AS attempts, max(attempted_at) AS last_attempted_at, min(scheduled_at) AS first_scheduled_at FROM {_FIELDS} GROUP BY field, value",
