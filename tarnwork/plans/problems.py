@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwork.model import STATES
-from tarnwork.operators import nested
+from tarnwork.operators import drift, nested
 from tarnwork.operators import tree_agg as tree
 from tarnwork.runtime import staged
 from tarnwork.sources import distinct_rows, table
@@ -34,6 +34,23 @@ def p1_summary(spark: SparkSession, d: str) -> DataFrame:
     return tree.by_fields(jobs, ["queue", "kind"], measures, **TREE)
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every change of a field of a kind's args between an archiver's files."""
+    return drift.changes(table(spark, d, "job_archive"))
+
+
+def p3_unified(spark: SparkSession, d: str) -> DataFrame:
+    """All archived jobs as one table: a row per line and field, under the
+    field's current name."""
+    archive = table(spark, d, "job_archive")
+    return drift.unified(archive, drift.changes(archive), keep=["line_no"])
+
+
+def p3_columns(spark: SparkSession, d: str) -> DataFrame:
+    """The consistent columns per kind of :func:`p3_unified`."""
+    return drift.columns_of(p3_unified(spark, d))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Every child record of args, metadata and errors."""
     jobs = table(spark, d, "job_row").select("id", "args", "metadata", "errors")
@@ -55,7 +72,7 @@ def p4_errors(spark: SparkSession, d: str) -> DataFrame:
     return item.select(F.col("key").alias("id"), F.col("pos").cast("int").alias("pos"), *(F.col(f"item.{c}").alias(c) for c in ("at", "attempt", "error", "trace")))
 
 
-QUERIES = {"p1_found": p1_found, "p1_summary": p1_summary, "p4_found": p4_found, "p4_tables": p4_tables, "p4_errors": p4_errors}
+QUERIES = {"p1_found": p1_found, "p1_summary": p1_summary, "p3_found": p3_found, "p3_unified": p3_unified, "p3_columns": p3_columns, "p4_found": p4_found, "p4_tables": p4_tables, "p4_errors": p4_errors}
 
 _JOBS = "(SELECT DISTINCT id, queue, kind, state, attempt, attempted_at, scheduled_at FROM job_row)"
 _FIELDS = f"(SELECT 'queue' AS field, queue AS value, * FROM {_JOBS} UNION ALL SELECT 'kind' AS field, kind AS value, * FROM {_JOBS})"
