@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwork.llm import percentiles as pct
+from tarnwork.llm import truncation
 from tarnwork.llm.topn import top_n
 from tarnwork.runtime import micros, staged
 from tarnwork.sources import distinct_rows, table
@@ -48,11 +49,23 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return top_n(jobs, "queue", ["priority", "scheduled_at", "id"], 5).select("queue", "id")
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """The documents whose text was cut off."""
+    return truncation.judge(table(spark, d, "documents"), "doc_id", "text", "source").where("cut").select("doc_id")
+
+
+def p8_sources(spark: SparkSession, d: str) -> DataFrame:
+    """How often each source cuts its texts."""
+    return truncation.by_source(truncation.judge(table(spark, d, "documents"), "doc_id", "text", "source"))
+
+
 QUERIES = {
     "p2_wait_percentiles": p2_wait_percentiles,
     "p2_wait_bounded": p2_wait_bounded,
     "p2_wait_merged": p2_wait_merged,
     "p5_found": p5_found,
+    "p8_found": p8_found,
+    "p8_sources": p8_sources,
 }
 
 _WAITS = "(SELECT queue, CAST(CAST(scheduled_at AS DATE) AS VARCHAR) AS day, epoch_us(attempted_at) - epoch_us(scheduled_at) AS wait_us FROM (SELECT DISTINCT id, queue, attempted_at, scheduled_at FROM job_row WHERE attempted_at IS NOT NULL AND scheduled_at IS NOT NULL))"
