@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnwork.llm import leakage
 from tarnwork.llm import percentiles as pct
 from tarnwork.llm import truncation
 from tarnwork.llm.topn import top_n
@@ -49,6 +50,19 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return top_n(jobs, "queue", ["priority", "scheduled_at", "id"], 5).select("queue", "id")
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that hold a passage of an evaluation item, with the item."""
+    found = leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_item"))
+    return found.where("kind = 'passage'").select("doc_id", "item_id")
+
+
+def p7_items(spark: SparkSession, d: str) -> DataFrame:
+    """Every item with the number of documents it leaked into."""
+    items = table(spark, d, "eval_item").select("item_id", "suite", "split")
+    n = p7_found(spark, d).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
+    return items.join(n, "item_id", "left").fillna(0, ["documents"])
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """The documents whose text was cut off."""
     return truncation.judge(table(spark, d, "documents"), "doc_id", "text", "source").where("cut").select("doc_id")
@@ -64,6 +78,8 @@ QUERIES = {
     "p2_wait_bounded": p2_wait_bounded,
     "p2_wait_merged": p2_wait_merged,
     "p5_found": p5_found,
+    "p7_found": p7_found,
+    "p7_items": p7_items,
     "p8_found": p8_found,
     "p8_sources": p8_sources,
 }
