@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwork.llm import leakage
+from tarnwork.llm import leakage, packing
 from tarnwork.llm import percentiles as pct
 from tarnwork.llm import truncation
 from tarnwork.llm.topn import top_n
@@ -50,6 +50,16 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return top_n(jobs, "queue", ["priority", "scheduled_at", "id"], 5).select("queue", "id")
 
 
+def p6_windows(spark: SparkSession, d: str) -> DataFrame:
+    """The window of 2,048 tokens of every document, or of each of its pieces."""
+    return packing.windows(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p6_filling(spark: SparkSession, d: str) -> DataFrame:
+    """How well the windows are filled."""
+    return packing.filling(p6_windows(spark, d), packing.Window().tokens)
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """The documents that hold a passage of an evaluation item, with the item."""
     found = leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_item"))
@@ -78,6 +88,8 @@ QUERIES = {
     "p2_wait_bounded": p2_wait_bounded,
     "p2_wait_merged": p2_wait_merged,
     "p5_found": p5_found,
+    "p6_windows": p6_windows,
+    "p6_filling": p6_filling,
     "p7_found": p7_found,
     "p7_items": p7_items,
     "p8_found": p8_found,
