@@ -25,6 +25,9 @@ from tarnwork.runtime import staged
 
 #: The folder of public tokenizers, and the vocabulary used.
 TOKENIZERS, VOCABULARY = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
+#: Tasks of a round; each packs one shard, or several one after the other. Their
+#: number is set, as shards are small in bytes and would be put together in one.
+MOST_TASKS = 20_000
 # Fixed value: how that vocabulary cuts a text before its merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -81,42 +84,34 @@ def fill(sizes: np.ndarray, room: np.ndarray) -> np.ndarray:
     ``sizes``: (pieces, dimensions), each at most ``room``. A window takes,
     again and again, the piece that fits and has the largest product of its
     size and the room left (both as shares), weighted by the total demand of
-    each dimension; ties go to the piece that stands first.
+    each dimension; of pieces of one size the one that stands first goes first.
     """
-    n = len(sizes)
-    out = np.full(n, -1, dtype=np.int64)
-    share = sizes / room
-    weight = share.sum(axis=0)
-    weight = weight / max(weight.max(), 1e-12)
-    order = np.argsort(-(share @ weight), kind="stable")
-    left, weighted, size = order, (share * weight)[order], sizes[order]
-    alive = np.ones(n, dtype=bool)
-    bin_, gone = 0, 0
-    while gone < n:
-        rest = room.astype(np.float64).copy()
-        fits = alive.copy()
-        any_ = False
+    out = np.full(len(sizes), -1, dtype=np.int64)
+    if not len(sizes):
+        return out
+    # Pieces of one size are one entry with a count.
+    kinds, which = np.unique(sizes, axis=0, return_inverse=True)
+    members = np.split(np.argsort(which, kind="stable"), np.cumsum(np.bincount(which))[:-1])
+    count = np.array([len(m) for m in members])
+    share = kinds / room
+    weight = (share * count[:, None]).sum(axis=0)
+    weighted = share * (weight / weight.max())
+    open_, bin_ = np.arange(len(kinds)), 0
+    while len(open_):
+        rest, at = room.astype(np.float64), open_
         while True:
-            at = np.flatnonzero(fits)
-            if not len(at):
-                break
-            at = at[(size[at] <= rest).all(axis=1)]
+            at = at[(kinds[at] <= rest).all(axis=1)]
             if not len(at):
                 break
             best = at[np.argmax(weighted[at] @ (rest / room))]
-            out[left[best]] = bin_
-            rest -= size[best]
-            alive[best] = False
-            gone += 1
-            any_ = True
-            fits = np.zeros(len(alive), dtype=bool)
-            fits[at] = True
-            fits[best] = False
-        if not any_:
+            count[best] -= 1
+            out[members[best][-1 - count[best]]] = bin_
+            rest = rest - kinds[best]
+            if not count[best]:
+                at, open_ = at[at != best], open_[open_ != best]
+        if (rest == room).all():
             raise ValueError("a piece is larger than a window")
         bin_ += 1
-        if alive.sum() * 2 < len(alive):
-            left, weighted, size, alive = left[alive], weighted[alive], size[alive], np.ones(int(alive.sum()), dtype=bool)
     return out
 
 
@@ -161,7 +156,7 @@ def pack(items: DataFrame, key: list[str], how: Window = Window()) -> DataFrame:
         again = not last and shards > 1
 
         salted = F.pmod(F.xxhash64(*key, F.lit(r)), F.lit(shards)).cast("int")
-        packed = staged(todo.withColumn("shard", salted).groupBy("shard").applyInPandas(_packer(key, cols, room, how, r, again), f"{kinds}, window string, again boolean"), "packed")
+        packed = staged(todo.withColumn("shard", salted).repartition(min(shards, MOST_TASKS), "shard").groupBy("shard").applyInPandas(_packer(key, cols, room, how, r, again), f"{kinds}, window string, again boolean"), "packed")
         done = done.unionByName(packed.where("NOT again").select(*cols, "window"))
         todo = packed.where("again").select(*cols)
         if not again:
