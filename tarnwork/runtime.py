@@ -56,6 +56,13 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, rows: int) -> DataFrame:
+    """A (written) table in as many partitions that each holds about ``rows``,
+    for steps that take much time a row: sized by rows, not by bytes."""
+    parts = -(-df.count() // rows)
+    return df.repartition(parts) if parts > 1 else df
+
+
 def width(spark: SparkSession) -> int:
     """Partitions of a shuffle in this session."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
