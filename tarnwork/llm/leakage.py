@@ -23,13 +23,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwork.runtime import staged
+from tarnwork.runtime import spread, staged
 
 WORDS = re.compile(r"[^\W_]+")
 TAG = re.compile(r"</?[a-zA-Z][^<>]*>|<!--.*?-->", re.S)
 # Letters of other scripts that look like Latin ones.
 LOOKALIKES = str.maketrans("аеорсухіјѕԁһԛԝοαν", "aeopcyxijsdhqwoav", "­​‌‍⁠﻿")
 
+#: Stretches of text that a task compares; they are small, but take milliseconds each.
+STRETCHES = 1_000
+
 
 @dataclass(frozen=True)
 class Leak:
@@ -41,7 +44,9 @@ class Leak:
     per_error: int = 10
     window: int = 18
     known: int = 13
+    #: Steps between passages of a document, and of an item.
     stride: int = 4
+    item_stride: int = 6
     rank: int = 192
     cosine: float = 0.7
     seed: int = 17
@@ -70,7 +75,7 @@ class Items:
         self.keys = [k for k, _ in texts]
         self.ids: dict[str, int] = {}
         self.words = [[self.ids.setdefault(w, len(self.ids)) for w in ws] for _, ws in texts]
-        starts = [(i, s) for i, ws in enumerate(self.words) for s in sorted({*range(0, len(ws) - how.window + 1, how.stride), len(ws) - how.window})]
+        starts = [(i, s) for i, ws in enumerate(self.words) for s in sorted({*range(0, len(ws) - how.window + 1, how.item_stride), len(ws) - how.window})]
         self.owner = np.array([i for i, _ in starts], dtype=np.int64)
         self.first = np.searchsorted(self.owner, np.arange(len(self.keys)))
         self.windows = np.array([self.words[i][s : s + how.window] for i, s in starts], dtype=np.int64).reshape(-1, how.window)
@@ -293,7 +298,7 @@ def _leaks_of_block(docs: DataFrame, doc: str, doc_text: str, rows: list[tuple],
     if not items.keys:
         return None
     found = staged(regions(docs, doc, doc_text, items, how), "stretches")
-    stretches = found.where("ids IS NOT NULL")
+    stretches = spread(found.where("ids IS NOT NULL"), STRETCHES)
     counts = found.where("df IS NOT NULL").select("n", F.posexplode("df").alias("at", "df")).where("df > 0 OR at = 0").groupBy("at").agg(F.sum("df").alias("df"), F.sum(F.when(F.col("at") == 0, F.col("n"))).alias("n")).collect()
     df, n = np.zeros(items.size), 0
     for r in counts:  # at most a row per word of the items
