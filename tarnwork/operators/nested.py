@@ -8,6 +8,7 @@ rows, one table per path, each linked to the record it lies in by containment.
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,6 +22,8 @@ from tarnwork.runtime import staged
 #: Marks within a shape: the name before ends in an array's element, in an
 #: object that is no element, and the end of a name.
 ELEMENT, LONE, END = "\x01", "\x02", "\x1f"
+#: Deepest nesting that is walked; the JSON reader gives up before.
+DEEPEST = 50_000
 #: Bytes of shapes, all told, up to which their table is broadcast.
 SMALL = 8_000_000
 
@@ -57,10 +60,11 @@ class Labeller:
 
     def document(self, key, column: str, value) -> None:
         self.key, self.pre, self.post = key, 0, 0
+        before = len(self.rows)
         try:
             self._visit(value, column, (), False)
-        except RecursionError:  # nested deeper than Python's stack: what was seen so far stays
-            pass
+        except RecursionError:  # nested deeper than DEEPEST, like a text that can't be read
+            del self.rows[before:]
 
     def _visit(self, v, shape: str, pos: tuple, element: bool):
         pre = self.pre
@@ -120,6 +124,7 @@ def label(df: DataFrame, key: str, columns: list[str], *, fields: bool = True) -
         out.add("fields", T.MapType(T.StringType(), T.StringType()))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), DEEPEST))
         for batch in batches:
             keys, *texts = (c.to_pylist() for c in batch.columns)
             see = Labeller(fields)
