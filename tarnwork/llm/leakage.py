@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tarnwork.runtime import spread, staged
 
 WORDS = re.compile(r"[^\W_]+")
-TAG = re.compile(r"</?[a-zA-Z][^<>]*>|<!--.*?-->", re.S)
+TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
 # Letters of other scripts that look like Latin ones.
 LOOKALIKES = str.maketrans("аеорсухіјѕԁһԛԝοαν", "aeopcyxijsdhqwoav", "­​‌‍⁠﻿")
 

@@ -30,7 +30,7 @@ def rounded(value: Column, error: float) -> Column:
     grow = math.log((1 + error) / (1 - error))
     size = F.abs(value)
     at = F.floor(F.ln(size.cast("double")) / F.lit(grow))
-    middle = F.round(F.exp(at * F.lit(grow)) * F.lit(1 / (1 - error))).cast("long")
+    middle = F.round(F.exp(at * F.lit(grow)) * F.lit(1 + error)).cast("long")
     return F.when(size <= F.lit(int(1 / error)), value).otherwise(F.signum(value).cast("long") * middle)
 
 

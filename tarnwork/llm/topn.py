@@ -44,7 +44,9 @@ def top_n(
     rows equal in all of them are taken in no certain order. ``coarse``: how
     many leading order columns, all numbers or times, the histogram uses, each
     in at most ``bins`` buckets of equal width (+1 for nulls and one for NaN),
-    so a group's histogram has at most ``(bins + 2) ** coarse`` rows.
+    so a group's histogram has at most ``(bins + 2) ** coarse`` rows. A column
+    behind the first is used if all before it are whole numbers of a range of
+    less than ``bins``, each with a bucket of its own.
 
     A null group is a group. Groups of fewer than ``n`` rows come out whole;
     repeated rows count as often as they stand; an empty table gives an empty
@@ -66,12 +68,15 @@ def top_n(
         lo, hi = edges[f"lo{i}"], edges[f"hi{i}"]
         if lo is None:
             lo = hi = 0.0
-        step = (hi - lo) / bins or 1.0
+        whole = isinstance(df.schema[x].dataType, T.IntegralType) and hi - lo < bins
+        step = 1.0 if whole else (hi - lo) / bins or 1.0
         v = -_number(df, x) if d else _number(df, x)
         start = -hi if d else lo
         at = F.least(F.greatest(F.floor((v - F.lit(start)) / F.lit(step)), F.lit(0)), F.lit(bins - 1))
         nan = F.lit(-1 if d else bins)  # NaN is larger than any number
         buckets.append(F.when(v.isNull(), bins + 1).when(F.isnan(v), nan).otherwise(at).cast("int").alias(f"b{i}"))
+        if not whole:  # values that share a bucket have no order, so the next column can't refine it
+            break
     rows = df.select(F.struct(*(F.col(c) for c in df.columns)).alias("__row"), F.col(group).alias("__g"), F.struct(*buckets).alias("__b"))
 
     histogram = rows.groupBy("__g", "__b").agg(F.count(F.lit(1)).alias("__n"))

@@ -41,7 +41,10 @@ LONGEST_WORD, LONGEST_LINE = 64, 160
 
 
 def shape(line: str) -> str:
-    """A line with numbers and names of things (held together by _ or with digits) blanked."""
+    """A line with numbers and names of things (held together by _ or with digits)
+    blanked; empty for one too long to be a known line."""
+    if len(line) > LONGEST_LINE:
+        return ""
     return DIGITS.sub("0", NAMES.sub("K", " ".join(line.split())))
 
 
@@ -78,7 +81,7 @@ def ending(text: str) -> dict:
         bare = DOTS.sub("", last).rstrip()
         return out | {"word": core(bare.split()[-1]) if bare.split() else "", "shape": shape(last)}
     if LOG_LINE.match(last):
-        closed = last.count('"') % 2 == 0 and re.search(r"\w=(?:\"[^\"]*\"|[^\s\"=]+)$", last)
+        closed = last.count('"') % 2 == 0 and re.search(r"\w=(?:\"[^\"]*\"|[^\s\"=]+)$", last[last.rfind(" ", 0, max(0, last.rfind("="))) + 1 :])
         if not closed:
             return out | {"verdict": True}
         return out | {"form": "log", "word": core(final.rpartition("=")[2]) if '"' not in final else ""}
