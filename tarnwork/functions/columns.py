@@ -78,6 +78,10 @@ def json_has_key(text: Column, key: str) -> Column:
     return F.coalesce(F.array_contains(F.json_object_keys(text), key), F.lit(False))
 
 
+def _holder(want):
+    return lambda x: F.coalesce(_holds(x, want), F.lit(False))
+
+
 def _holds(value: Column, want) -> Column:
     kind = F.schema_of_variant(value)
     if isinstance(want, dict):
@@ -90,7 +94,7 @@ def _holds(value: Column, want) -> Column:
         items = value.try_cast("array<variant>")
         out = kind.startswith("ARRAY")
         for w in want:
-            out = out & F.coalesce(F.exists(items, lambda x, w=w: F.coalesce(_holds(x, w), F.lit(False))), F.lit(False))
+            out = out & F.coalesce(F.exists(items, _holder(w)), F.lit(False))
         return out
     if want is None:
         return kind == "VOID"

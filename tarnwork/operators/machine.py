@@ -111,7 +111,8 @@ def log_entries(jobs: DataFrame, new: DataFrame, most_total: int = 8 << 20, most
     ``most_entry`` bytes; of the older ones the oldest go until all together,
     as a JSON array, fit in ``most_total`` bytes. Logs that are no array count
     as none. Work per job is over its own entries, in the JVM."""
-    old = F.from_json(F.coalesce(F.get_json_object("metadata", f"$['{LOG_KEY}']"), F.lit("[]")), "array<struct<attempt:bigint,log:string>>")
+    text = F.get_json_object("metadata", f"$['{LOG_KEY}']")
+    old = F.from_json(F.when(text.startswith("["), text).otherwise("[]"), "array<struct<attempt:bigint,log:string>>")
     cut = F.when(F.octet_length("log") > most_entry, F.expr(f"cast(substring(encode(log, 'UTF-8'), 1, {most_entry}) as string)")).otherwise(F.col("log"))
     n = new.select("id", F.struct(F.col("attempt").cast("long").alias("attempt"), cut.alias("log")).alias("__new"))
     j = jobs.select("id", F.coalesce(F.filter(old, lambda x: x.isNotNull()), F.array().cast("array<struct<attempt:bigint,log:string>>")).alias("__old")).join(n, "id")
