@@ -106,6 +106,9 @@ def schedule(jobs: DataFrame, now: datetime, most: int | None = 10_000) -> DataF
     cols = jobs.columns
     due = jobs.where(F.col("state").isin("retryable", "scheduled") & F.col("queue").isNotNull() & (F.col("priority") >= 0) & (F.col("scheduled_at") <= at(now)))
     batch = due if most is None else due.orderBy("priority", "scheduled_at", "id").limit(most)
+    # Most jobs have no key: they take no part in the windows, where they would meet in one task.
+    free = batch.where("unique_key IS NULL").withColumn("conflict", F.lit(False))
+    batch = batch.where("unique_key IS NOT NULL")
     keyed = F.col("unique_key").isNotNull() & F.col("unique_states").isNotNull()
     rank = F.when(keyed, F.row_number().over(Window.partitionBy("unique_key").orderBy("priority", "scheduled_at", "id")))
     ranked = batch.withColumn("__rank", rank)
@@ -115,8 +118,9 @@ def schedule(jobs: DataFrame, now: datetime, most: int | None = 10_000) -> DataF
     met = ranked.join(held, ranked["unique_key"] == held["__key"], "left")
     other = F.coalesce((F.col("__n") > 1) | (F.col("__holder") != F.col("id")), F.lit(False))
     # A key is in conflict for all of the batch's jobs if any of them sees another holder.
-    blocked = F.max(F.when(F.col("unique_key").isNotNull(), other)).over(Window.partitionBy("unique_key"))
-    judged = met.withColumn("conflict", F.col("__rank").isNotNull() & (F.coalesce(blocked, F.lit(False)) | (F.col("__rank") > 1)))
+    blocked = F.max(other).over(Window.partitionBy("unique_key"))
+    bound = met.withColumn("conflict", F.col("__rank").isNotNull() & (blocked | (F.col("__rank") > 1)))
+    judged = free.unionByName(bound.select(*cols, "conflict"))
     note = F.lit(f'{{"{CONFLICT_KEY}":"scheduler_discarded"}}')
     out = judged.withColumns({"state": F.when(F.col("conflict"), "discarded").otherwise("available"), "finalized_at": F.when(F.col("conflict"), at(now)).otherwise(F.col("finalized_at")), "metadata": F.when(F.col("conflict"), json_merge(F.col("metadata"), note)).otherwise(F.col("metadata"))})
     return out.select(*cols, "conflict")
