@@ -38,6 +38,8 @@ WORD = re.compile(r"[^\W_](?:[\w'’-]*\w)?")
 DIGITS, NAMES = re.compile(r"\d+"), re.compile(r"[A-Za-z0-9-]*_[\w-]*|[A-Za-z]+(?:-[A-Za-z]+)*-?\d[\w-]*", re.A)
 #: Longer tokens are no words, longer lines no known lines.
 LONGEST_WORD, LONGEST_LINE = 64, 160
+#: Abbreviations and limits up to which they are broadcast.
+FEW = 50_000
 
 
 def shape(line: str) -> str:
@@ -185,7 +187,9 @@ def judge(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
     counts = all_.where("kind != 'end'").groupBy("kind", "name").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     counts = staged(counts, "vocabulary")
     words = counts.where("kind = 'word'").select(F.col("name").alias("word"), (F.col("a") + F.col("b")).alias("n"), "a", "b")
-    open_ = ends.where("verdict IS NULL")
+    # What isn't settled by its form; the others, most texts, take no part in the joins on words and lines.
+    looked_up = F.col("verdict").isNull() & (F.col("dots") | F.col("form").isin("line", "item", "sign-off", "link"))
+    open_ = ends.where(looked_up)
 
     finals = open_.where("word != ''").select("word").distinct()
     known = finals.join(words, "word", "left")
@@ -203,7 +207,14 @@ def judge(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
     limit = limits(ends, "chars").withColumn("by_chars", F.lit(True))
     limit_b = limits(ends.where("bytes > chars"), "bytes").withColumn("by_bytes", F.lit(True))
 
-    full = ends.join(known, "word", "left").join(line, "shape", "left").join(abbr, "abbr", "left").join(limit, ["source", "chars"], "left").join(limit_b, ["source", "bytes"], "left")
+    judged = open_.join(known, "word", "left").join(line, "shape", "left")
+    kinds = {"word_n": "bigint", "mid": "bigint", "fin": "bigint", "goes_on": "boolean", "seen": "boolean", "carried_on": "boolean"}
+    rest = ends.where(~looked_up).withColumns({c: F.lit(None).cast(t) for c, t in kinds.items()})
+    full = judged.unionByName(rest)
+    for side, on in ((abbr, "abbr"), (limit, ["source", "chars"]), (limit_b, ["source", "bytes"])):
+        side = staged(side, "side")
+        # Broadcast only if counted and few; else a join, whose hot keys adaptive execution splits.
+        full = full.join(F.broadcast(side) if side.count() <= FEW else side, on, "left")
     yes: Column = F.lit(True)
     at_limit = F.coalesce(F.col("by_chars"), F.col("by_bytes"), F.lit(False))
     cut_word = (F.col("word") != "") & (F.coalesce("word_n", F.lit(0)) == 0) & F.coalesce("goes_on", F.lit(False)) & ~F.col("word").rlike("^[0-9.,:]+$")
