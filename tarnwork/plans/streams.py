@@ -28,6 +28,21 @@ def drained(stream: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
+def flushed(stream: DataFrame, label: str) -> DataFrame:
+    """As :func:`drained`, of a stream of windows: also the ones that the
+    watermark hasn't passed when the files are read. Each batch writes all
+    windows anew; the last one's are the result."""
+    spark, base = stream.sparkSession, f"{shared_dir(stream.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    spark.createDataFrame([], stream.schema).write.parquet(f"{base}/out")
+
+    def write(windows: DataFrame, _: int) -> None:
+        windows.write.mode("overwrite").parquet(f"{base}/out")
+
+    run = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/state").outputMode("complete").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+
+
 def stream_cooldown(spark: SparkSession, d: str) -> DataFrame:
     """Insert notifications, at most one a minute per queue."""
     notes = _source(spark, d, "job_notification", NOTIFICATION).where("topic = 'job_insert'")
@@ -56,7 +71,7 @@ def stream_queue_events(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_statistics(spark: SparkSession, d: str) -> DataFrame:
     """Means of completed jobs per day of their end."""
-    return drained(statistics(_source(spark, d, "job_row", JOB).dropDuplicates(["id", "state"]), "1 day", "30 days"), "statistics")
+    return flushed(statistics(_source(spark, d, "job_row", JOB).dropDuplicates(["id", "state"]), "1 day", "30 days"), "statistics")
 
 
 QUERIES = {f.__name__: f for f in (stream_cooldown, stream_stuck, stream_events, stream_queue_events, stream_statistics)}

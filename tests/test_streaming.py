@@ -3,10 +3,13 @@ from datetime import datetime, timedelta
 from tarnwork.model import JOB, QUEUE
 from tarnwork.operators import commands as c
 from tarnwork.operators import machine as m
-from tarnwork.plans.streams import drained
+from tarnwork.plans import jobs as job_queries
+from tarnwork.plans.streams import QUERIES, drained
 from tarnwork.sources.store import Store
 from tarnwork.streaming import complete_from, cooldown, cycle, stuck
 from tarnwork.streaming.loops import Breaker, Settings
+from tests.conftest import DATA
+from tests.oracle import assert_same
 from tests.test_commands import NOW, OLD, by_id, job, table
 
 
@@ -31,6 +34,11 @@ def test_stuck_jobs_come_out_by_event_time(spark, tmp_path):
     assert [(r.id, r.attempted_at) for r in got] == [(1, OLD)]
 
 
+def test_statistics_give_every_day(spark):
+    small = DATA / "sf0.001"
+    assert_same(QUERIES["stream_statistics"](spark, str(small)), job_queries.SQL["q_job_stats_daily"], small)
+
+
 def test_completions_from_a_stream(spark, tmp_path):
     store = Store(spark, str(tmp_path / "jobs"), JOB)
     store.write(table(spark, job(1, "running"), job(2, "running"), job(3)))
