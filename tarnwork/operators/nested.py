@@ -50,6 +50,17 @@ def parse(text: str | None):
         return None
 
 
+def _rest(values: list) -> list | None:
+    """An array without its objects (null in their place); None where nothing
+    but nulls is left."""
+    out = []
+    for x in values:
+        inner = parse(x) if isinstance(x, str) and x.lstrip()[:1] in ("{", "[") else x
+        x = inner if isinstance(inner, dict | list) else x
+        out.append(None if isinstance(x, dict) else _rest(x) if isinstance(x, list) else x)
+    return None if all(x is None for x in out) else out
+
+
 class Labeller:
     """Walks the documents of one record after the other and gathers rows."""
 
@@ -62,11 +73,11 @@ class Labeller:
         self.key, self.pre, self.post = key, 0, 0
         before = len(self.rows)
         try:
-            self._visit(value, column, (), False)
+            self._visit(value, column, (), False, ())
         except RecursionError:  # nested deeper than DEEPEST, like a text that can't be read
             del self.rows[before:]
 
-    def _visit(self, v, shape: str, pos: tuple, element: bool):
+    def _visit(self, v, shape: str, pos: tuple, element: bool, ups: tuple):
         pre = self.pre
         self.pre += 1
         if isinstance(v, str) and v.lstrip()[:1] in ("{", "["):
@@ -79,16 +90,22 @@ class Labeller:
             at = len(self.rows)
             self.rows.append(())
             flat = {} if self.fields else None
+            inside = (pre,) if element else (pre, *ups)
             for k, x in v.items():
                 if isinstance(x, dict | list | str):
-                    nested = self._visit(x, f"{shape}{END}{_name(k)}", pos, False)
+                    nested = self._visit(x, f"{shape}{END}{_name(k)}", pos, False, inside)
+                    if nested and flat is not None and not isinstance(x, dict):
+                        array = x if isinstance(x, list) else parse(x)
+                        rest = _rest(array) if isinstance(array, list) else None
+                        if rest is not None:
+                            flat[k] = json.dumps(rest, ensure_ascii=False)
                 else:
                     self.pre += 1
                     self.post += 1
                     nested = False
                 if flat is not None and not nested and x is not None:
                     flat[k] = x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
-            self.rows[at] = (self.key, shape, list(pos), pre, self.post, flat)
+            self.rows[at] = (self.key, shape, list(pos), pre, self.post, flat, [] if element else list(ups))
             self.post += 1
             return True
         if isinstance(v, list):
@@ -96,7 +113,7 @@ class Labeller:
             held = False
             for i, x in enumerate(v):
                 if isinstance(x, dict | list | str):
-                    held |= self._visit(x, shape + ELEMENT, (*pos, i), True)
+                    held |= self._visit(x, shape + ELEMENT, (*pos, i), True, ())
                 else:
                     self.pre += 1
                     self.post += 1
@@ -112,7 +129,9 @@ def label(df: DataFrame, key: str, columns: list[str], *, fields: bool = True) -
     A row per object: ``key``, ``shape`` (the names on the way with marks for
     arrays and lone objects), ``pos`` (positions in the arrays on the way),
     ``pre``, ``post`` and, if asked for, ``fields`` (name -> text of each
-    field that holds no object, arrays of scalars as JSON; nulls left out).
+    field that holds no object, arrays as JSON with null for each object in
+    them; nulls and arrays of objects only left out) and ``ups`` (of a lone
+    object: pre of the objects it lies in up to an array's element, inmost first).
     Arrays come out as rows with a null ``pos``, once per batch and shape.
     Only ``key`` and ``columns`` are read, so extra columns may have any name.
     Null, empty and unreadable texts give no rows; a string holding the text
@@ -121,7 +140,7 @@ def label(df: DataFrame, key: str, columns: list[str], *, fields: bool = True) -
     kind = df.schema[key].dataType
     out = T.StructType([T.StructField("key", kind), T.StructField("shape", T.StringType()), T.StructField("pos", T.ArrayType(T.IntegerType())), T.StructField("pre", T.IntegerType()), T.StructField("post", T.IntegerType())])
     if fields:
-        out.add("fields", T.MapType(T.StringType(), T.StringType()))
+        out.add("fields", T.MapType(T.StringType(), T.StringType())).add("ups", T.ArrayType(T.IntegerType()))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sys.setrecursionlimit(max(sys.getrecursionlimit(), DEEPEST))
@@ -133,14 +152,15 @@ def label(df: DataFrame, key: str, columns: list[str], *, fields: bool = True) -
                     value = parse(text)
                     if value is not None:
                         see.document(k, name, value)
-            rows = see.rows + [(None, a, None, None, None, None) for a in sorted(see.arrays)]
+            rows = see.rows + [(None, a, None, None, None, None, None) for a in sorted(see.arrays)]
             if rows:
-                k, shape, pos, pre, post, flat = map(list, zip(*rows, strict=True))
+                k, shape, pos, pre, post, flat, ups = map(list, zip(*rows, strict=True))
                 data = [pa.array(k, batch.schema.field(0).type), _clean(shape), pa.array(pos, pa.list_(pa.int32())), pa.array(pre, pa.int32()), pa.array(post, pa.int32())]
                 if fields:
                     names = [list(f) if f is not None else [] for f in flat]
                     offsets = pa.array([0, *pd.Series([len(n) for n in names]).cumsum()], pa.int32())
                     data.append(pa.MapArray.from_arrays(offsets, _clean([x for n in names for x in n]), _clean([x for f in flat if f for x in f.values()])))
+                    data.append(pa.array(ups, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(data, names=[f.name for f in out.fields])
 
     return df.select(F.col(key), *(F.col(c) for c in columns)).mapInArrow(walk, out)
@@ -174,10 +194,12 @@ def _small(df: DataFrame, column: str) -> bool:
     return (df.agg(F.sum(F.octet_length(column) + 64)).first()[0] or 0) <= SMALL
 
 
-def resolve(nodes: DataFrame) -> DataFrame:
+def resolve(nodes: DataFrame, parts: bool = False) -> DataFrame:
     """A row per shape that is a child record's: ``shape``, ``path``, ``plan``
     and ``parent`` (see :func:`_plan`). A lone object is a record if its path
-    holds an array in any row of ``nodes``. The work is on distinct shapes."""
+    holds an array in any row of ``nodes``; with ``parts``, one that is none
+    but lies in a record has a row too, with a null ``plan``. The work is on
+    distinct shapes."""
     named = F.translate(F.regexp_replace("shape", "[\x01\x02]", ""), END, ".")
     # Array of an array: the inner one's shape ends in marks, its path is the same.
     arrays = nodes.where("pos IS NULL").select(named.alias("path")).distinct()
@@ -192,13 +214,14 @@ def resolve(nodes: DataFrame) -> DataFrame:
     def planned(shape: pd.Series, arrays: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([_plan(s, set(a)) for s, a in zip(shape, arrays, strict=True)], columns=["path", "plan", "parent"], dtype=object)
 
-    return known.select("shape", planned("shape", "arrays").alias("p")).select("shape", "p.*").where("plan IS NOT NULL")
+    return known.select("shape", planned("shape", "arrays").alias("p")).select("shape", "p.*").where("plan IS NOT NULL OR parent IS NOT NULL" if parts else "plan IS NOT NULL")
 
 
-def records(nodes: DataFrame, *keep: str) -> DataFrame:
+def records(nodes: DataFrame, *keep: str, parts: bool = False) -> DataFrame:
     """The child records of a (written) node table: ``key``, ``path``, ``pos``
-    (joined by dots), ``parent`` (its parent's shape) and the columns ``keep``."""
-    plans = staged(resolve(nodes), "shapes")
+    (joined by dots) and the columns ``keep``, to which those of :func:`resolve`
+    count. With ``parts`` also the lone objects within them (``pos`` is null)."""
+    plans = staged(resolve(nodes, parts), "shapes")
     if _small(plans, "shape"):
         plans = F.broadcast(plans)
     at = F.transform("plan", lambda i: F.when(i < 0, "0").otherwise(F.element_at("pos", i + 1).cast("string")))
@@ -238,16 +261,32 @@ def linked(nodes: DataFrame) -> DataFrame:
     within one document meet, ordered by pre: the parent is the last record
     of that shape before the child whose interval is still open. That is a
     window over both, with no pairs. Repeated rows are counted once.
+
+    Lone objects that are no records are part of the record they lie in:
+    their fields stand among its ``fields`` under the names on the way joined
+    by dots. Where two fields come to one name, it has a JSON array of both.
     """
     root = F.substring_index(F.regexp_replace("shape", "[\x01\x02]", ""), END, 1)
-    rows = records(nodes, "shape", "parent", "pre", "post", "fields").withColumn("column", root).withColumn("names", F.map_keys("fields"))
-    rows = rows.dropDuplicates(["key", "column", "pre"]).drop("names")
-    child = rows.withColumn("join", F.coalesce("parent", F.lit(""))).withColumn("as_parent", F.lit(False))
-    holder = rows.withColumn("join", F.col("shape")).withColumn("as_parent", F.lit(True))
+    found = records(nodes, "shape", "plan", "parent", "pre", "post", "fields", "ups", parts=True).withColumn("column", root)
+    is_part = F.col("plan").isNull()
+    way = F.translate(F.regexp_replace(F.expr("substr(shape, length(parent) + 2)"), "[\x01\x02]", ""), END, ".")
+    up = F.element_at("ups", F.size(F.split("shape", END)) - F.size(F.split("parent", END)))
+    named = F.transform(F.map_entries("fields"), lambda e: F.struct(F.when(is_part, F.concat(way, F.lit("."), e.key)).otherwise(e.key).alias("key"), e.value.alias("value")))
+    whole = F.when(~is_part, F.struct("path", "pos", "post", "shape", "parent"))
+    # One shuffle brings each document together: parts go to their record, repeated rows and links are settled within.
+    rows = found.select("key", "column", F.when(is_part, up).otherwise(F.col("pre")).alias("pre"), whole.alias("r"), F.struct("pre", named.alias("named")).alias("part")).repartition("key", "column")
+    rows = rows.groupBy("key", "column", "pre").agg(F.max("r").alias("r"), F.sort_array(F.collect_set("part")).alias("parts"))
+    rows = rows.select("key", "column", "pre", "r.*", F.flatten(F.transform("parts", lambda p: p.named)).alias("named"))
+    names = F.array_distinct(F.transform("named", lambda e: e.key))
+    of = lambda n: F.transform(F.filter("named", lambda e: e.key == n), lambda e: e.value)
+    clash = F.map_from_arrays(names, F.transform(names, lambda n: F.when(F.size(of(n)) > 1, F.to_json(of(n))).otherwise(F.element_at(of(n), 1))))
+    rows = rows.withColumn("fields", F.when(F.size(names) < F.size("named"), clash).otherwise(F.map_from_entries("named"))).drop("named")
+    roles = rows.withColumn("as_parent", F.explode(F.array(F.lit(False), F.lit(True))))
+    roles = roles.withColumn("join", F.when(F.col("as_parent"), F.col("shape")).otherwise(F.coalesce("parent", F.lit("")))).withColumn("fields", F.when(~F.col("as_parent"), F.col("fields")))
     before = Window.partitionBy("key", "column", "join").orderBy("pre").rowsBetween(Window.unboundedPreceding, -1)
     # Records of one shape don't hold each other, so the last one begun is the one still open.
     last = F.last(F.when(F.col("as_parent"), F.struct("path", "pos", "pre", "post")), ignorenulls=True).over(before)
-    found = child.unionByName(holder).withColumn("up", last).where("NOT as_parent")
+    found = roles.withColumn("up", last).where("NOT as_parent")
     inside = F.col("parent").isNotNull() & (F.col("up.pre") < F.col("pre")) & (F.col("up.post") > F.col("post"))
     return found.select("key", "column", "path", "pos", "pre", "post", "fields", *(F.when(inside, F.col(f"up.{c}")).alias(f"parent_{c}") for c in ("path", "pos", "pre")))
 

@@ -1,10 +1,12 @@
 import json
 import sys
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from tarnwork.operators import nested
+from tarnwork.plans.problems import QUERIES
 from tarnwork.runtime import staged
 from tests.conftest import DATA
 
@@ -111,6 +113,61 @@ def test_intervals_link_parents(spark):
     assert {(r.key, r.pos, r.c, r.none) for r in table} == {(1, "0.0", "1", None), (1, "0.2", "2", None), (2, "0.0", "3", None)}
 
 
+def leaves(v):
+    """The scalars other than null anywhere in a value, as texts."""
+    v = load(v)
+    if isinstance(v, dict | list):
+        return [x for y in (v.values() if isinstance(v, dict) else v) for x in leaves(y)]
+    return [] if v is None else [v if isinstance(v, str) else json.dumps(v)]
+
+
+LONE = [
+    '{"a": [{"b": {"c": 1, "d": {"e": "x", "n": null}, "g": [2, 3]}, "h": 4}, {"b": {}}]}',
+    '{"a": [{"m": [5, {"k": 6}, [7, {"k": 8}], null], "s": "[9, {\\"k\\": 10}]", "t": "{\\"u\\": 11}"}]}',
+    '{"a": [{"p": {"q": {"z": 12}}, "b.c": 13, "b": {"c": 14}}]}',
+    '{"a": [{"p": {"q": [{"z": 15, "y": {"w": true}}]}}]}',
+]
+
+
+def test_every_scalar_below_a_record_comes_out(spark):
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(LONE)] + [(0, LONE[0])], "id long, args string")
+    rows = nested.linked(staged(nested.label(df, "id", ["args"]), "t")).collect()
+    for i, doc in enumerate(LONE):
+        got = [x for r in rows if r.key == i for v in r.fields.values() for x in leaves(v)]
+        assert sorted(got) == sorted(leaves(doc))
+    by = {(r.key, r.path, r.pos): r.fields for r in rows}
+    assert by[0, "args.a", "0"] == {"b.c": "1", "b.d.e": "x", "b.g": "[2, 3]", "h": "4"} and by[0, "args.a", "1"] == {}
+    assert by[1, "args.a", "0"] == {"m": "[5, null, [7, null], null]", "s": "[9, null]", "t.u": "11"}
+    assert by[2, "args.a", "0"] == {"b.c": '["13","14"]'} and by[2, "args.a.p.q", "0.0"] == {"z": "12"}
+    assert by[3, "args.a.p.q", "0.0"] == {"z": "15", "y.w": "true"}
+
+
+def test_tables_hold_every_scalar_of_job_rows(spark):
+    def below(v, p, arrays, inside):
+        v = load(v)
+        if isinstance(v, list):
+            return [x for y in v for x in below(y, p, arrays, inside or isinstance(load(y), dict))]
+        if isinstance(v, dict):
+            return [x for k, y in v.items() for x in below(y, f"{p}.{k}", arrays, inside or p in arrays)]
+        return leaves(v) if inside else []
+
+    def scan(v, p, arrays):
+        v = load(v)
+        if isinstance(v, list):
+            arrays.add(p)
+        for k, x in v.items() if isinstance(v, dict) else ((None, x) for x in v) if isinstance(v, list) else ():
+            scan(x, p if k is None else f"{p}.{k}", arrays)
+
+    small = str(DATA / "sf0.001")
+    docs = [(c, nested.parse(r[c])) for r in spark.read.parquet(f"{small}/job_row.parquet").select("id", "args", "metadata").distinct().collect() for c in ("args", "metadata")]
+    arrays: set = set()
+    for c, v in docs:
+        scan(v, c, arrays)
+    want = Counter(x for c, v in docs for x in below(v, c, arrays, False))
+    got = Counter(x for r in QUERIES["p4_tables"](spark, small).collect() for v in json.loads(r.fields or "{}").values() for x in leaves(v))
+    assert got == want
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "id long, args string, errors array<struct<error:string>>")
     assert nested.child_records(df, "id", ["args"], ["errors"]).count() == 0
