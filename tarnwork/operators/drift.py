@@ -11,6 +11,7 @@ is picked, and each is held against the records written in both files.
 from __future__ import annotations
 
 import json
+import sys
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwork.operators.nested import parse
+from tarnwork.operators.nested import DEEPEST, SMALL, parse
 from tarnwork.runtime import staged
 
 #: End of a name within a path while paths are compared (names may hold dots).
@@ -296,41 +297,109 @@ def changes(df: DataFrame, at: Series = Series()) -> DataFrame:
 # --- one table ---------------------------------------------------------------
 
 
-def current_names(found: DataFrame, at: Series = Series()) -> DataFrame:
-    """Per series and top-level field that was renamed: ``upto`` (the last file
-    in which ``field`` has that name) and ``name``, its name in the newest file.
-    The work per series is bounded by its renames."""
-    k = at.series
+def _clean(text: str) -> str:
+    return text.encode("utf-8", "replace").decode()
 
-    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        steps = sorted(zip(pdf[at.file], pdf["field"], pdf["new_field"], strict=True))
-        rows = []
-        for i, (file, a, b) in enumerate(steps):
-            name = b
-            for _, x, y in steps[i + 1 :]:
-                if x == name:
-                    name = y
-            rows.append((*pdf[k].iloc[0], a, int(file) - 1, name))
-        return pd.DataFrame(rows, columns=[*k, "field", "upto", "name"]).astype({"upto": "int32"})
 
-    top = found.where("change = 'renamed' AND NOT contains(field, '.') AND NOT contains(new_field, '.')")
-    kinds = ", ".join(f"`{c}` {dict(found.dtypes)[c]}" for c in k)
-    return top.groupBy(*k).applyInPandas(follow, f"{kinds}, field string, upto int, name string")
+class Raw(float):
+    """A number with its text, so that no digit is lost."""
+
+    def __new__(cls, text: str):
+        out = super().__new__(cls, text)
+        out.text = text
+        return out
+
+
+def _text(v) -> str:
+    """JSON of a value, its numbers as they were written."""
+    if isinstance(v, Raw):
+        return v.text
+    if isinstance(v, list):
+        return "[" + ",".join(map(_text, v)) + "]"
+    if isinstance(v, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_text(x)}" for k, x in v.items()) + "}"
+    return json.dumps(v, ensure_ascii=False)
+
+
+def _hollow(v) -> bool:
+    """An array of nulls, or of such arrays, only."""
+    return isinstance(v, list) and bool(v) and all(x is None or _hollow(x) for x in v)
+
+
+def leaves_of(v, path: str = "") -> dict[str, object]:
+    """Path -> value of all that is no object. What lies in an array's objects
+    stands under its own path as an array, with null at the places of elements
+    that lack it; the array itself is there for its other elements (null for
+    objects), or if it holds nothing else. Nulls are left out; an object of
+    nothing stands for itself."""
+    if isinstance(v, dict):
+        out: dict[str, object] = {}
+        for k, x in v.items():
+            out.update(leaves_of(x, f"{path}{SEP}{k}" if path else k))
+        return out or ({path: {}} if path and not v else {})
+    if isinstance(v, list) and any(isinstance(x, dict | list) for x in v):
+        parts = [leaves_of(x, path) if isinstance(x, dict | list) else {path: x} for x in v]
+        names = dict.fromkeys(p for part in parts for p in part)
+        out = {p: [part.get(p) for part in parts] for p in names}
+        if _hollow(out.get(path)) and len(out) > 1:
+            del out[path]
+        return out or {path: [None] * len(v)}
+    return {} if v is None else {path: v}
+
+
+def current_path(path: str, file: int, renames: list[tuple[int, str, str]]) -> str:
+    """The newest name of a field that a file has as ``path``: each later file's
+    renames (in order) are applied once, to the field or an object it lies in.
+    Names are compared as :func:`changes` writes them, joined by dots."""
+    done = file
+    for at, old, new in renames:
+        if at > done and (path == old or path.startswith(old + ".")):
+            path, done = new + path[len(old) :], at
+    return path
 
 
 def unified(df: DataFrame, found: DataFrame, at: Series = Series(), *, keep: list[str] = ()) -> DataFrame:
     """All lines as one table: the series' columns, file, key, ``keep``, and a
-    row per top-level field under its current name: ``name``, ``type`` and
-    ``value`` (text; JSON for arrays and objects)."""
+    row per field, nested ones included, under its current name (joined by
+    dots): ``name``, ``type`` and ``value`` (text; JSON for arrays, see
+    :func:`leaves_of`). All renames of ``found`` are applied, moves into and
+    out of objects too. The work per series is bounded by its renames."""
     cols = [*at.series, at.file, at.key, *keep]
-    fields = F.explode(F.from_json(at.text, "map<string,string>"))
-    ok = df.where(F.col(at.file).isNotNull()).select(*cols, at.text).distinct()
-    shape = F.expr(f"schema_of_variant(try_variant_get(try_parse_json(`{at.text}`), '$', 'variant'))")
-    rows = ok.where(shape.startswith("OBJECT")).select(*cols, fields.alias("field", "value")).where("value IS NOT NULL AND value != 'null'")
-    names = staged(current_names(found, at), "names")
-    on = [rows[c].eqNullSafe(names[c]) for c in at.series] + [rows["field"] == names["field"], rows[at.file] <= names["upto"]]
-    best = rows.join(names, on, "left").groupBy(*(rows[c] for c in cols), rows["field"], rows["value"]).agg(F.min_by("name", "upto").alias("name"))
-    return best.select(*cols, F.coalesce("name", "field").alias("name"), "value")
+    lines = df.where(F.col(at.file).isNotNull()).select(*cols, F.col(at.text).cast("string").alias("__text")).distinct()
+    entry = F.struct(F.col(at.file).cast("int").alias("file"), "field", "new_field")
+    names = found.where("change = 'renamed'").groupBy(*(F.col(c).alias(f"__s{i}") for i, c in enumerate(at.series))).agg(F.to_json(F.sort_array(F.collect_list(entry))).alias("__renames"))
+    names = staged(names, "names")
+    small = (names.agg(F.sum(F.octet_length("__renames") + 64)).first()[0] or 0) <= SMALL
+    on = [F.col(c).eqNullSafe(F.col(f"__s{i}")) for i, c in enumerate(at.series)]
+    src = lines.join(F.broadcast(names) if small else names, on, "left").select(*cols, F.col(at.file).cast("int").alias("__file"), "__renames", "__text")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema.fields[: len(cols)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), DEEPEST))
+        for batch in batches:
+            line, paths, types, values = [], [], [], []
+            steps: dict = {None: []}
+            current: dict = {}
+            for i, (file, renames, text) in enumerate(zip(*(c.to_pylist() for c in batch.columns[-3:]), strict=True)):
+                try:
+                    doc = None if text is None else json.loads(text, parse_float=Raw)
+                    fields = {p: (type_of(v), v if isinstance(v, str) else _text(v)) for p, v in leaves_of(doc).items()} if isinstance(doc, dict) else {}
+                except (ValueError, RecursionError):
+                    continue
+                if renames not in steps:
+                    steps[renames] = [(r["file"], r["field"], r["new_field"]) for r in json.loads(renames)]
+                for p, (kind, value) in fields.items():
+                    if (file, renames, p) not in current:
+                        current[file, renames, p] = current_path(_clean(p.replace(SEP, ".")), file, steps[renames])
+                    line.append(i)
+                    paths.append(current[file, renames, p])
+                    types.append(kind)
+                    values.append(_clean(value))
+            where = pa.array(line, pa.int64())
+            given = [batch.column(c).take(where) for c in range(len(cols))]
+            yield pa.RecordBatch.from_arrays([*given, *(pa.array(x, pa.string()) for x in (paths, types, values))], names=[*cols, "name", "type", "value"])
+
+    return src.mapInArrow(run, f"{kinds}, name string, type string, value string")
 
 
 def columns_of(rows: DataFrame, at: Series = Series()) -> DataFrame:

@@ -40,8 +40,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_unified(spark: SparkSession, d: str) -> DataFrame:
-    """All archived jobs as one table: a row per line and field, under the
-    field's current name."""
+    """All archived jobs as one table: a row per line and field, nested ones
+    included, under the field's current name."""
     archive = table(spark, d, "job_archive")
     return drift.unified(archive, drift.changes(archive), keep=["line_no"])
 

@@ -77,6 +77,30 @@ def test_one_table(spark):
     assert [(r.c, r.t) for r in flat] == [(1, 1.0), (1, 2.5), (1, 3.0), (4, 1.0)]
 
 
+def test_one_table_of_nested_and_moved_fields(spark):
+    lines = [
+        (1, 1, {"o": {"hash": "h", "n": 1}, "call": "u", "opts": {"k": True}, "chunks": [{"price": 5, "q": 1}, {"q": 2}, 7], "p": 1, "q": 2, "e": {}}),
+        (2, 1, {"o": {"content_hash": "h", "n": 1}, "opts": {"k": True, "call": "u"}, "chunks": [{"unitPrice": 5, "q": 1}, {"q": 2}, 7], "p": 2, "q": 1, "e": {}}),
+        (4, 1, {"target": {"content_hash": "h", "n": 1}, "opts": {"k": True, "call": "u"}, "chunks": [{"unitPrice": 5, "q": 1}, {"q": 2}, 7], "p": 2, "q": 1, "e": {}}),
+    ]
+    df = table(spark, lines)
+    rows = drift.unified(df, drift.changes(df)).collect()
+    want = {"target.content_hash": "h", "target.n": "1", "opts.k": "true", "opts.call": "u", "chunks": "[null,null,7]", "chunks.unitPrice": "[5,null,null]", "chunks.q": "[1,2,null]", "e": "{}"}
+    for file in (1, 2, 4):
+        got = {r.name: r.value for r in rows if r.file_no == file}
+        assert {n: v for n, v in got.items() if n not in ("p", "q")} == want
+    assert {r.name: r.type for r in rows}["opts.k"] == "boolean" and len(rows) == 30
+
+
+def test_swapped_names_and_texts_as_written(spark):
+    swap = [(3, "a", "b"), (3, "b", "a"), (5, "a", "c")]
+    assert [drift.current_path(p, 1, swap) for p in ("a", "b", "b.x", "ab")] == ["b", "c", "c.x", "ab"]
+    assert drift.current_path("a", 3, swap) == "c" and drift.current_path("a", 5, swap) == "a"
+    df = table(spark, [(1, 1, '{"x": 2.50, "y": [1e400, 0.12345678901234567890], "z": "null", "w": [[{"v": 1}], [{"v": null}]]}')])
+    got = {r.name: r.value for r in drift.unified(df, drift.changes(df)).collect()}
+    assert got == {"x": "2.50", "y": "[1e400,0.12345678901234567890]", "z": "null", "w.v": "[[1],null]"}
+
+
 def test_flooding_prefers_the_same_structure():
     old = {"a": {"object"}, "a\x1fx": {"number"}, "a\x1fy": {"string"}, "b": {"object"}, "b\x1fu": {"boolean"}}
     new = {"p": {"object"}, "p\x1fx": {"number"}, "p\x1fy": {"string"}, "q": {"object"}, "q\x1fu": {"boolean"}}
