@@ -108,3 +108,8 @@ def test_common_subsequence():
 @pytest.mark.parametrize(("text", "words"), [("A<br>b &amp; C-d", ["a", "b", "c", "d"]), ("ﬁne “Ｘ” can't", ["fine", "x", "can", "t"]), ("pаss", ["pass"]), ("", [])])
 def test_words(text, words):
     assert lk.words_of(text) == words
+
+
+@pytest.mark.parametrize(("text", "words"), [("a<!-- one two\nthree <b> --->b", ["a", "b"]), ("a <!-- x --> b <!--y--> c", ["a", "b", "c"]), ("a <!-- not closed", ["a", "not", "closed"]), ("<!--" * 200_000 + "b", ["b"])])
+def test_comments_are_no_words(text, words):
+    assert lk.words_of(text) == words
