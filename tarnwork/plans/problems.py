@@ -11,19 +11,27 @@ from tarnwork.operators import tree_agg as tree
 from tarnwork.runtime import staged
 from tarnwork.sources import distinct_rows, table
 
-#: A chunk's rows, and the merges per round, of the queries below.
+#: A chunk's rows, the merges per round, and the least rounds, of the queries below.
 TREE = {"chunk_rows": 65_536, "fan_in": 16, "rounds": 2}
 
 
+def tree_for(rows: int) -> dict[str, int]:
+    """:data:`TREE` with the rounds that ``rows`` rows need, so that no chunks share a leaf for want of leaves."""
+    return TREE | {"rounds": max(TREE["rounds"], tree.rounds_for(rows, TREE["chunk_rows"], TREE["fan_in"]))}
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """The values of queue and kind that hold 3 in 100 of the jobs or more."""
-    jobs = distinct_rows(table(spark, d, "job_row"), "id", "queue", "kind")
-    return tree.frequent_values(jobs, ["queue", "kind"], 0.03, **TREE)
+    rows = table(spark, d, "job_row")
+    jobs = distinct_rows(rows, "id", "queue", "kind")
+    # Two rows of the tree, its queue and its kind, a job.
+    return tree.frequent_values(jobs, ["queue", "kind"], 0.03, **tree_for(2 * rows.count()))
 
 
 def p1_summary(spark: SparkSession, d: str) -> DataFrame:
     """Counts by state and times per queue and per kind, for every value."""
-    jobs = distinct_rows(table(spark, d, "job_row"), "id", "queue", "kind", "state", "attempt", "attempted_at", "scheduled_at")
+    rows = table(spark, d, "job_row")
+    jobs = distinct_rows(rows, "id", "queue", "kind", "state", "attempt", "attempted_at", "scheduled_at")
     measures = {"n": tree.Measure("count", F.lit(1))}
     measures |= {f"n_{s}": tree.Measure("count", F.when(F.col("state") == s, 1)) for s in STATES}
     measures |= {
@@ -31,7 +39,8 @@ def p1_summary(spark: SparkSession, d: str) -> DataFrame:
         "last_attempted_at": tree.Measure("max", F.col("attempted_at")),
         "first_scheduled_at": tree.Measure("min", F.col("scheduled_at")),
     }
-    return tree.by_fields(jobs, ["queue", "kind"], measures, **TREE)
+    # As in p1_found.
+    return tree.by_fields(jobs, ["queue", "kind"], measures, **tree_for(2 * rows.count()))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

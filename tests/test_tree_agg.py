@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnwork.operators import tree_agg as t
+from tarnwork.plans import problems
 
 
 def count():
@@ -45,3 +46,8 @@ def test_parameters():
     assert t.rounds_for(1, 10, 4) == 1 and t.rounds_for(10**9, 1000, 16) == 5
     with pytest.raises(ValueError):
         t.tree_aggregate(None, [], {})
+
+
+@pytest.mark.parametrize(("rows", "rounds"), [(0, 2), (256 * 65_536, 2), (256 * 65_536 + 1, 3), (5000 * 65_536, 4)])
+def test_rounds_of_the_queries_grow_with_the_rows(rows, rounds):
+    assert problems.tree_for(rows) == problems.TREE | {"rounds": rounds}
