@@ -5,13 +5,13 @@ edges: field to field it holds, field to type) are matched by similarity
 flooding: the score of a pair of nodes spreads to the pairs that are reached
 by edges of the same label, until the scores settle. From the scores of fields
 that have gone and fields that have come a consistent set of correspondences
-is picked, and each is held against the records written in both files.
+is picked; the records written in both files confirm or refute each, and what
+is refuted is struck out and the rest flooded again.
 """
 
 from __future__ import annotations
 
 import json
-import sys
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -20,14 +20,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwork.operators.nested import DEEPEST, SMALL, parse
-from tarnwork.runtime import staged
+from tarnwork.functions.jsontext import depth_of, dump, parse
+from tarnwork.runtime import SMALL, spread, staged
 
-#: End of a name within a path while paths are compared (names may hold dots).
-SEP = "\x1f"
+#: End of a name within a path while paths are compared (names may hold dots),
+#: and what stands between a path and a type.
+SEP, TYPE = "\x1f", "\x1e"
 #: Changed files that a task compares.
 FILES = 50
 
@@ -43,14 +44,11 @@ def type_of(v) -> str:
     return "array" if isinstance(v, list) else "object"
 
 
-_encode = json.JSONEncoder(sort_keys=True, separators=(",", ":")).encode
-
-
 def _digest(values: list) -> int:
     """64 bits that are equal for equal values, whatever the order of keys."""
     if len(values) == 1 and isinstance(values[0], str):
         return xxhash.xxh64_intdigest(values[0].encode("utf-8", "surrogatepass")) - (1 << 63)
-    text = _encode(values)
+    text = dump(values, sort_keys=True, ensure_ascii=True, spaced=False)
     return xxhash.xxh64_intdigest(text, seed=1) - (1 << 63)
 
 
@@ -69,6 +67,26 @@ def fields_of(doc: dict) -> dict[str, list]:
     return out
 
 
+def values_at(doc: dict, path: str) -> list:
+    """The values of one field of :func:`fields_of`, found along its names."""
+    found, names = [doc], path.split(SEP)
+    for n, name in enumerate(names):
+        held = []
+        for v in found:
+            if isinstance(v, dict) and v.get(name) is not None:
+                held.append(v[name])
+        found = held
+        if n < len(names) - 1:  # on the way, arrays stand for their elements
+            todo, found = found[::-1], []
+            while todo:
+                v = todo.pop()
+                if isinstance(v, list):
+                    todo += [x for x in reversed(v) if isinstance(x, dict | list)]
+                else:
+                    found.append(v)
+    return found
+
+
 @dataclass(frozen=True)
 class Series:
     """Where things stand: columns that name a series of files, the file's
@@ -80,39 +98,53 @@ class Series:
     text: str = "args"
 
 
-def extract(df: DataFrame, at: Series) -> DataFrame:
-    """A row per line and field: the series' columns, ``file``, ``key``,
-    ``path`` (empty for the line as such), ``types`` and ``digest`` of its values.
+def _lines(df: DataFrame, at: Series) -> DataFrame:
+    """The columns ``s0``.. (series), ``file``, ``key`` and ``text``; others aren't read."""
+    return df.select(*(F.col(c).alias(f"s{i}") for i, c in enumerate(at.series)), F.col(at.file).cast("int").alias("file"), F.col(at.key).alias("key"), F.col(at.text).cast("string").alias("text")).where("file IS NOT NULL")
 
-    Lines that hold no JSON object (null, empty, spoilt, another value) are
-    passed over. Columns not named in ``at`` aren't read.
-    """
-    cols = [*at.series, at.file, at.key]
-    src = df.select(*(F.col(c).alias(f"s{i}") for i, c in enumerate(at.series)), F.col(at.file).cast("int").alias("file"), F.col(at.key).alias("key"), F.col(at.text).cast("string").alias("text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[: len(cols)])
+
+def _ddl(df: DataFrame, columns: list[str]) -> str:
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
+
+
+def _clean(text: str) -> str:
+    return text.encode("utf-8", "replace").decode()
+
+
+def schemas(df: DataFrame, at: Series = Series()) -> DataFrame:
+    """A row per file: ``s0``.., ``file`` and ``fields``, the sorted list of its
+    paths, each once per type it has there. A file without a line that is a
+    JSON object has no row. A batch of lines gives each field of a file once."""
+    src = _lines(df, at).drop("key")
+    s = [f"s{i}" for i in range(len(at.series))]
+    cols = [*s, "file"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            line, paths, types, digests = [], [], [], []
-            for i, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+            seen: dict[tuple, dict[str, None]] = {}
+            first: dict[tuple, int] = {}
+            *names, texts = (c.to_pylist() for c in batch.columns)
+            for i, (of, text) in enumerate(zip(zip(*names, strict=True), texts, strict=True)):
                 doc = parse(text)
                 if not isinstance(doc, dict):
                     continue
-                line.append(i)
-                paths.append("")
-                types.append([])
-                digests.append(0)
-                for path, values in fields_of(doc).items():
-                    line.append(i)
-                    paths.append(path.encode("utf-8", "replace").decode())
-                    types.append(sorted({type_of(v) for v in values}))
-                    digests.append(_digest(values))
-            where = pa.array(line, pa.int64())
-            given = [batch.column(c).take(where) for c in range(len(cols))]
-            out = [*given, pa.array(paths, pa.string()), pa.array(types, pa.list_(pa.string())), pa.array(digests, pa.int64())]
-            yield pa.RecordBatch.from_arrays(out, names=[*(f"s{i}" for i in range(len(at.series))), "file", "key", "path", "types", "digest"])
-
-    return src.mapInArrow(run, f"{kinds}, path string, types array<string>, digest bigint")
+                mine = seen.setdefault(of, {"": None})
+                first.setdefault(of, i)
+                stack: list[tuple] = [("", doc, False)]
+                while stack:
+                    path, v, element = stack.pop()
+                    if path and not element:
+                        mine[f"{path}{TYPE}{type_of(v)}"] = None
+                    if isinstance(v, dict):
+                        stack += [(f"{path}{SEP}{k}" if path else k, x, False) for k, x in v.items() if x is not None]
+                    elif isinstance(v, list):
+                        stack += [(path, x, True) for x in v if isinstance(x, dict | list)]
+            where = pa.array([first[of] for of, mine in seen.items() for _ in mine], pa.int64())
+            found = pa.array([_clean(x) for mine in seen.values() for x in mine], pa.string())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(where) for c in range(len(cols))), found], names=[*cols, "found"])
+
+    rows = src.mapInArrow(run, f"{_ddl(src, cols)}, found string")
+    return rows.groupBy(*cols).agg(F.array_sort(F.collect_set("found")).alias("fields"))  # as many as a schema has fields
 
 
 # --- similarity flooding -----------------------------------------------------
@@ -179,22 +211,30 @@ def flood(old: dict[str, set[str]], new: dict[str, set[str]], first: dict[tuple[
     return {p: float(score[i]) for p, i in pairs.items()}
 
 
-def matches(old: dict[str, set[str]], new: dict[str, set[str]], gone: list[str], come: list[str], shared: dict[tuple[str, str], float]) -> list[tuple[str, str]]:
+def matches(old: dict[str, set[str]], new: dict[str, set[str]], gone: list[str], come: list[str], shared: dict[tuple[str, str], float], refuted: set[tuple[str, str]] = frozenset()) -> list[tuple[str, str]]:
     """Correspondences between fields that are gone and ones that have come:
-    one to one, best score first. ``shared``: share of the old field's values
-    that stand under the new one in records of both files; where a pair has
-    such records, it weighs twice as much as name and type."""
+    one to one, best flooded score first; ``refuted`` pairs are struck out.
+
+    What is known before the flooding: likeness of names and types of fields at
+    one depth, and of all gone and come ones, which may move to another; and
+    ``shared``, the share of the old field's values that stand under the new
+    one in records of both files (values are nodes of the graph, too, taken
+    together), which weighs twice as much as name and type.
+    """
     first = {}
+    moved = {(a, b) for a in gone for b in come}
     for a in old:
         for b in new:
-            if a.count(SEP) == b.count(SEP):
+            if a.count(SEP) == b.count(SEP) or (a, b) in moved:
                 first[a, b] = 0.5 * _name_score(a.rpartition(SEP)[2], b.rpartition(SEP)[2]) + 0.2 * bool(old[a] & new[b])
     for p, s in shared.items():
-        first[p] = (first.get(p, 0.0) + 2.0 * s) / 2.7
-    score = flood(old, new, first)
-    order = sorted(((shared.get((a, b), 0.0) >= 1.0, score.get((a, b), 0.0), a, b) for a in gone for b in come), key=lambda t: (-t[0], -t[1], t[2], t[3]))
+        first[p] = first.get(p, 0.0) + 2.0 * s
+    for p in refuted:
+        first[p] = 0.0
+    score = flood(old, new, {p: s / 2.7 for p, s in first.items()})
+    order = sorted(((score.get((a, b), 0.0), a, b) for a, b in moved - set(refuted)), key=lambda t: (-t[0], t[1], t[2]))
     out, used = [], set()
-    for _, s, a, b in order:
+    for s, a, b in order:
         if s > 0 and ("old", a) not in used and ("new", b) not in used:
             used |= {("old", a), ("new", b)}
             out.append((a, b))
@@ -215,21 +255,106 @@ def _topmost(paths: set[str], cases: set[str]) -> list[str]:
     return sorted(p for p in paths if not under(p))
 
 
-def _compare(pdf: pd.DataFrame) -> list[tuple[str, str, str]]:
-    """The changes between two files from rows of role old, new (path, types)
-    and shared (path, other, share)."""
-    old = {r.path: set(r.types) for r in pdf.itertuples() if r.role == "old" and r.path}
-    new = {r.path: set(r.types) for r in pdf.itertuples() if r.role == "new" and r.path}
-    shared = {(r.path, r.other): float(r.share) for r in pdf.itertuples() if r.role == "shared"}
+def _schema(fields: list[str]) -> dict[str, set[str]]:
+    out: dict[str, set[str]] = {}
+    for f in fields:
+        path, _, kind = f.rpartition(TYPE)
+        if path or kind:
+            out.setdefault(path, set()).add(kind)
+    return out
+
+
+def _outline(was: list[str], now: list[str]) -> tuple[dict, dict, list[str], list[str], list[str]]:
+    """Both schemas and the topmost fields gone, come and retyped."""
+    old, new = _schema(was), _schema(now)
     retyped = {p for p in old.keys() & new.keys() if new[p] - old[p]}
     cases = (old.keys() ^ new.keys()) | retyped
-    gone, come = _topmost(old.keys() - new.keys(), cases), _topmost(new.keys() - old.keys(), cases)
-    pairs = [p for p in matches(old, new, gone, come, shared) if shared.get(p, 0.0) >= 1.0] if gone and come else []
-    from_, to = {a for a, _ in pairs}, {b for _, b in pairs}
-    out = [("renamed", a, b) for a, b in pairs]
-    out += [("removed", p, "") for p in gone if p not in from_]
-    out += [("added", p, "") for p in come if p not in to]
-    return out + [("retyped", p, "") for p in _topmost(retyped, cases)]
+    return old, new, _topmost(old.keys() - new.keys(), cases), _topmost(new.keys() - old.keys(), cases), _topmost(retyped, cases)
+
+
+def _compare(was: list[str], now: list[str], shared: dict[tuple[str, str], float]) -> list[tuple[str, str, str]]:
+    """The changes between two files. Flooding proposes which gone field is
+    which that has come; a proposal that not all values bear out is refuted,
+    and the flooding is run again without it, until none is left."""
+    old, new, gone, come, retyped = _outline(was, now)
+    out, refuted = [], set()
+    while gone and come:
+        held = matches(old, new, gone, come, shared, refuted)
+        agreed = [p for p in held if shared.get(p, 0.0) >= 1.0]
+        out += [("renamed", a, b) for a, b in agreed]
+        from_, to = {a for a, _ in agreed}, {b for _, b in agreed}
+        gone, come = [p for p in gone if p not in from_], [p for p in come if p not in to]
+        refuted |= set(held) - set(agreed)
+        if not held:
+            break
+    out += [("removed", p, "") for p in gone] + [("added", p, "") for p in come]
+    return out + [("retyped", p, "") for p in retyped]
+
+
+def _same(columns: list[str], a: str, b: str) -> Column:
+    out = F.lit(True)
+    for c in columns:
+        out = out & F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))
+    return out
+
+
+def _broadcastable(df: DataFrame) -> bool:
+    """Whether a (written) table with an ``bytes`` column is small enough to broadcast."""
+    return (df.agg(F.sum("bytes")).first()[0] or 0) <= SMALL
+
+
+def _shares(df: DataFrame, steps: DataFrame, at: Series) -> DataFrame:
+    """(step, shared): of each changed file with fields both gone and come, the
+    shares of the values of the gone ones that stand under each that has come,
+    in records of both files. Only lines of such files, and only such fields,
+    are looked at."""
+    s = [f"s{i}" for i in range(len(at.series))]
+
+    def wanted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = []
+            for r in pdf.to_dict("records"):
+                _, _, gone, come, _ = _outline(r["was"], r["fields"])
+                if gone and come:
+                    rows += [(*(r[c] for c in s), f, r["step"], role, names) for f, role, names in ((r["before"], 0, gone), (r["file"], 1, come))]
+            yield pd.DataFrame(rows, columns=[*s, "file", "step", "role", "paths"]).astype({"file": "int32", "step": "int64", "role": "int32"})
+
+    wants = steps.select(*s, "file", "before", "step", "was", "fields").mapInPandas(wanted, f"{_ddl(steps, s)}, file int, step bigint, role int, paths array<string>")
+    # A row per file and role, with all it is asked for; a file is looked at once for each side it is on.
+    wants = staged(wants.withColumn("bytes", F.octet_length(F.concat_ws("", "paths")) + 64), "wants")
+    lines = _lines(df, at).where("key IS NOT NULL AND text IS NOT NULL").alias("l")
+    asked = (F.broadcast(wants) if _broadcastable(wants) else wants).alias("w")
+    asked = lines.join(asked, _same([*s, "file"], "l", "w")).select("w.step", "w.role", "w.paths", "l.key", "l.text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            line, found, digests = [], [], []
+            _, roles, paths, _, texts = (c.to_pylist() for c in batch.columns)
+            for i, (role, names, text) in enumerate(zip(roles, paths, texts, strict=True)):
+                doc = parse(text)
+                if not isinstance(doc, dict):
+                    continue
+                if role:  # the record is there, whatever it holds
+                    line.append(i)
+                    found.append("")
+                    digests.append(0)
+                for p in names:
+                    values = values_at(doc, p)
+                    if values:
+                        line.append(i)
+                        found.append(p)
+                        digests.append(_digest(values))
+            where = pa.array(line, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(where) for c in (0, 1, 3)), pa.array(found, pa.string()), pa.array(digests, pa.int64())], names=["step", "role", "key", "path", "digest"])
+
+    seen = asked.mapInArrow(run, f"step bigint, role int, key {dict(asked.dtypes)['key']}, path string, digest bigint")
+    # One shuffle brings a record's values of both files together; the sets hold names of fields.
+    of = lambda role: F.collect_set(F.when(F.col("role") == role, F.col("path")))
+    met = seen.repartition("step", "key").groupBy("step", "key", "digest").agg(of(0).alias("was"), of(1).alias("now"))
+    met = met.withColumn("there", F.max(F.array_contains("now", "")).over(Window.partitionBy("step", "key"))).where("there")
+    pairs = met.select("step", F.explode("was").alias("gone"), F.col("now")).select("step", "gone", F.explode(F.concat(F.array(F.lit("")), F.array_remove("now", ""))).alias("come"))
+    n = pairs.groupBy("step", "gone", "come").agg(F.count(F.lit(1)).alias("n"))
+    return n.groupBy("step").agg(F.collect_list(F.struct("gone", "come", "n")).alias("shared"))  # pairs of fields of two schemas
 
 
 def changes(df: DataFrame, at: Series = Series()) -> DataFrame:
@@ -240,65 +365,32 @@ def changes(df: DataFrame, at: Series = Series()) -> DataFrame:
     A file counts if it has a line that is a JSON object. Null series form a
     series; lines with a null file number are passed over, ones with a null
     key count for the schema but are no record of two files. Repeated lines
-    change nothing, of two differing lines with one key both count. An empty
-    table gives an empty result. A file compared is bounded by the fields of
-    two schemas, never by lines.
+    change nothing, of two differing lines with one key both count. Documents
+    may nest to any depth. An empty table gives an empty result. A file
+    compared is bounded by the fields of two schemas, never by lines.
     """
-    n = len(at.series)
-    s = [f"s{i}" for i in range(n)]
-    lines = staged(extract(df, at).where("file IS NOT NULL").distinct(), "fields")
-    null_safe = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")).alias(f"k{i}") for i, c in enumerate(s)]
-    k = [f"k{i}" for i in range(n)]
-    lines = lines.select("*", *null_safe)
-    schema = lines.groupBy(*s, *k, "file", "path").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("types")))).alias("types"))
-    schema = staged(schema, "schemas")
-    files = schema.where("path = ''").select(*s, *k, "file")
-    steps = files.select("*", F.lag("file").over(Window.partitionBy(*k).orderBy("file")).alias("before")).where("before IS NOT NULL")
-    steps = staged(steps, "steps")
-
-    new = steps.join(schema.drop(*s), [*k, "file"]).select(*k, "file", "path", "types", "before")
-    old = steps.join(schema.drop(*s).withColumnRenamed("file", "before"), [*k, "before"]).select(*k, "file", "path", "types", "before")
-    both = [*k, "file", "before", "path"]
+    s = [f"s{i}" for i in range(len(at.series))]
+    files = schemas(df, at)
+    last = Window.partitionBy(*s).orderBy("file")
+    steps = files.withColumns({"before": F.lag("file").over(last), "was": F.lag("fields").over(last)})
     # Most files have the schema of the one before; only the others are looked into.
-    differs = F.col("was").isNull() | F.col("is").isNull() | (F.size(F.array_except("is", "was")) > 0)
-    moved = old.withColumnRenamed("types", "was").join(new.withColumnRenamed("types", "is"), both, "full").where(differs).select(*k, "file").distinct()
-    moved = staged(moved, "moved")
-    old, new = (staged(t.join(moved, [*k, "file"], "left_semi"), "side") for t in (old, new))
-    gone = old.where("path != ''").join(new.select(*both), both, "left_anti").select(*k, "file", "before", F.col("path").alias("gone"))
-    come = new.where("path != ''").join(old.select(*both), both, "left_anti").select(*k, "file", "before", F.col("path").alias("come"))
-    gone = gone.join(come.select(*k, "file").distinct(), [*k, "file"], "left_semi")  # a rename needs both
-    come = come.join(gone.select(*k, "file").distinct(), [*k, "file"], "left_semi")
-    # Values of gone fields in the old file and of new ones in the new file, of records in both.
-    keyed = lines.where("key IS NOT NULL").select(*k, "file", "key", "path", "digest")
-    was = gone.join(keyed.withColumnRenamed("file", "before").withColumnRenamed("path", "gone"), [*k, "before", "gone"]).select(*k, "file", "key", "gone", "digest")
-    there = keyed.where("path = ''").select(*k, "file", "key")
-    was = was.join(there, [*k, "file", "key"], "left_semi")
-    now = come.join(keyed.withColumnRenamed("path", "come"), [*k, "file", "come"]).select(*k, "file", "key", "come", "digest")
-    total = was.groupBy(*k, "file", "gone").agg(F.count(F.lit(1)).alias("n"))
-    met = was.join(now, [*k, "file", "key", "digest"]).groupBy(*k, "file", "gone", "come").agg(F.count(F.lit(1)).alias("m"))
-    share = met.join(total, [*k, "file", "gone"]).select(*k, "file", F.lit("shared").alias("role"), F.col("gone").alias("path"), F.col("come").alias("other"), F.lit(None).cast("array<string>").alias("types"), (F.col("m") / F.col("n")).alias("share"))
-
-    side = lambda t, role: t.select(*k, "file", F.lit(role).alias("role"), "path", F.lit(None).cast("string").alias("other"), "types", F.lit(0.0).alias("share"))
-    graph = side(old, "old").unionByName(side(new, "new")).unionByName(share)
-    kinds = ", ".join(f"{c} string" for c in k)
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        at_ = pdf[[*k, "file"]].iloc[0]
-        found = pd.DataFrame([(*at_, c, a.replace(SEP, "."), b.replace(SEP, ".")) for c, a, b in _compare(pdf)], columns=[*k, "file", "change", "field", "new_field"])
-        return found.astype({"file": "int32"})
-
-    # A partition for every few files: their rows are few, matching them takes time.
-    graph = graph.repartition(max(1, -(-moved.count() // FILES)), *k, "file")
-    found = graph.groupBy(*k, "file").applyInPandas(compare, f"{kinds}, file int, change string, field string, new_field string")
-    out = found.join(steps.drop("before"), [*k, "file"])
-    return out.select(*(F.col(c).alias(a) for c, a in zip(s, at.series, strict=True)), F.col("file").alias(at.file), "change", "field", "new_field")
+    steps = staged(steps.where("before IS NOT NULL AND was != fields").withColumn("step", F.monotonically_increasing_id()), "steps")
+    whole = spread(steps, FILES).join(_shares(df, steps, at), "step", "left")
 
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = []
+            for r in pdf.to_dict("records"):
+                n = {(x["gone"], x["come"]): x["n"] for x in r["shared"]} if r["shared"] is not None else {}
+                shared = {p: m / n[p[0], ""] for p, m in n.items() if p[1]}
+                rows += [(*(r[c] for c in s), r["file"], c, a.replace(SEP, "."), b.replace(SEP, ".")) for c, a, b in _compare(r["was"], r["fields"], shared)]
+            yield pd.DataFrame(rows, columns=[*s, "file", "change", "field", "new_field"]).astype({"file": "int32"})
 
-# --- one table ---------------------------------------------------------------
+    found = whole.select(*s, "file", "was", "fields", "shared").mapInPandas(compare, f"{_ddl(steps, s)}, file int, change string, field string, new_field string")
+    return found.select(*(F.col(c).alias(a) for c, a in zip(s, at.series, strict=True)), F.col("file").alias(at.file), "change", "field", "new_field")
 
 
-def _clean(text: str) -> str:
-    return text.encode("utf-8", "replace").decode()
+# --- one table ---------------------------------------------------------------
 
 
 class Raw(float):
@@ -312,18 +404,18 @@ class Raw(float):
 
 def _text(v) -> str:
     """JSON of a value, its numbers as they were written."""
-    if isinstance(v, Raw):
-        return v.text
-    if isinstance(v, list):
-        return "[" + ",".join(map(_text, v)) + "]"
-    if isinstance(v, dict):
-        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_text(x)}" for k, x in v.items()) + "}"
-    return json.dumps(v, ensure_ascii=False)
+    return dump(v, spaced=False, scalar=lambda x: x.text if isinstance(x, Raw) else None)
 
 
 def _hollow(v) -> bool:
     """An array of nulls, or of such arrays, only."""
-    return isinstance(v, list) and bool(v) and all(x is None or _hollow(x) for x in v)
+    todo = [v]
+    while todo:
+        x = todo.pop()
+        if not isinstance(x, list) or not x:
+            return False
+        todo += [y for y in x if y is not None]
+    return True
 
 
 def leaves_of(v, path: str = "") -> dict[str, object]:
@@ -375,17 +467,20 @@ def unified(df: DataFrame, found: DataFrame, at: Series = Series(), *, keep: lis
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema.fields[: len(cols)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sys.setrecursionlimit(max(sys.getrecursionlimit(), DEEPEST))
         for batch in batches:
             line, paths, types, values = [], [], [], []
             steps: dict = {None: []}
             current: dict = {}
             for i, (file, renames, text) in enumerate(zip(*(c.to_pylist() for c in batch.columns[-3:]), strict=True)):
-                try:
-                    doc = None if text is None else json.loads(text, parse_float=Raw)
-                    fields = {p: (type_of(v), v if isinstance(v, str) else _text(v)) for p, v in leaves_of(doc).items()} if isinstance(doc, dict) else {}
-                except (ValueError, RecursionError):
+                doc = parse(text, Raw)
+                if not isinstance(doc, dict):
                     continue
+                try:
+                    leaves = leaves_of(doc)
+                except RecursionError:
+                    with depth_of(text):
+                        leaves = leaves_of(doc)
+                fields = {p: (type_of(v), v if isinstance(v, str) else _text(v)) for p, v in leaves.items()}
                 if renames not in steps:
                     steps[renames] = [(r["file"], r["field"], r["new_field"]) for r in json.loads(renames)]
                 for p, (kind, value) in fields.items():

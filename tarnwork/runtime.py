@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+#: Bytes up to which a table whose size has been taken is broadcast.
+SMALL = 8_000_000
 
 
 def build_session(app: str = "tarnwork", master: str | None = None, **conf: str) -> SparkSession:

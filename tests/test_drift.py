@@ -112,3 +112,51 @@ def test_flooding_prefers_the_same_structure():
 @pytest.mark.parametrize(("v", "t"), [(True, "boolean"), (1, "number"), (1.5, "number"), ("", "string"), ([], "array"), ({}, "object")])
 def test_types(v, t):
     assert drift.type_of(v) == t
+
+
+SEVERAL = [
+    (1, 1, {"o": {"unit_price": 5, "n": 1}, "old_a": "x", "old_b": "y", "flag": True, "mark": True, "p": 1, "q": 2}),
+    (1, 2, {"o": {"unit_price": 6, "n": 1}, "old_a": "u", "old_b": "v", "flag": False, "mark": False, "p": 3, "q": 4}),
+    (2, 1, {"o": {"unitPrice": 5, "n": 1}, "new_b": "y", "new_a": "x", "a_mark": True, "the_flag": True, "r": 2, "s": 1}),
+    (2, 2, {"o": {"unitPrice": 6, "n": 1}, "new_b": "v", "new_a": "u", "a_mark": False, "the_flag": False, "r": 4, "s": 3}),
+]
+WANT = {("o.unit_price", "o.unitPrice"), ("old_a", "new_a"), ("old_b", "new_b"), ("flag", "the_flag"), ("mark", "a_mark"), ("p", "s"), ("q", "r")}
+
+
+def test_flooding_decides_among_several(spark, monkeypatch):
+    got = found(table(spark, SEVERAL))
+    assert {(a, b) for _, c, a, b in got if c == "renamed"} == WANT and len(got) == len(WANT)
+    lines = [json.loads(json.dumps(x[2])) for x in SEVERAL]
+    was, now = ([f"{p}{drift.TYPE}{drift.type_of(v[0])}" for p, v in drift.fields_of(x).items()] for x in (lines[0], lines[2]))
+    shared = {(a, b): 1.0 for a, b in WANT} | {("flag", "a_mark"): 1.0, ("mark", "the_flag"): 1.0}
+    shared = {(a.replace(".", drift.SEP), b.replace(".", drift.SEP)): v for (a, b), v in shared.items()}
+    renamed = lambda: {(a.replace(drift.SEP, "."), b.replace(drift.SEP, ".")) for c, a, b in drift._compare(was, now, shared) if c == "renamed"}
+    assert renamed() == WANT
+    monkeypatch.setattr(drift, "flood", lambda old, new, first: {})
+    assert renamed() == set()  # nothing is proposed
+    monkeypatch.setattr(drift, "flood", lambda old, new, first: dict.fromkeys(first, 1.0))
+    assert renamed() != WANT
+
+
+def test_values_refute_what_names_suggest(spark):
+    lines = [(1, 1, {"price": 5, "cost": 7}), (1, 2, {"price": 6, "cost": 8}), (2, 1, {"prices": 7, "z": 5}), (2, 2, {"prices": 8, "z": 6})]
+    assert found(table(spark, lines)) == {(2, "renamed", "price", "z"), (2, "renamed", "cost", "prices")}
+    lines = [(1, 1, {"price": 5}), (2, 1, {"prices": 7})]
+    assert found(table(spark, lines)) == {(2, "removed", "price", ""), (2, "added", "prices", "")}
+
+
+def test_deep_documents(spark):
+    deep = lambda n, x: "[" * n + '{"b": ' + x + "}" + "]" * n
+    lines = [(1, 1, '{"v": ' + deep(12_000, "1") + ', "old": 1}'), (2, 1, '{"v": ' + deep(12_000, "1") + ', "new": 1}'), (3, 1, '{"v": ' + deep(12_000, '"x"') + ', "new": 1}')]
+    got = found(table(spark, lines))
+    assert got == {(2, "renamed", "old", "new"), (3, "retyped", "v.b", "")}
+    rows = drift.unified(table(spark, lines), drift.changes(table(spark, lines))).collect()
+    assert sorted(r.value[12_000:-12_000] for r in rows if r.name == "v.b") == ['"x"', "1", "1"] and len(rows) == 6
+
+
+def test_values_at_agree_with_fields():
+    docs = [{"a": [{"b": 1}, {"b": [{"c": 2}, None, {"c": [3, {"d": 4}]}]}, [{"b": None}], 5], "e": {"f": {"g": [1, [2]]}}}, {"a": {"b": {"c": 1}}, "": {"": 0}}, {}]
+    for doc in docs:
+        for path, values in drift.fields_of(doc).items():
+            assert drift.values_at(doc, path) == values
+    assert drift.values_at({"a": 1}, "b") == []
