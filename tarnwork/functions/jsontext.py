@@ -85,7 +85,7 @@ def parse(text: str | None, parse_float=float):
     if text is None:
         return None
     try:
-        return json.loads(text, parse_float=parse_float)
+        return json.loads(text) if parse_float is float else json.loads(text, parse_float=parse_float)
     except ValueError:
         return None
     except RecursionError:

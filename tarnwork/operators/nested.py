@@ -1,31 +1,30 @@
 """Nested records as flat tables: interval labels by depth-first traversal.
 
 Every node of a document gets its pre-order and its post-order number; node a
-holds node b if ``a.pre < b.pre and a.post > b.post``. Objects come out as
-rows, one table per path, each linked to the record it lies in by containment.
+holds node b if ``a.pre < b.pre and a.post > b.post``. All that is said of a
+node beyond its own name and place - the path and the positions that lead to
+it, whether it is an array's element, the record it lies in - comes from the
+nodes whose intervals hold its own. Objects come out as rows, one table per
+path, each linked to the record it lies in.
 """
 
 from __future__ import annotations
 
-import json
-import sys
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnwork.runtime import staged
+from tarnwork.functions.jsontext import depth_of, dump, parse
+from tarnwork.runtime import SMALL, staged
 
 #: Marks within a shape: the name before ends in an array's element, in an
 #: object that is no element, and the end of a name.
 ELEMENT, LONE, END = "\x01", "\x02", "\x1f"
-#: Deepest nesting that is walked; the JSON reader gives up before.
-DEEPEST = 50_000
-#: Bytes of shapes, all told, up to which their table is broadcast.
-SMALL = 8_000_000
+OPENERS = ("{", "[")
 
 
 def _clean(texts: list) -> pa.Array:
@@ -37,32 +36,119 @@ def _clean(texts: list) -> pa.Array:
 
 def _name(k: str) -> str:
     """A field's name without the marks, so that shapes stay readable."""
-    return k if k.isprintable() else k.translate({1: "�", 2: "�", 31: "�"})
-
-
-def parse(text: str | None):
-    """The JSON value in ``text``; None where there is none, or none that can be read."""
-    if text is None:
-        return None
-    try:
-        return json.loads(text)
-    except (ValueError, RecursionError):
-        return None
-
-
-def _rest(values: list) -> list | None:
-    """An array without its objects (null in their place); None where nothing
-    but nulls is left."""
-    out = []
+    return k.translate({1: "�", 2: "�", 31: "�"})
+
+
+def opened(v):
+    """A value, or what a string holds if it is the text of an object or array."""
+    if isinstance(v, str) and (v[:1] in OPENERS or (v[:1].isspace() and v.lstrip()[:1] in OPENERS)):
+        inner = parse(v)
+        return inner if isinstance(inner, dict | list) else v
+    return v
+
+
+def numbered(value) -> tuple[list[tuple], list[int]]:
+    """The objects and arrays of a document in pre-order: the name under which
+    each stands (None in an array), its place in an array (-1 in an object),
+    its value and its pre number; and the post numbers. Scalars are numbered
+    too, before their siblings that hold something."""
+    nodes: list[tuple] = []
+    posts: list[int] = []
+    pre = post = 0
+    todo: list = [(None, -1, value)]
+    while todo:
+        step = todo.pop()
+        if type(step) is int:  # all below that node is done
+            posts[step] = post
+            post += 1
+            continue
+        name, place, v = step
+        below = []
+        if type(v) is dict:
+            for k, x in v.items():
+                kind = type(x)
+                if kind is str and (x[:1] in OPENERS or x[:1].isspace()):
+                    x = opened(x)
+                    kind = type(x)
+                if kind is dict or kind is list:
+                    below.append((k, -1, x))
+        else:
+            for i, x in enumerate(v):
+                kind = type(x)
+                if kind is str and (x[:1] in OPENERS or x[:1].isspace()):
+                    x = opened(x)
+                    kind = type(x)
+                if kind is dict or kind is list:
+                    below.append((None, i, x))
+        nodes.append((name, place, v, pre))
+        scalars = len(v) - len(below)
+        pre += 1 + scalars
+        post += scalars
+        if below:
+            posts.append(-1)
+            todo.append(len(nodes) - 1)
+            todo += reversed(below)
+        else:
+            posts.append(post)
+            post += 1
+    return nodes, posts
+
+
+def holders(posts: list[int]) -> list[int]:
+    """For each node, given in pre-order by its post number, the inmost one
+    whose interval holds it (-1: none)."""
+    out, open_ = [], []
+    for i, post in enumerate(posts):
+        while open_ and posts[open_[-1]] < post:
+            open_.pop()
+        out.append(open_[-1] if open_ else -1)
+        open_.append(i)
+    return out
+
+
+def _rest(values: list) -> tuple[list | None, bool]:
+    """An array without its objects (null in their place; None where nothing
+    but nulls is left), and whether it had any."""
+    out, had = [], False
     for x in values:
-        inner = parse(x) if isinstance(x, str) and x.lstrip()[:1] in ("{", "[") else x
-        x = inner if isinstance(inner, dict | list) else x
-        out.append(None if isinstance(x, dict) else _rest(x) if isinstance(x, list) else x)
-    return None if all(x is None for x in out) else out
+        x = opened(x)
+        if isinstance(x, list):
+            x, below = _rest(x)
+            had |= below
+        elif isinstance(x, dict):
+            x, had = None, True
+        out.append(x)
+    return (None if had and all(x is None for x in out) else out), had
+
+
+def _scalars(v: dict) -> dict[str, str]:
+    """Name -> text of the fields of an object that hold no object; arrays as
+    JSON with null for each object in them; nulls and arrays of objects only
+    left out."""
+    flat = {}
+    for k, x in v.items():
+        inner = opened(x)
+        if isinstance(inner, list):
+            rest, had = _rest(inner)
+            if rest is not None:
+                flat[k] = x if isinstance(x, str) and not had else dump(rest)
+        elif isinstance(x, str) and inner is x:
+            flat[k] = x
+        elif x is not None and not isinstance(inner, dict):
+            flat[k] = dump(x)
+    return flat
+
+
+def _unwound(pos: tuple | None) -> list[int]:
+    out = []
+    while pos is not None:
+        pos, last = pos
+        out.append(last)
+    return out[::-1]
 
 
 class Labeller:
-    """Walks the documents of one record after the other and gathers rows."""
+    """Labels the documents of one record after the other and gathers rows."""
 
     def __init__(self, fields: bool):
         self.fields = fields
@@ -70,57 +156,40 @@ class Labeller:
         self.rows: list[tuple] = []
 
     def document(self, key, column: str, value) -> None:
-        self.key, self.pre, self.post = key, 0, 0
-        before = len(self.rows)
-        try:
-            self._visit(value, column, (), False, ())
-        except RecursionError:  # nested deeper than DEEPEST, like a text that can't be read
-            del self.rows[before:]
-
-    def _visit(self, v, shape: str, pos: tuple, element: bool, ups: tuple):
-        pre = self.pre
-        self.pre += 1
-        if isinstance(v, str) and v.lstrip()[:1] in ("{", "["):
-            inner = parse(v)
-            if isinstance(inner, dict | list):
-                v = inner
-        if isinstance(v, dict):
-            if not element:
-                shape += LONE
-            at = len(self.rows)
-            self.rows.append(())
-            flat = {} if self.fields else None
-            inside = (pre,) if element else (pre, *ups)
-            for k, x in v.items():
-                if isinstance(x, dict | list | str):
-                    nested = self._visit(x, f"{shape}{END}{_name(k)}", pos, False, inside)
-                    if nested and flat is not None and not isinstance(x, dict):
-                        array = x if isinstance(x, list) else parse(x)
-                        rest = _rest(array) if isinstance(array, list) else None
-                        if rest is not None:
-                            flat[k] = json.dumps(rest, ensure_ascii=False)
-                else:
-                    self.pre += 1
-                    self.post += 1
-                    nested = False
-                if flat is not None and not nested and x is not None:
-                    flat[k] = x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
-            self.rows[at] = (self.key, shape, list(pos), pre, self.post, flat, [] if element else list(ups))
-            self.post += 1
-            return True
-        if isinstance(v, list):
-            self.arrays.add(shape)
-            held = False
-            for i, x in enumerate(v):
-                if isinstance(x, dict | list | str):
-                    held |= self._visit(x, shape + ELEMENT, (*pos, i), True, ())
-                else:
-                    self.pre += 1
-                    self.post += 1
-            self.post += 1
-            return held
-        self.post += 1
-        return False
+        if not isinstance(value := opened(value), dict | list):
+            return
+        nodes, posts = numbered(value)
+        # Of each node: its shape less the marks of arrays in arrays, and how many these are; its positions as pairs
+        # of all but the last and the last; pre of the objects it lies in up to an element, inmost first.
+        around: list[tuple[str, int]] = []
+        poss: list[tuple | None] = []
+        above: list[tuple] = []
+        row_of: dict[int, int] = {}
+        for i, up in enumerate(holders(posts)):
+            name, place, v, pre = nodes[i]
+            marks, pos, over = 0, None, ()
+            if up < 0:
+                shape = column
+            elif name is None:
+                (shape, marks), pos, over = around[up], (poss[up], place), above[up]
+                marks += 1
+            else:
+                outer = around[up][0]
+                shape, pos = f"{outer}{END}{name if name.isprintable() else _name(name)}", poss[up]
+                # What an element lies in is its own record's matter.
+                over = (nodes[up][3],) if outer[-1] == ELEMENT else (nodes[up][3], *above[up])
+            if type(v) is list:
+                if not marks:
+                    self.arrays.add(shape)
+            else:
+                shape, marks = shape + (ELEMENT * marks if marks else LONE), 0
+                if shape[-1] == LONE and up >= 0:
+                    self.rows[row_of[up]][-1] = True
+                row_of[i] = len(self.rows)
+                self.rows.append([key, shape, _unwound(pos), pre, posts[i], _scalars(v) if self.fields else None, over, False])
+            around.append((shape, marks))
+            poss.append(pos)
+            above.append(over)
 
 
 def label(df: DataFrame, key: str, columns: list[str], *, fields: bool = True) -> DataFrame:
@@ -128,50 +197,55 @@ def label(df: DataFrame, key: str, columns: list[str], *, fields: bool = True) -
 
     A row per object: ``key``, ``shape`` (the names on the way with marks for
     arrays and lone objects), ``pos`` (positions in the arrays on the way),
-    ``pre``, ``post`` and, if asked for, ``fields`` (name -> text of each
-    field that holds no object, arrays as JSON with null for each object in
-    them; nulls and arrays of objects only left out) and ``ups`` (of a lone
-    object: pre of the objects it lies in up to an array's element, inmost first).
+    ``pre``, ``post`` and, if asked for, ``fields`` (see :func:`_scalars`),
+    ``ups`` (pre of the objects whose intervals hold its own up to an array's
+    element, inmost first) and ``holds`` (whether a lone object lies right in it).
     Arrays come out as rows with a null ``pos``, once per batch and shape.
     Only ``key`` and ``columns`` are read, so extra columns may have any name.
     Null, empty and unreadable texts give no rows; a string holding the text
-    of a JSON object or array counts as that value.
+    of a JSON object or array counts as that value. Documents may nest to any
+    depth; n objects one in the other have paths of n names, so the rows of
+    such a document grow with the square of n.
     """
     kind = df.schema[key].dataType
     out = T.StructType([T.StructField("key", kind), T.StructField("shape", T.StringType()), T.StructField("pos", T.ArrayType(T.IntegerType())), T.StructField("pre", T.IntegerType()), T.StructField("post", T.IntegerType())])
     if fields:
-        out.add("fields", T.MapType(T.StringType(), T.StringType())).add("ups", T.ArrayType(T.IntegerType()))
+        out.add("fields", T.MapType(T.StringType(), T.StringType())).add("ups", T.ArrayType(T.IntegerType())).add("holds", T.BooleanType())
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sys.setrecursionlimit(max(sys.getrecursionlimit(), DEEPEST))
         for batch in batches:
             keys, *texts = (c.to_pylist() for c in batch.columns)
             see = Labeller(fields)
             for name, column in zip(columns, texts, strict=True):
                 for k, text in zip(keys, column, strict=True):
-                    value = parse(text)
-                    if value is not None:
-                        see.document(k, name, value)
-            rows = see.rows + [(None, a, None, None, None, None, None) for a in sorted(see.arrays)]
+                    if text is None:
+                        continue
+                    try:
+                        see.document(k, name, parse(text))
+                    except RecursionError:  # only arrays in arrays, for their scalars
+                        with depth_of(text):
+                            see.document(k, name, parse(text))
+            rows = see.rows + [(None, a, None, None, None, None, None, None) for a in sorted(see.arrays)]
             if rows:
-                k, shape, pos, pre, post, flat, ups = map(list, zip(*rows, strict=True))
+                k, shape, pos, pre, post, flat, ups, holds = map(list, zip(*rows, strict=True))
                 data = [pa.array(k, batch.schema.field(0).type), _clean(shape), pa.array(pos, pa.list_(pa.int32())), pa.array(pre, pa.int32()), pa.array(post, pa.int32())]
                 if fields:
                     names = [list(f) if f is not None else [] for f in flat]
                     offsets = pa.array([0, *pd.Series([len(n) for n in names]).cumsum()], pa.int32())
                     data.append(pa.MapArray.from_arrays(offsets, _clean([x for n in names for x in n]), _clean([x for f in flat if f for x in f.values()])))
-                    data.append(pa.array(ups, pa.list_(pa.int32())))
+                    data += [pa.array(ups, pa.list_(pa.int32())), pa.array(holds, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(data, names=[f.name for f in out.fields])
 
     return df.select(F.col(key), *(F.col(c) for c in columns)).mapInArrow(walk, out)
 
 
-def _plan(shape: str, arrays: set[str]) -> tuple[str, list[int] | None, str | None]:
+def _plan(shape: str, arrays: set[str]) -> tuple[str, list[int] | None, str | None, list[int] | None, int | None]:
     """Path of a shape; for each position in it the index among the given ones
-    or -1 for the 0 of an array of one (None if the shape is no record); and
-    the shape of the record it lies in (None: the document itself)."""
-    steps, taken, path, plan, parent, prefix = shape.split(END), 0, [], [], None, []
-    record = False
+    or -1 for the 0 of an array of one (None if the shape is no record); path
+    and positions of the record it lies in (None: the document itself), and
+    which of the objects it lies in that is (1: the inmost)."""
+    steps, taken, path, plan, prefix = shape.split(END), 0, [], [], []
+    parent, parent_plan, up, record = None, None, None, False
     for i, step in enumerate(steps):
         name = step.rstrip(ELEMENT + LONE)
         path.append(name)
@@ -186,8 +260,8 @@ def _plan(shape: str, arrays: set[str]) -> tuple[str, list[int] | None, str | No
                 plan.append(-1)
                 record = True
         if record and i < len(steps) - 1:
-            parent = END.join(prefix)
-    return ".".join(path), plan if record else None, parent
+            parent, parent_plan, up = ".".join(path), list(plan), len(steps) - 1 - i
+    return ".".join(path), plan if record else None, parent, parent_plan, up
 
 
 def _small(df: DataFrame, column: str) -> bool:
@@ -195,8 +269,8 @@ def _small(df: DataFrame, column: str) -> bool:
 
 
 def resolve(nodes: DataFrame, parts: bool = False) -> DataFrame:
-    """A row per shape that is a child record's: ``shape``, ``path``, ``plan``
-    and ``parent`` (see :func:`_plan`). A lone object is a record if its path
+    """A row per shape that is a child record's: ``shape``, ``path``, ``plan``,
+    ``parent_path``, ``parent_plan`` and ``up`` (see :func:`_plan`). A lone object is a record if its path
     holds an array in any row of ``nodes``; with ``parts``, one that is none
     but lies in a record has a row too, with a null ``plan``. The work is on
     distinct shapes."""
@@ -210,11 +284,11 @@ def resolve(nodes: DataFrame, parts: bool = False) -> DataFrame:
     lone = shapes.select("shape", F.explode_outer(F.transform(tried, prefix)).alias("path"))
     known = lone.join(arrays.withColumn("is_array", F.lit(True)), "path", "left").groupBy("shape").agg(F.collect_set(F.when(F.col("is_array"), F.col("path"))).alias("arrays"))
 
-    @F.pandas_udf("path string, plan array<int>, parent string")
+    @F.pandas_udf("path string, plan array<int>, parent_path string, parent_plan array<int>, up int")
     def planned(shape: pd.Series, arrays: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_plan(s, set(a)) for s, a in zip(shape, arrays, strict=True)], columns=["path", "plan", "parent"], dtype=object)
+        return pd.DataFrame([_plan(s, set(a)) for s, a in zip(shape, arrays, strict=True)], columns=["path", "plan", "parent_path", "parent_plan", "up"], dtype=object)
 
-    return known.select("shape", planned("shape", "arrays").alias("p")).select("shape", "p.*").where("plan IS NOT NULL OR parent IS NOT NULL" if parts else "plan IS NOT NULL")
+    return known.select("shape", planned("shape", "arrays").alias("p")).select("shape", "p.*").where("plan IS NOT NULL OR up IS NOT NULL" if parts else "plan IS NOT NULL")
 
 
 def records(nodes: DataFrame, *keep: str, parts: bool = False) -> DataFrame:
@@ -224,8 +298,11 @@ def records(nodes: DataFrame, *keep: str, parts: bool = False) -> DataFrame:
     plans = staged(resolve(nodes, parts), "shapes")
     if _small(plans, "shape"):
         plans = F.broadcast(plans)
-    at = F.transform("plan", lambda i: F.when(i < 0, "0").otherwise(F.element_at("pos", i + 1).cast("string")))
-    return nodes.where("pos IS NOT NULL").join(plans, "shape").select("key", "path", F.array_join(at, ".").alias("pos"), *keep)
+    return nodes.where("pos IS NOT NULL").withColumnRenamed("pos", "places").join(plans, "shape").select("key", "path", _positions("plan").alias("pos"), *keep)
+
+
+def _positions(plan: str) -> Column:
+    return F.array_join(F.transform(plan, lambda i: F.when(i < 0, "0").otherwise(F.element_at("places", i + 1).cast("string"))), ".")
 
 
 def elements(df: DataFrame, key: str, column: str) -> DataFrame:
@@ -252,43 +329,46 @@ def child_records(df: DataFrame, key: str, json_columns: list[str], array_column
 
 
 def linked(nodes: DataFrame) -> DataFrame:
-    """The record table: ``key``, ``path``, ``pos``, ``pre``, ``post``, ``column``,
-    ``fields`` and the parent's ``parent_path``, ``parent_pos`` and
-    ``parent_pre`` (null: the record lies in the row itself).
+    """The record table of a (written) node table: ``key``, ``path``, ``pos``,
+    ``pre``, ``post``, ``column``, ``fields`` and the parent's ``parent_path``,
+    ``parent_pos`` and ``parent_pre`` (null: the record lies in the row itself).
 
-    The parent is the record of the parent's shape whose interval holds the
-    child's; the join is by row and that shape, so only records of one kind
-    within one document meet, ordered by pre: the parent is the last record
-    of that shape before the child whose interval is still open. That is a
-    window over both, with no pairs. Repeated rows are counted once.
+    The parent is the inmost record among the objects whose intervals hold the
+    child's; which of them are records is settled per distinct shape.
 
     Lone objects that are no records are part of the record they lie in:
     their fields stand among its ``fields`` under the names on the way joined
     by dots. Where two fields come to one name, it has a JSON array of both.
+    Only records with such parts are brought together with them by a shuffle.
     """
     root = F.substring_index(F.regexp_replace("shape", "[\x01\x02]", ""), END, 1)
-    found = records(nodes, "shape", "plan", "parent", "pre", "post", "fields", "ups", parts=True).withColumn("column", root)
+    parent_pre = F.when(F.col("up").isNotNull(), F.element_at("ups", F.col("up")))
+    parent = ["parent_path", _positions("parent_plan").alias("parent_pos"), parent_pre.alias("parent_pre")]
+    found = records(nodes, "shape", "plan", "up", "pre", "post", "fields", "holds", *parent, parts=True).withColumn("column", root)
+    out = ["key", "column", "path", "pos", "pre", "post", "fields", "parent_path", "parent_pos", "parent_pre"]
+    alone = found.where("plan IS NOT NULL AND NOT holds").select(*out)
     is_part = F.col("plan").isNull()
-    way = F.translate(F.regexp_replace(F.expr("substr(shape, length(parent) + 2)"), "[\x01\x02]", ""), END, ".")
-    up = F.element_at("ups", F.size(F.split("shape", END)) - F.size(F.split("parent", END)))
+    steps = F.split(F.regexp_replace("shape", "[\x01\x02]", ""), END)
+    way = F.array_join(F.slice(steps, F.size(steps) - F.col("up") + 1, F.col("up")), ".")
     named = F.transform(F.map_entries("fields"), lambda e: F.struct(F.when(is_part, F.concat(way, F.lit("."), e.key)).otherwise(e.key).alias("key"), e.value.alias("value")))
-    whole = F.when(~is_part, F.struct("path", "pos", "post", "shape", "parent"))
-    # One shuffle brings each document together: parts go to their record, repeated rows and links are settled within.
-    rows = found.select("key", "column", F.when(is_part, up).otherwise(F.col("pre")).alias("pre"), whole.alias("r"), F.struct("pre", named.alias("named")).alias("part")).repartition("key", "column")
+    whole = F.when(~is_part, F.struct("path", "pos", "post", *(c for c in out if c.startswith("parent_"))))
+    rows = found.where("plan IS NULL OR holds").select("key", "column", F.when(is_part, F.col("parent_pre")).otherwise(F.col("pre")).alias("pre"), whole.alias("r"), F.struct("pre", named.alias("named")).alias("part"))
+    # The objects of one record, which were one text.
     rows = rows.groupBy("key", "column", "pre").agg(F.max("r").alias("r"), F.sort_array(F.collect_set("part")).alias("parts"))
     rows = rows.select("key", "column", "pre", "r.*", F.flatten(F.transform("parts", lambda p: p.named)).alias("named"))
     names = F.array_distinct(F.transform("named", lambda e: e.key))
     of = lambda n: F.transform(F.filter("named", lambda e: e.key == n), lambda e: e.value)
     clash = F.map_from_arrays(names, F.transform(names, lambda n: F.when(F.size(of(n)) > 1, F.to_json(of(n))).otherwise(F.element_at(of(n), 1))))
-    rows = rows.withColumn("fields", F.when(F.size(names) < F.size("named"), clash).otherwise(F.map_from_entries("named"))).drop("named")
-    roles = rows.withColumn("as_parent", F.explode(F.array(F.lit(False), F.lit(True))))
-    roles = roles.withColumn("join", F.when(F.col("as_parent"), F.col("shape")).otherwise(F.coalesce("parent", F.lit("")))).withColumn("fields", F.when(~F.col("as_parent"), F.col("fields")))
-    before = Window.partitionBy("key", "column", "join").orderBy("pre").rowsBetween(Window.unboundedPreceding, -1)
-    # Records of one shape don't hold each other, so the last one begun is the one still open.
-    last = F.last(F.when(F.col("as_parent"), F.struct("path", "pos", "pre", "post")), ignorenulls=True).over(before)
-    found = roles.withColumn("up", last).where("NOT as_parent")
-    inside = F.col("parent").isNotNull() & (F.col("up.pre") < F.col("pre")) & (F.col("up.post") > F.col("post"))
-    return found.select("key", "column", "path", "pos", "pre", "post", "fields", *(F.when(inside, F.col(f"up.{c}")).alias(f"parent_{c}") for c in ("path", "pos", "pre")))
+    folded = rows.withColumn("fields", F.when(F.size(names) < F.size("named"), clash).otherwise(F.map_from_entries("named")))
+    return alone.unionByName(folded.select(*out))
+
+
+def tables(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """:func:`linked` of the JSON ``columns``, each row counted once however
+    often it is repeated. The texts are shuffled for that, once; their records,
+    which are larger, are not."""
+    rows = df.select(key, *columns).repartition(key).dropDuplicates([key, *columns])
+    return linked(staged(label(rows, key, columns), "nodes"))
 
 
 def flat_table(links: DataFrame, path: str, columns: list[str]) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tarnwork.model import STATES
 from tarnwork.operators import drift, nested
 from tarnwork.operators import tree_agg as tree
-from tarnwork.runtime import staged
 from tarnwork.sources import distinct_rows, table
 
 #: A chunk's rows, the merges per round, and the least rounds, of the queries below.
@@ -70,7 +69,7 @@ def p4_tables(spark: SparkSession, d: str) -> DataFrame:
     """The child records of args and metadata with their fields (as JSON) and
     the record each lies in."""
     jobs = table(spark, d, "job_row").select("id", "args", "metadata")
-    links = nested.linked(staged(nested.label(jobs, "id", ["args", "metadata"]), "nodes"))
+    links = nested.tables(jobs, "id", ["args", "metadata"])
     return links.select(F.col("key").alias("id"), "path", "pos", "pre", "post", F.to_json("fields").alias("fields"), "parent_path", "parent_pos")
 
 

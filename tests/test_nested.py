@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tarnwork.operators import nested
 from tarnwork.plans.problems import QUERIES
-from tarnwork.runtime import staged
 from tests.conftest import DATA
 
 
@@ -71,6 +70,8 @@ CASES = [
     "not json", "", None, "null", "7", '"text"',
     '{"s": "\\ud800", "k": [{"u": 1}]}',
     '{"a": ' + "[" * 5000 + "]" * 5000 + "}",
+    '{"a": ' + "[" * 12_000 + '{"b": [{"c": 1}]}' + "]" * 12_000 + "}",
+    '{"o": ' * 200 + '[{"u": 1}]' + "}" * 200,
     '{"long": [{"t": "' + "x" * 200_000 + '"}]}',
 ]
 
@@ -98,7 +99,7 @@ def test_array_columns_keep_positions(spark):
 
 def test_intervals_link_parents(spark):
     df = spark.createDataFrame([(1, CASES[0]), (1, CASES[0]), (2, CASES[1]), (3, CASES[3])], "id long, args string")
-    rows = nested.linked(staged(nested.label(df, "id", ["args"]), "t")).collect()
+    rows = nested.tables(df, "id", ["args"]).collect()
     by = {(r.key, r.path, r.pos): r for r in rows}
     assert len(rows) == len(by)
     assert by[1, "args.a.b", "0.2"].parent_path == "args.a" and by[1, "args.a.b", "0.2"].parent_pos == "0"
@@ -108,7 +109,7 @@ def test_intervals_link_parents(spark):
         if r.parent_path:
             up = by[r.key, r.parent_path, r.parent_pos]
             assert up.pre < r.pre and up.post > r.post
-    links = nested.linked(staged(nested.label(df, "id", ["args"]), "t"))
+    links = nested.tables(df, "id", ["args"])
     table = nested.flat_table(links, "args.a.b", ["c", "none"]).collect()
     assert {(r.key, r.pos, r.c, r.none) for r in table} == {(1, "0.0", "1", None), (1, "0.2", "2", None), (2, "0.0", "3", None)}
 
@@ -131,7 +132,7 @@ LONE = [
 
 def test_every_scalar_below_a_record_comes_out(spark):
     df = spark.createDataFrame([(i, c) for i, c in enumerate(LONE)] + [(0, LONE[0])], "id long, args string")
-    rows = nested.linked(staged(nested.label(df, "id", ["args"]), "t")).collect()
+    rows = nested.tables(df, "id", ["args"]).collect()
     for i, doc in enumerate(LONE):
         got = [x for r in rows if r.key == i for v in r.fields.values() for x in leaves(v)]
         assert sorted(got) == sorted(leaves(doc))
@@ -171,9 +172,37 @@ def test_tables_hold_every_scalar_of_job_rows(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "id long, args string, errors array<struct<error:string>>")
     assert nested.child_records(df, "id", ["args"], ["errors"]).count() == 0
-    assert nested.linked(staged(nested.label(df, "id", ["args"]), "t")).count() == 0
+    assert nested.tables(df, "id", ["args"]).count() == 0
 
 
-@pytest.mark.parametrize(("shape", "arrays", "want"), [("args\x02\x1fa\x01\x1fb\x02", set(), ("args.a.b", None, "args\x02\x1fa\x01")), ("args\x02\x1fa\x02", {"args.a"}, ("args.a", [-1], None)), ("args\x02\x1fa\x01\x01", set(), ("args.a", [0, 1], None))])
+@pytest.mark.parametrize(("shape", "arrays", "want"), [("args\x02\x1fa\x01\x1fb\x02", set(), ("args.a.b", None, "args.a", [0], 1)), ("args\x02\x1fa\x02", {"args.a"}, ("args.a", [-1], None, None, None)), ("args\x02\x1fa\x01\x01", set(), ("args.a", [0, 1], None, None, None)), ("args\x02\x1fa\x02\x1fb\x02\x1fc\x01", {"args.a"}, ("args.a.b.c", [-1, 0], "args.a", [-1], 2))])
 def test_plan_of_a_shape(shape, arrays, want):
     assert nested._plan(shape, arrays) == want
+
+
+def labelled(doc):
+    see = nested.Labeller(True)
+    see.document(1, "args", json.loads(doc))
+    return see
+
+
+def test_intervals_nest_and_hold():
+    nodes, posts = nested.numbered(json.loads(CASES[3]))
+    up = nested.holders(posts)
+    for i, (_, _, _, pre) in enumerate(nodes):
+        held_by = [j for j, (_, _, _, p) in enumerate(nodes) if p < pre and posts[j] > posts[i]]
+        assert up[i] == (held_by[-1] if held_by else -1)
+    numbers = sorted(n[3] for n in nodes)
+    assert len(set(numbers)) == len(numbers) == len(set(posts))
+
+
+def test_records_come_from_the_intervals(monkeypatch):
+    """Paths, positions and parents are found through the labels alone."""
+    whole = labelled(CASES[0]).rows
+    assert sum(r[1].endswith(nested.ELEMENT) for r in whole) == 4
+    real = nested.numbered
+    monkeypatch.setattr(nested, "numbered", lambda v: (real(v)[0], [0] * len(real(v)[1])))
+    assert [r[1:3] for r in labelled(CASES[0]).rows] != [r[1:3] for r in whole]
+    monkeypatch.setattr(nested, "holders", lambda posts: [-1] * len(posts))
+    off = labelled(CASES[0]).rows
+    assert not any(r[1].endswith(nested.ELEMENT) or r[2] or r[6] for r in off)
