@@ -1,26 +1,36 @@
 """Texts that were cut off, by a corpus vocabulary trie and length evidence.
 
 One pass over the texts gathers, batch by batch and summed up over all, the
-corpus vocabulary (each word but the last of a text, with how often a sentence
-ends on it), abbreviations, and the shapes of lines that stand without a full
-stop; and for every text how it ends. The trie of the vocabulary is a table of
-its prefixes: a final word that no text holds elsewhere and that is a proper
-prefix of known words was cut. A last line without a full stop breaks off
-inside a sentence unless it closes by its form (table row, log line, fence,
-sign-off, emoji) or its shape is a known whole line that no more frequent line
-carries on; the trie of known lines tells that. Lengths that a source has far
-more often than their neighbours are its limits and decide doubtful endings.
+corpus vocabulary (each word but the last of a text, with how often it goes on
+within its line, ends a sentence, or ends a line bare), abbreviations, and the
+shapes of lines that stand without a full stop; and for every text how it ends.
+
+A text is flagged on evidence only, of which there are four kinds:
+
+- ``word``: the vocabulary's trie of letters. The final word stands nowhere
+  else and is a proper prefix of known words.
+- ``phrase``: the trie's next level, of words. The final word is known and
+  goes on in the corpus more often than lines end on it, or the last line is a
+  proper prefix of a known line that is at least as frequent; and the line is
+  not known to be whole.
+- ``length``: the text is as long as its source's limit, which is a length that
+  the source has far more often than lengths nearby.
+- ``open``: a mark of the cut, or a code block, table row or log line not closed.
+
+The form of an ending only excuses: a full stop, a closed row, block or log
+line, a sign-off, an item among items, a link, an emoji, or a whole line that
+other texts have too.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,20 +44,26 @@ CLOSERS = "\"'”’»)]」』*_`"
 BULLET = re.compile(r"^\s*(?:[-+*•–]|\d{1,3}[.)])\s+")
 LOG_LINE = re.compile(r"^\s*\[?(?:\d{4}-\d\d-\d\d[T ])?\d{1,2}:\d\d(?::\d\d(?:[.,]\d+)?)?Z?\]?\s.*\b\w+=")
 SIGN_OFF = re.compile(r"^\s*(?:--|—|–)\s?\S")
+#: Where a token falls apart that no space divides: paths and values, and clauses of scripts without spaces.
+WITHIN, CLAUSE = re.compile(r"[/\\=]"), re.compile(r"([。、！？])")
 WORD = re.compile(r"[^\W_](?:[\w'’-]*\w)?")
-DIGITS, NAMES = re.compile(r"\d+"), re.compile(r"[A-Za-z0-9-]*_[\w-]*|[A-Za-z]+(?:-[A-Za-z]+)*-?\d[\w-]*", re.A)
-#: Longer tokens are no words, longer lines no known lines.
-LONGEST_WORD, LONGEST_LINE = 64, 160
+# Each run of letters is tried once, from its start, so that long lines take time in proportion.
+DIGITS, NAMES = re.compile(r"\d+"), re.compile(r"(?<![A-Za-z0-9-])[A-Za-z0-9-]*+_[\w-]*|(?<![A-Za-z])(?<![A-Za-z]-)[A-Za-z]++(?:-[A-Za-z]++)*+-?\d[\w-]*", re.A)
+#: Longer lines are known by a digest of their shape (and have no place in the trie of lines).
+WHOLE_LINE = 400
 #: Abbreviations and limits up to which they are broadcast.
 FEW = 50_000
+#: A line is known to be whole if it stands within other texts at least twice, and once for so many times that its
+#: last word goes on; or if at least five different texts end on it, and so many times more than end one word
+#: before or after it, as texts cut anywhere do.
+GOES_ON, SPIKE = 20_000, 4
 
 
 def shape(line: str) -> str:
     """A line with numbers and names of things (held together by _ or with digits)
-    blanked; empty for one too long to be a known line."""
-    if len(line) > LONGEST_LINE:
-        return ""
-    return DIGITS.sub("0", NAMES.sub("K", " ".join(line.split())))
+    blanked; a digest of that for a very long one."""
+    out = DIGITS.sub("0", NAMES.sub("K", " ".join(line.split())))
+    return out if len(out) <= WHOLE_LINE else f"\x00{xxhash.xxh128_hexdigest(out.encode('utf-8', 'replace'))}"
 
 
 def core(token: str) -> str:
@@ -62,35 +78,35 @@ def ending(text: str) -> dict:
     lines = body.split("\n")
     fences = sum(1 for x in lines if x.lstrip().startswith("```"))
     last = lines[-1].strip()
-    out = {"verdict": None, "dots": False, "form": "line", "word": "", "shape": "", "abbr": ""}
+    out = {"settled": None, "dots": False, "form": "line", "word": "", "shape": "", "abbr": ""}
     if not body:
-        return out | {"verdict": False}
+        return out | {"settled": False}
     if fences % 2:
-        return out | {"verdict": True}
+        return out | {"settled": True}
     if last.startswith("```"):
-        return out | {"verdict": False}
+        return out | {"settled": False}
     if CUT_MARK.search(body):
-        return out | {"verdict": True}
+        return out | {"settled": True}
     if last.startswith("|"):
-        return out | {"verdict": not last.endswith("|")}
+        return out | {"settled": not last.endswith("|")}
     end = body[-1]
     if unicodedata.category(end) in ("So", "Sk", "Cs") or end in "️‍":
-        return out | {"verdict": False}
+        return out | {"settled": False}
     tokens = last.split()
     final = tokens[-1]
     out["dots"] = bool(DOTS.search(body))
     if out["dots"]:
         bare = DOTS.sub("", last).rstrip()
-        return out | {"word": core(bare.split()[-1]) if bare.split() else "", "shape": shape(last)}
+        return out | {"word": core(CLAUSE.split(bare.split()[-1])[-1]) if bare.split() else "", "shape": shape(last)}
     if LOG_LINE.match(last):
         closed = last.count('"') % 2 == 0 and re.search(r"\w=(?:\"[^\"]*\"|[^\s\"=]+)$", last[last.rfind(" ", 0, max(0, last.rfind("="))) + 1 :])
         if not closed:
-            return out | {"verdict": True}
+            return out | {"settled": True}
         return out | {"form": "log", "word": core(final.rpartition("=")[2]) if '"' not in final else ""}
     if TERMINAL.search(last):
         stripped = final.rstrip(CLOSERS)
         return out | {"form": "closed", "abbr": stripped.lower() if stripped.endswith(".") else ""}
-    out["word"], out["shape"] = core(re.split(r"[/\\=]", final)[-1]), shape(last)
+    out["word"], out["shape"] = core(CLAUSE.split(WITHIN.split(final)[-1])[-1]), shape(last)
     item = BULLET.match(last)
     if item and last[item.end() : item.end() + 1].islower() and any((m := BULLET.match(x)) and not TERMINAL.search(x.rstrip()) for x in lines[-12:-1]):
         out["form"] = "item"
@@ -101,26 +117,29 @@ def ending(text: str) -> dict:
     return out
 
 
-FOUND = "kind string, name string, a bigint, b bigint, doc_id {id}, source string, chars bigint, bytes bigint, digest bigint, verdict boolean, dots boolean, form string, word string, shape string, abbr string"
+FOUND = "kind string, name string, a bigint, b bigint, c bigint, doc_id {id}, source string, chars bigint, bytes bigint, digest bigint, settled boolean, dots boolean, form string, word string, shape string, abbr string"
 
 
 def gather(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    """One row per text (kind ``end``) and, per batch, counts: ``word`` (a: not
-    at a sentence's end, b: at one), ``abbr`` (a: a small letter or digit
-    follows, b: anything else) and ``line`` (a: within a text)."""
+    """One row per text (kind ``end``; ``settled``: cut or not by open or closed
+    form alone) and, per batch, counts: ``word`` (a: goes on in its line, b: at
+    a sentence's end, c: at a bare line's end), ``abbr`` (a: a small letter or
+    digit follows, b: anything else) and ``line`` (a: within a text)."""
     src = docs.select(F.col(key), F.col(text).cast("string"), F.col(source).cast("string"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             pdf.columns = ["doc_id", "text", "source"]
             tokens: Counter = Counter()
+            bare: Counter = Counter()
             lines: Counter = Counter()
             abbr: dict[str, list[int]] = defaultdict(lambda: [0, 0])
             ends = []
             for doc, t, s in zip(pdf["doc_id"], pdf["text"], pdf["source"], strict=True):
                 if t is None or not isinstance(t, str):
                     continue
-                ends.append({"doc_id": doc, "source": s, "chars": len(t), "bytes": len(t.encode("utf-8", "replace")), "digest": int.from_bytes(hashlib.blake2b(t.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True), **ending(t)})
+                raw = t.encode("utf-8", "replace")
+                ends.append({"doc_id": doc, "source": s, "chars": len(t), "bytes": len(raw), "digest": xxhash.xxh64_intdigest(raw) - (1 << 63), **ending(t)})
                 toks = t.split()
                 tokens.update(toks[:-1])
                 for x, y in zip(toks, toks[1:]):
@@ -131,27 +150,35 @@ def gather(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
                     x = x.strip()
                     if x.startswith("```"):
                         fence = not fence
-                    elif x and not fence and len(x) <= LONGEST_LINE and x[0] != "|" and not TERMINAL.search(x) and not LOG_LINE.match(x):
+                    elif x and not fence and x[0] != "|" and not TERMINAL.search(x, max(0, len(x) - 16)) and not LOG_LINE.match(x):
                         lines[x] += 1
-            words: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+                        bare[x.rsplit(None, 1)[-1]] += 1
+            words: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0])
             for x, n in tokens.items():
-                ended = bool(TERMINAL.search(x))
+                if not x.isascii() and CLAUSE.search(x):
+                    *clauses, x = CLAUSE.split(x)  # clauses and the marks behind them in turn
+                    for clause, mark in zip(clauses[::2], clauses[1::2], strict=True):
+                        if w := core(clause):
+                            words[w][mark != "、"] += n
                 w = core(x)
-                if 0 < len(w) <= LONGEST_WORD:
-                    words[w][ended] += n
-                    for part in re.split(r"[/\\=\"]", w):
-                        if part and part != w:
-                            words[part.strip(".,;:!?)]")][0] += n
+                if w:
+                    mine, ended = words[w], bare[x]
+                    mine[2] += ended
+                    mine[1 if TERMINAL.search(x, max(0, len(x) - 16)) else 0] += n - ended
+                    if "/" in w or "=" in w or "\\" in w or '"' in w:
+                        for part in re.split(r"[/\\=\"]", w):
+                            if part and part != w:
+                                words[part.strip(".,;:!?)]")][0] += n
             shapes: Counter = Counter()
             for x, n in lines.items():
                 shapes[shape(x)] += n
-            rows = [("word", w, *n) for w, n in words.items() if w] + [("abbr", w, *n) for w, n in abbr.items() if n[0] and len(w) <= LONGEST_WORD] + [("line", x, n, 0) for x, n in shapes.items()]
-            out = pd.concat([pd.DataFrame(ends).assign(kind="end", name=None, a=0, b=0) if ends else pd.DataFrame(), pd.DataFrame(rows, columns=["kind", "name", "a", "b"])], ignore_index=True)
+            rows = [("word", w, *n) for w, n in words.items() if w] + [("abbr", w, *n, 0) for w, n in abbr.items() if n[0]] + [("line", x, n, 0, 0) for x, n in shapes.items()]
+            out = pd.concat([pd.DataFrame(ends).assign(kind="end", name=None, a=0, b=0, c=0) if ends else pd.DataFrame(), pd.DataFrame(rows, columns=["kind", "name", "a", "b", "c"])], ignore_index=True)
             if len(out):
                 out = out.reindex(columns=[c.split()[0] for c in FOUND.split(", ")])
                 for c in ("chars", "bytes", "digest"):
                     out[c] = out[c].astype("Int64")
-                out["verdict"], out["dots"] = out["verdict"].astype("boolean"), out["dots"].astype("boolean")
+                out["settled"], out["dots"] = out["settled"].astype("boolean"), out["dots"].astype("boolean")
                 yield out
 
     return src.mapInPandas(run, FOUND.format(id=docs.schema[key].dataType.simpleString()))
@@ -166,72 +193,108 @@ def limits(ends: DataFrame, length: str) -> DataFrame:
     return own.withColumn("around", around).where((F.col("n") >= 5) & (F.col("n") >= 8 * F.greatest("around", F.lit(0.25)))).select("source", length)
 
 
-def _prefixes(words: DataFrame, name: str) -> DataFrame:
-    """The trie's inner nodes: every proper prefix with the count of the most
-    frequent word below it."""
-    nodes = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length(name) - 1), lambda i: F.substring(F.col(name), F.lit(1), i))).alias("prefix"), "n")
-    return nodes.groupBy("prefix").agg(F.max("n").alias("below"))
+def continued(finals: DataFrame, known: DataFrame, name: str, head: int = 4) -> DataFrame:
+    """(``name``, ``below``) of those ``finals`` that are inner nodes of the trie
+    of ``known`` (``name``, ``n``): proper prefixes of its entries, with the
+    count of the most frequent entry below.
+
+    The trie is built only where a final can meet it: of entries that begin
+    like a final, and of those the prefixes as long as a final of that beginning.
+    """
+    heads = finals.select(F.substring(name, 1, head).alias("head"), F.length(name).alias("size")).distinct()
+    short = heads.where(F.col("size") < head).select("head", F.array("size").alias("sizes"))
+    heads = heads.where(F.col("size") >= head).groupBy("head").agg(F.collect_set("size").alias("sizes"))  # lengths of words or lines
+    meets = known.select(name, "n", F.substring(name, 1, head).alias("head")).join(heads, "head")
+    nodes = meets.select(F.explode(F.filter("sizes", lambda i: i < F.length(name))).alias("size"), name, "n")
+    by_start = [F.struct(F.substring(name, 1, i).alias("head"), F.lit(i).alias("size")) for i in range(1, head)]
+    brief = known.where(F.length(name) > 1).select(F.explode(F.array(*by_start)).alias("p"), name, "n").where(F.col("p.size") < F.length(name)).select("p.head", name, "n").groupBy("head").agg(F.max("n").alias("below"))
+    brief = brief.join(short.select("head"), "head", "left_semi").withColumnRenamed("head", name)
+    deep = nodes.select(F.expr(f"substring({name}, 1, size)").alias(name), "n").groupBy(name).agg(F.max("n").alias("below"))
+    return deep.unionByName(brief).join(finals.select(name).distinct(), name, "left_semi")
+
+
+def whole_lines(ends: DataFrame, within: DataFrame) -> DataFrame:
+    """(shape, as_last, within, before, after) of the shapes on which texts end:
+    how many different texts do, how often they are lines within texts, and how
+    many different texts end a word before or a word after."""
+    last = ends.where("shape != ''").select("shape", "digest").distinct().groupBy("shape").agg(F.count(F.lit(1)).alias("as_last"))
+    parent = F.when(F.col("shape").contains(" "), F.regexp_replace("shape", " [^ ]*$", ""))
+    last = last.withColumn("parent", parent)
+    after = last.where("parent IS NOT NULL").groupBy(F.col("parent").alias("shape")).agg(F.sum("as_last").alias("after"))
+    before = last.select(F.col("shape").alias("parent"), F.col("as_last").alias("before"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return last.join(before, "parent", "left").join(after, "shape", "left").join(within, "shape", "left").select("shape", "as_last", zero("within"), zero("before"), zero("after"))
 
 
 def judge(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
     """A row per text that isn't null: ``key``, ``source``, ``at_limit`` (its
-    length is a limit of its source), ``cut_word`` (trie verdict) and ``cut``.
+    length is a limit of its source), ``cut_word`` (verdict of the trie of
+    letters), ``evidence`` (see the module; the first that holds) and ``cut``.
 
     Blank texts are never cut. Repeated texts count once as evidence, so
     copies of a cut text don't make its ending known; each document is judged.
-    Words count in any case of letters. Extra columns aren't read; an empty
-    table gives an empty result.
+    Words count in any case of letters, words and lines of any length. Extra
+    columns aren't read; an empty table gives an empty result.
     """
     all_ = staged(gather(docs, key, text, source), "endings")
-    ends = all_.where("kind = 'end'")
-    counts = all_.where("kind != 'end'").groupBy("kind", "name").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    ends = all_.where("kind = 'end'").drop("kind", "name", "a", "b", "c")
+    counts = all_.where("kind != 'end'").groupBy("kind", "name").agg(*(F.sum(c).alias(c) for c in "abc"))
     counts = staged(counts, "vocabulary")
-    words = counts.where("kind = 'word'").select(F.col("name").alias("word"), (F.col("a") + F.col("b")).alias("n"), "a", "b")
+    words = counts.where("kind = 'word'").select(F.col("name").alias("word"), (F.col("a") + F.col("b") + F.col("c")).alias("n"), "a", "b", "c")
+    # Names and numbers that are seen once are judged as names and numbers: two rows at most.
+    named, number = F.col("word").rlike("_|[0-9]"), F.col("word").rlike("^[0-9.,:]+$")
+    kind_of = F.when(number, "0").when(named, "K")
+    kinds = words.where(named).groupBy(kind_of.alias("word_kind")).agg(F.sum("a").alias("kind_a"), F.sum("b").alias("kind_b"), F.sum("c").alias("kind_c"))
     # What isn't settled by its form; the others, most texts, take no part in the joins on words and lines.
-    looked_up = F.col("verdict").isNull() & (F.col("dots") | F.col("form").isin("line", "item", "sign-off", "link"))
-    open_ = ends.where(looked_up)
+    looked_up = F.col("settled").isNull() & (F.col("dots") | F.col("form").isin("line", "item", "sign-off", "link"))
+    open_ = ends.where(looked_up).select("doc_id", "word", "shape", "digest")
 
     finals = open_.where("word != ''").select("word").distinct()
-    known = finals.join(words, "word", "left")
-    trie = _prefixes(words.where("length(word) > 1"), "word").withColumnRenamed("prefix", "word")
-    known = known.join(trie, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("word_n"), F.coalesce("a", F.lit(0)).alias("mid"), F.coalesce("b", F.lit(0)).alias("fin"), F.col("below").isNotNull().alias("goes_on"))
+    known = staged(finals.join(words, "word", "left").withColumn("word_kind", kind_of), "finals")
+    trie = continued(known.where("n IS NULL").select("word"), words.select("word", "n"), "word")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    known = known.join(F.broadcast(kinds), "word_kind", "left").join(trie, "word", "left").select("word", zero("n"), *(F.coalesce(x, F.when(F.col("n").isNull(), F.col(f"kind_{x}")), F.lit(0)).alias(x) for x in "abc"), F.col("below").isNotNull().alias("goes_on"))
 
-    shapes = open_.where("shape != ''").select("shape", "digest").distinct().groupBy("shape").agg(F.count(F.lit(1)).alias("as_last"))
     within = counts.where("kind = 'line'").select(F.col("name").alias("shape"), F.col("a").alias("within"))
-    lines = shapes.join(within, "shape", "full").select("shape", F.coalesce("as_last", F.lit(0)).alias("as_last"), F.coalesce("within", F.lit(0)).alias("within"))
-    whole = lines.withColumn("n", F.col("as_last") + F.col("within")).where(f"(within >= 2 OR as_last >= 5) AND length(shape) BETWEEN 2 AND {LONGEST_LINE}")
-    below = _prefixes(whole.select("shape", "n"), "shape").withColumnRenamed("prefix", "shape")
-    line = lines.join(below, "shape", "left").where("as_last > 0").select("shape", ((F.col("within") >= 2) | (F.col("as_last") >= 5)).alias("seen"), (F.coalesce("below", F.lit(0)) >= F.col("as_last") + F.col("within")).alias("carried_on"))
+    lines = staged(whole_lines(open_, within), "lines")
+    listed = within.where("within >= 2 AND length(shape) >= 2").select("shape", F.col("within").alias("n"))
+    below = continued(lines.select("shape"), listed, "shape", 12)
+    line = lines.join(below, "shape", "left").select("shape", "as_last", "within", ((F.col("as_last") >= 5) & (F.col("as_last") >= SPIKE * F.greatest("before", "after"))).alias("spike"), (F.coalesce("below", F.lit(0)) >= F.col("as_last") + F.col("within")).alias("carried_on"))
 
     abbr = counts.where("kind = 'abbr' AND a >= 2 AND a > b").select(F.col("name").alias("abbr"), F.lit(True).alias("is_abbr"))
     limit = limits(ends, "chars").withColumn("by_chars", F.lit(True))
     limit_b = limits(ends.where("bytes > chars"), "bytes").withColumn("by_bytes", F.lit(True))
 
-    judged = open_.join(known, "word", "left").join(line, "shape", "left")
-    kinds = {"word_n": "bigint", "mid": "bigint", "fin": "bigint", "goes_on": "boolean", "seen": "boolean", "carried_on": "boolean"}
-    rest = ends.where(~looked_up).withColumns({c: F.lit(None).cast(t) for c, t in kinds.items()})
-    full = judged.unionByName(rest)
+    # Texts without a final word or line meet nothing; a key of their own each keeps them out of one task.
+    own = F.concat(F.lit("\x00"), F.xxhash64("doc_id").cast("string"))
+    keyed = lambda c: F.when(F.col(c) != "", F.col(c)).otherwise(own).alias(c)
+    judged = ends.where(looked_up).withColumns({c: keyed(c) for c in ("word", "shape")}).join(known, "word", "left").join(line, "shape", "left")
+    rest = ends.where(~looked_up)
+    full = judged.unionByName(rest.withColumns({f.name: F.lit(None).cast(f.dataType) for f in judged.schema.fields if f.name not in rest.columns}))
+    full = full.withColumn("abbr", keyed("abbr"))
     for side, on in ((abbr, "abbr"), (limit, ["source", "chars"]), (limit_b, ["source", "bytes"])):
         side = staged(side, "side")
         # Broadcast only if counted and few; else a join, whose hot keys adaptive execution splits.
         full = full.join(F.broadcast(side) if side.count() <= FEW else side, on, "left")
-    yes: Column = F.lit(True)
-    at_limit = F.coalesce(F.col("by_chars"), F.col("by_bytes"), F.lit(False))
-    cut_word = (F.col("word") != "") & (F.coalesce("word_n", F.lit(0)) == 0) & F.coalesce("goes_on", F.lit(False)) & ~F.col("word").rlike("^[0-9.,:]+$")
-    known_line = F.coalesce(F.col("seen") & ~F.col("carried_on"), F.lit(False))
-    carried_on = F.coalesce("carried_on", F.lit(False))
-    # Where sentences mostly end on the word, a thought was finished before the dots.
-    finished = (F.coalesce("fin", F.lit(0)) > F.coalesce("mid", F.lit(0))) & ~at_limit
-    verdict = (
-        F.when(F.col("verdict").isNotNull(), F.col("verdict"))
-        .when(F.col("form") == "closed", F.coalesce("is_abbr", F.lit(False)))
-        .when(F.col("dots"), ~(known_line | finished) | cut_word)
-        .when(F.col("form") == "log", F.lit(False))
-        .when(cut_word, yes)
-        .when(F.col("form").isin("item", "sign-off", "link"), carried_on)
-        .otherwise(~known_line)
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    n = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("n", "a", "b", "c", "within", "as_last")}
+    at_limit = yes(F.coalesce("by_chars", "by_bytes"))
+    cut_word = F.col("settled").isNull() & ~F.col("word").startswith("\x00") & (n["n"] == 0) & yes(F.col("goes_on")) & ~F.col("word").rlike("^[0-9.,:]+$")
+    known_line = ((n["within"] >= 2) & (n["within"] * GOES_ON >= n["a"]) | yes(F.col("spike"))) & ~yes(F.col("carried_on"))
+    plain = F.col("form") == "line"
+    # Before dots, a word on which sentences mostly end is the end of a thought.
+    goes_on = F.when(F.col("dots"), n["a"] >= n["b"]).otherwise(plain & (n["a"] + n["b"] > n["c"]) | yes(F.col("carried_on")))
+    phrase = (~known_line | at_limit) & goes_on & (n["a"] + n["b"] > 0)
+    evidence = (
+        F.when(F.col("settled"), "open")
+        .when(F.col("settled").isNotNull() | (F.col("form") == "log"), None)
+        .when(F.col("form") == "closed", F.when(yes(F.col("is_abbr")), "phrase"))
+        .when(cut_word, "word")
+        .when(phrase, "phrase")
+        .when(plain & at_limit, "length")
     )
-    return full.select(F.col("doc_id").alias(key), "source", at_limit.alias("at_limit"), F.coalesce(cut_word & F.col("verdict").isNull(), F.lit(False)).alias("cut_word"), verdict.alias("cut"), "form", "dots")
+    out = full.withColumn("__evidence", evidence)
+    return out.select(F.col("doc_id").alias(key), "source", at_limit.alias("at_limit"), cut_word.alias("cut_word"), F.col("__evidence").alias("evidence"), F.col("__evidence").isNotNull().alias("cut"), "form", "dots")
 
 
 def by_source(judged: DataFrame) -> DataFrame:
