@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -62,15 +63,21 @@ def plus_seconds(ts: Column, seconds: Column) -> Column:
 
 
 def _entries(text: Column) -> Column:
-    return F.try_parse_json(text).cast("map<string,variant>")
+    """The fields of an object; null for what is none."""
+    return F.try_parse_json(text).try_cast("map<string,variant>")
 
 
 def json_merge(left: Column, right: Column) -> Column:
     """Shallow merge of two JSON objects: keys of ``right`` win. The result has
-    the kept keys of ``left`` first; spacing is normalised."""
-    a, b = F.coalesce(_entries(left), F.expr("cast(parse_json('{}') as map<string,variant>)")), _entries(right)
+    the kept keys of ``left`` first; spacing is normalised. A null or blank
+    ``left`` counts as empty; one that is no object, or can't be read, stays as
+    it is, and so does any if ``right`` is null. Of a repeated key the last
+    value counts, if the session allows such keys (see
+    :func:`tarnwork.runtime.prepared`), else the text can't be read."""
+    none = F.coalesce(F.trim(left) == "", F.lit(True))
+    a, b = F.when(none, F.expr("cast(parse_json('{}') as map<string,variant>)")).otherwise(_entries(left)), _entries(right)
     kept = F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k))
-    return F.when(b.isNull(), left).otherwise(F.to_json(F.map_concat(kept, b)))
+    return F.when(a.isNull() | b.isNull(), left).otherwise(F.to_json(F.map_concat(kept, b)))
 
 
 def json_has_key(text: Column, key: str) -> Column:
@@ -102,7 +109,11 @@ def _holds(value: Column, want) -> Column:
         return (kind == "BOOLEAN") & (value.try_cast("boolean") == want)
     if isinstance(want, str):
         return (kind == "STRING") & (value.try_cast("string") == want)
-    return (kind.startswith("DECIMAL") | kind.isin("BIGINT", "DOUBLE", "FLOAT", "INT")) & (value.try_cast("double") == float(want))
+    number = kind.startswith("DECIMAL") | kind.isin("BIGINT", "DOUBLE", "FLOAT", "INT")
+    same = value.try_cast("double") == float(want)
+    if isinstance(want, int) and abs(want) < 10**38:  # whole numbers digit by digit
+        same = same & (~kind.rlike(r"^(BIGINT|DECIMAL\(\d+,0\))$") | (value.try_cast("decimal(38,0)") == F.lit(Decimal(want)).cast("decimal(38,0)")))
+    return number & same
 
 
 def json_contains(text: Column, fragment: str) -> Column:

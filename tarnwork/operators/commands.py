@@ -126,7 +126,10 @@ def schedule(jobs: DataFrame, now: datetime, most: int | None = 10_000) -> DataF
     return out.select(*cols, "conflict")
 
 
+#: Why a run ended the way it did.
+REASONS = ("cancelled", "completed", "failed", "interrupted", "snoozed")
 #: Columns of a batch of state changes; a null in an optional one leaves the job's value.
+#: A column ``reason`` (one of :data:`REASONS`) may say what brought it about, as the state alone doesn't.
 SET_STATE = "id bigint, state string, attempt int, error struct<at:timestamp_ntz,attempt:int,error:string,trace:string>, finalized_at timestamp_ntz, metadata string, scheduled_at timestamp_ntz"
 
 
@@ -137,6 +140,7 @@ def set_state(jobs: DataFrame, batch: DataFrame, now: datetime) -> DataFrame:
     was told to cancel is cancelled now, keeping its attempt and time. Errors
     are appended in either case; metadata is merged even if the job isn't
     running. Unknown ids are passed over; unchanged jobs come back as well.
+    All come by id.
     """
     b = batch.select(*(F.col(c).alias(f"__{c}") for c in ("id", "state", "attempt", "error", "finalized_at", "metadata", "scheduled_at")))
     met = jobs.join(b, jobs["id"] == b["__id"])
@@ -152,7 +156,12 @@ def set_state(jobs: DataFrame, batch: DataFrame, now: datetime) -> DataFrame:
         "scheduled_at": take("scheduled_at", moves),
         "state": F.when(cancels, "cancelled").when(running, F.col("__state")).otherwise(F.col("state")),
     }
-    return met.select(*(new[c].alias(c) if c in new else F.col(c) for c in jobs.columns))
+    return met.select(*(new[c].alias(c) if c in new else F.col(c) for c in jobs.columns)).orderBy("id")
+
+
+def reported(changed: DataFrame, batch: DataFrame) -> DataFrame:
+    """The jobs of :func:`set_state` with the ``reason`` of their change."""
+    return changed.join(batch.select("id", "reason"), "id")
 
 
 def last_per_job(commands: DataFrame, order: str) -> DataFrame:
@@ -171,7 +180,7 @@ def rescue(jobs: DataFrame, batch: DataFrame) -> DataFrame:
     n = F.when(number, count.try_cast("double").cast("long")).otherwise(F.lit(0))
     merged = json_merge(F.col("metadata"), F.to_json(F.struct((F.coalesce(n, F.lit(0)) + 1).alias(RESCUE_KEY))))
     new = {"errors": append(F.col("errors"), F.col("__error")), "metadata": merged} | {c: F.col(f"__{c}") for c in ("finalized_at", "scheduled_at", "state")}
-    return jobs.join(b, "id").select(*(new[c].alias(c) if c in new else F.col(c) for c in jobs.columns))
+    return jobs.join(b, "id").select(*(new[c].alias(c) if c in new else F.col(c) for c in jobs.columns)).orderBy("id")
 
 
 def expired(jobs: DataFrame, horizons: dict[str, datetime], most: int | None = 10_000, *, excluded: list[str] | None = None, included: list[str] | None = None) -> DataFrame:
@@ -225,15 +234,25 @@ def insert(jobs: DataFrame, rows: DataFrame, now: datetime) -> DataFrame:
     top = jobs.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__top"))  # one row
     new = new.join(F.broadcast(top)).withColumn("id", F.coalesce("id", F.col("__top") + F.col("ordinal") + 1)).drop("__top")
     bound = F.col("unique_key").isNotNull() & F.coalesce(in_mask(F.col("unique_states"), F.col("state")), F.lit(False))
-    holders = jobs.where(bound).select(F.col("unique_key").alias("__key"), F.struct(*JOB.fieldNames()).alias("__there"))
+    holders = jobs.where(bound).select(F.col("unique_key").alias("__key"), F.col("id").alias("__holder"))
     whole = F.struct(*JOB.fieldNames())
     free = new.where(~bound).select(whole.alias("__row"), "ordinal", F.lit(False).alias("duplicate"))
     first = Window.partitionBy("unique_key").orderBy("ordinal")
     # The batch's own rows of a key: all but the first report the first.
     ranked = new.where(bound).select("unique_key", "ordinal", whole.alias("__row"), F.row_number().over(first).alias("__rank"), F.first(whole).over(first).alias("__first"))
+    # Holders are found by key and id; only those that are met come back whole.
     met = ranked.join(holders, ranked["unique_key"] == holders["__key"], "left")
-    kept = met.select(F.coalesce("__there", F.when(F.col("__rank") > 1, F.col("__first")), "__row").alias("__row"), "ordinal", (F.col("__there").isNotNull() | (F.col("__rank") > 1)).alias("duplicate"))
-    return free.unionByName(kept).select("ordinal", "__row.*", "duplicate")
+    fresh = met.where("__holder IS NULL").select(F.when(F.col("__rank") > 1, F.col("__first")).otherwise(F.col("__row")).alias("__row"), "ordinal", (F.col("__rank") > 1).alias("duplicate"))
+    there = met.where("__holder IS NOT NULL").select("ordinal", "__holder").join(jobs.select(whole.alias("__row"), F.col("id").alias("__holder")), "__holder")
+    return free.unionByName(fresh).unionByName(there.select("__row", "ordinal", F.lit(True).alias("duplicate"))).select("ordinal", "__row.*", "duplicate")
+
+
+def insert_strict(jobs: DataFrame, rows: DataFrame, now: datetime) -> DataFrame:
+    """The new jobs of a bulk load in which a conflict of keys is an error: if
+    any row's key is held, by a job or an earlier row, using the result fails."""
+    result = insert(jobs, rows, now)
+    refused = F.raise_error(F.concat(F.lit("a unique key is held already, by job "), F.col("id").cast("string")))
+    return inserted_rows(result.withColumn("duplicate", F.when(F.col("duplicate"), refused.cast("boolean")).otherwise(F.lit(False))))
 
 
 def inserted_rows(result: DataFrame) -> DataFrame:
@@ -308,6 +327,15 @@ def leader_reelect(leader: DataFrame, who: str, elected_at: datetime, ttl: float
     return leader.where(mine).withColumn("expires_at", plus_seconds(at(now), F.lit(float(ttl))))
 
 
+def leader_insert(leader: DataFrame, who: str, now: datetime, *, ttl: float = 15.0, elected_at: datetime | None = None, expires_at: datetime | None = None) -> DataFrame:
+    """The row of a new term with explicit times where given; there must be no other term."""
+    end = at(expires_at) if expires_at else plus_seconds(at(now), F.lit(float(ttl)))
+    own = leader.sparkSession.range(1).select(at(elected_at or now).alias("elected_at"), end.alias("expires_at"), F.lit(who).alias("leader_id"), F.lit("default").alias("name"))
+    there = leader.select("name", F.col("leader_id").alias("__there"))
+    refused = F.raise_error(F.concat(F.lit("there is a term already, of "), F.col("__there"))).cast("string")
+    return own.join(there, "name", "left").withColumn("leader_id", F.when(F.col("__there").isNotNull(), refused).otherwise(F.col("leader_id"))).select(*leader.columns)
+
+
 def leader_without_expired(leader: DataFrame, now: datetime) -> DataFrame:
     return leader.where(F.col("expires_at") >= at(now))
 
@@ -319,6 +347,11 @@ def leader_resign(leader: DataFrame, who: str, elected_at: datetime) -> tuple[Da
     return leader.where(~mine), notice
 
 
+def leader_elected(leader: DataFrame) -> DataFrame:
+    """The current term, expired or not; no row if there is none."""
+    return leader.where("name = 'default'")
+
+
 def migrations_insert(migrations: DataFrame, line: str, versions: list[int], now: datetime) -> DataFrame:
     new = migrations.sparkSession.createDataFrame([(line, v) for v in versions], "line string, version bigint").withColumn("created_at", at(now))
     return new.join(migrations.select("line", "version"), ["line", "version"], "left_anti").select(*migrations.columns)

@@ -15,6 +15,8 @@ from tarnwork.functions import json_contains, tags_all, tags_any
 from tarnwork.model import FINAL, STATES
 
 MOST = 10_000
+#: What stands for itself in a predicate (quoted text and names, comments), and a value's name.
+_TOKEN = re.compile(r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*"|`(?:[^`]|``)*`|--[^\n]*|/\*.*?\*/|@(\w+)""", re.S)
 _TIME_OF = {"running": "attempted_at"} | dict.fromkeys(FINAL, "finalized_at")
 
 
@@ -86,16 +88,20 @@ class JobFilter:
         json.loads(fragment)
         return replace(self, fragments=(*self.fragments, fragment))
 
-    def where(self, sql: str, **args) -> JobFilter:
-        """A predicate in SQL with values named ``@name``: each must be given, and used."""
-        used = set(re.findall(r"@(\w+)", sql))
-        if missing := used - set(args):
+    def where(self, sql: str, *sets: dict, **args) -> JobFilter:
+        """A predicate in SQL with values named ``@name``: each must be given, and
+        used. Of several sets of values a later one overrules those before it.
+        A name within quotes or a comment is text. Values become literals and
+        are never read again, so they can't change the predicate."""
+        given: dict = {}
+        for more in (*sets, args):
+            given |= more
+        used = {m[1] for m in _TOKEN.finditer(sql) if m[1]}
+        if missing := used - set(given):
             raise ValueError(f"values missing for {sorted(missing)}")
-        if idle := set(args) - used:
+        if idle := set(given) - used:
             raise ValueError(f"values not used: {sorted(idle)}")
-        if twice := set(args) & {k for _, given in self.predicates for k, _ in given}:
-            raise ValueError(f"names given twice: {sorted(twice)}")
-        return replace(self, predicates=(*self.predicates, (sql, tuple(args.items()))))
+        return replace(self, predicates=(*self.predicates, (sql, tuple(given.items()))))
 
     def order_by(self, sort_field: str, descending: bool = False) -> JobFilter:
         if sort_field not in ("id", "finalized_at", "scheduled_at", "time"):
@@ -153,10 +159,8 @@ class JobFilter:
             parts.append(tags_any(F.col("tags"), list(self.any_tags)))
         parts += [json_contains(F.col("metadata"), x) for x in self.fragments]
         for sql, args in self.predicates:
-            text = sql
-            for name, value in sorted(args, key=lambda a: -len(a[0])):
-                text = re.sub(rf"@{name}\b", lambda _, v=value: _literal(v), text)
-            parts.append(F.expr(f"({text})"))
+            values = dict(args)
+            parts.append(F.expr(f"({_TOKEN.sub(lambda m, v=values: _literal(v[m[1]]) if m[1] else m[0], sql)})"))
         if self.cursor:
             c, id_ = self.cursor, F.col("id")
             beyond = id_ < c.id if self.descending else id_ > c.id

@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import json
 import re
+import signal
+import threading
+import traceback
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass
 from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnwork.functions import json_has_key, micros_of, plus_seconds, retry_seconds
+from tarnwork.functions import json_has_key, json_merge, micros_of, plus_seconds, retry_seconds
 from tarnwork.model import CANCEL_KEY, CURSOR_KEY, LOG_KEY, OUTPUT_KEY, RESERVED_PREFIX, REQUIRED_UNIQUE, SNOOZE_KEY, STEP_KEY
 from tarnwork.operators.commands import SET_STATE, at
 
@@ -55,8 +60,8 @@ def commands_of(jobs: DataFrame, outcomes: DataFrame, now: datetime, scheduler_s
     counted = F.to_json(F.struct(snoozes.alias(SNOOZE_KEY)))
     merged = F.when(F.coalesce("o_metadata", F.lit("{}")) == "{}", counted).otherwise(F.concat(F.expr("substr(rtrim(o_metadata), 1, length(rtrim(o_metadata)) - 1)"), F.lit(","), F.substr(counted, F.lit(2))))
     metadata = F.when(is_("snooze"), merged).otherwise(F.col("o_metadata"))
-    out = j.select("id", state.alias("state"), attempt.alias("attempt"), error.alias("error"), finalized.alias("finalized_at"), metadata.alias("metadata"), scheduled.alias("scheduled_at"))
-    return out.select(*(F.col(c.split()[0]) for c in ("id", "state", "attempt", "error", "finalized_at", "metadata", "scheduled_at")))
+    reason = F.when(is_("completed"), "completed").when(is_("cancel"), "cancelled").when(is_("soft_stop"), "interrupted").when(is_("snooze"), "snoozed").otherwise("failed")
+    return j.select("id", state.alias("state"), reason.alias("reason"), attempt.alias("attempt"), error.alias("error"), finalized.alias("finalized_at"), metadata.alias("metadata"), scheduled.alias("scheduled_at"))
 
 
 def rescue_decisions(stuck: DataFrame, kinds: DataFrame, now: datetime, default_timeout_s: float = 60.0, jitter: Column | float = 0.0) -> DataFrame:
@@ -77,7 +82,7 @@ def rescue_decisions(stuck: DataFrame, kinds: DataFrame, now: datetime, default_
         .when(F.col("attempt") < F.greatest(F.col("max_attempts"), F.lit(0)), "retry")
         .otherwise("discard")
     )
-    error = F.struct(at(now).alias("at"), F.greatest(F.col("attempt"), F.lit(0)).alias("attempt"), F.lit("Stuck job rescued").alias("error"), F.lit("").alias("trace"))
+    error = F.struct(at(now).alias("at"), F.greatest(F.col("attempt"), F.lit(0)).alias("attempt"), F.lit("run out of time and taken back by the rescuer").alias("error"), F.lit("").alias("trace"))
     retry_at = plus_seconds(at(now), retry_seconds(F.col("errors"), jitter))
     d = F.col("decision")
     out = j.withColumn("decision", decision)
@@ -114,15 +119,24 @@ def log_entries(jobs: DataFrame, new: DataFrame, most_total: int = 8 << 20, most
     text = F.get_json_object("metadata", f"$['{LOG_KEY}']")
     old = F.from_json(F.when(text.startswith("["), text).otherwise("[]"), "array<struct<attempt:bigint,log:string>>")
     cut = F.when(F.octet_length("log") > most_entry, F.expr(f"cast(substring(encode(log, 'UTF-8'), 1, {most_entry}) as string)")).otherwise(F.col("log"))
-    n = new.select("id", F.struct(F.col("attempt").cast("long").alias("attempt"), cut.alias("log")).alias("__new"))
+    entry = F.struct(F.col("attempt").cast("long").alias("attempt"), cut.alias("log"))
+    n = new.select("id", F.array(entry).alias("__new"))
     j = jobs.select("id", F.coalesce(F.filter(old, lambda x: x.isNotNull()), F.array().cast("array<struct<attempt:bigint,log:string>>")).alias("__old")).join(n, "id")
-    all_ = F.concat("__old", F.array("__new"))
-    size = F.transform("__all", lambda x: F.octet_length(F.to_json(x)) + 1)
-    # Bytes from an entry to the end, brackets and commas included; ever smaller, so the fitting ones are a suffix.
-    upto = F.transform(F.sequence(F.lit(1), F.size("__all")), lambda i: F.aggregate(F.slice(F.col("__size"), i, F.size("__all")), F.lit(1), lambda a, x: a + x))
-    kept = F.filter("__all", lambda x, i: (F.element_at("__upto", i + 1) <= most_total) | (i == F.size("__all") - 1))
-    out = j.select("id", all_.alias("__all")).withColumn("__size", size).withColumn("__upto", upto).select("id", F.posexplode(kept).alias("pos", "e"))
-    return out.select("id", "pos", "e.attempt", "e.log")
+    rows = j.select("id", F.size("__old").alias("__last"), F.posexplode(F.concat("__old", "__new")).alias("pos", "e"))
+    # Bytes from an entry to the end, commas and brackets included: one running sum from the newest.
+    upto = F.sum(F.octet_length(F.to_json("e")) + 1).over(Window.partitionBy("id").orderBy(F.desc("pos"))) + 1
+    kept = rows.withColumn("__upto", upto).where((F.col("__upto") <= most_total) | (F.col("pos") == F.col("__last")))
+    first = F.min("pos").over(Window.partitionBy("id"))
+    return kept.select("id", (F.col("pos") - first).alias("pos"), "e.attempt", "e.log")
+
+
+def log_append(jobs: DataFrame, new: DataFrame, most_total: int = 8 << 20, most_entry: int = 2 << 20) -> DataFrame:
+    """The jobs (``id``, ``metadata`` and whatever else they have) of ``new``
+    with its entries appended to their logs, as :func:`log_entries` keeps them."""
+    kept = log_entries(jobs, new, most_total, most_entry)
+    # Bounded by most_total bytes a job.
+    logs = kept.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "attempt", "log"))), lambda e: F.struct(e.attempt.alias("attempt"), e.log.alias("log"))).alias("__log"))
+    return jobs.join(logs, "id").withColumn("metadata", json_merge(F.col("metadata"), F.to_json(F.struct(F.col("__log").alias(LOG_KEY))))).select(*jobs.columns)
 
 
 def output_update(output: str, most: int = 32 << 20) -> str:
@@ -154,7 +168,8 @@ def next_step(jobs: DataFrame, steps: DataFrame) -> DataFrame:
 
 # --- insert options ----------------------------------------------------------
 
-_QUEUE = re.compile(r"\A[a-z0-9]+(?:[_\-/][a-z0-9]+)*\Z", re.I)
+# The forms of a queue's name and of a tag.
+_QUEUE = re.compile(r"\A[a-z0-9]+(?:[_|\-][a-z0-9]+)*\Z")
 _TAG = re.compile(r"\A\w[\w\-]+\w\Z")
 
 
@@ -206,45 +221,111 @@ class Snooze(Exception):
         self.seconds = seconds
 
 
-class Workers:
-    """Workers by kind of job: a function of the job's args (a dict) and row
-    that may return a metadata update. Hooks ``begin`` and ``end`` are called
-    around each run; ``on_error`` may return True to cancel the job."""
+@contextmanager
+def _limited(seconds: float | None) -> Iterator[None]:
+    """Raises TimeoutError in a run that takes longer; only the thread that runs
+    the batch can be interrupted, so elsewhere there is no limit."""
+    if not seconds or seconds <= 0 or threading.current_thread() is not threading.main_thread():
+        yield
+        return
+
+    def ring(*_):
+        raise TimeoutError(f"no end after {seconds} s")
+
+    before = signal.signal(signal.SIGALRM, ring)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+@dataclass(frozen=True)
+class Worker:
+    """``work`` is a function of a job's args (a dict) and row that may return a
+    metadata update. ``timeout``: seconds a run may take (None: the default,
+    below nought: no limit). ``next_retry``: a function of the row and the
+    exception that may give the time of the next attempt. ``around``: functions
+    of the row and the rest of the run, outermost first."""
 
-    def __init__(self):
-        self._work: dict[str, Callable] = {}
+    work: Callable
+    timeout: float | None = None
+    next_retry: Callable | None = None
+    around: tuple[Callable, ...] = ()
+
+
+class Workers:
+    """Workers by kind of job. Hooks ``begin`` and ``end`` are called around
+    each run, middleware in ``around`` runs it (for all kinds, outside a
+    worker's own); ``on_error`` and ``on_panic`` (for errors that are no
+    Exception of the worker's own making, such as MemoryError) may return True
+    to cancel the job. A plugin is an object with any of ``begin``, ``end``,
+    ``around`` and ``insert`` (called with each row to insert, may change it)."""
+
+    def __init__(self, timeout: float = 60.0):
+        self.timeout = timeout
+        self._work: dict[str, Worker] = {}
         self.begin: list[Callable] = []
         self.end: list[Callable] = []
+        self.around: list[Callable] = []
+        self.insert: list[Callable] = []
         self.on_error: Callable | None = None
+        self.on_panic: Callable | None = None
 
-    def add(self, kind: str, work: Callable, *aliases: str) -> None:
+    def add(self, kind: str, work: Callable | Worker, *aliases: str, **options) -> None:
+        worker = work if isinstance(work, Worker) else Worker(work, **options)
         for k in (kind, *aliases):
             if k in self._work:
                 raise ValueError(f"{k} has a worker already")
-            self._work[k] = work
+            self._work[k] = worker
+
+    def plug(self, plugin: object) -> None:
+        for name in ("begin", "end", "around", "insert"):
+            if hasattr(plugin, name):
+                getattr(self, name).append(getattr(plugin, name))
 
     @property
     def kinds(self) -> list[str]:
         return sorted(self._work)
 
+    def timeouts(self, spark) -> DataFrame:
+        """(kind, timeout_s) of all workers, as :func:`rescue_decisions` takes it; nought: the default."""
+        return spark.createDataFrame([(k, float(self._work[k].timeout or 0)) for k in self.kinds] or [("", 0.0)], "kind string, timeout_s double")
+
+    def inserting(self, rows: list[dict]) -> list[dict]:
+        """Rows to insert after the insert hooks."""
+        for hook in self.insert:
+            rows = [hook(dict(r)) or r for r in rows]
+        return rows
+
     def one(self, row: dict) -> dict:
-        out = {"id": row["id"], "outcome": "completed", "error": None, "trace": None, "snooze_s": None, "metadata": None}
+        out = {"id": row["id"], "outcome": "completed", "error": None, "trace": None, "snooze_s": None, "metadata": None, "retry_at": None}
         for hook in self.begin:
             hook(row)
+        worker = self._work.get(row["kind"])
         try:
-            work = self._work.get(row["kind"])
-            if work is None:
-                raise LookupError(f"job kind is not registered: {row['kind']}")
-            got = work(json.loads(row["args"] or "{}"), row)
+            if worker is None:
+                raise LookupError(f"no worker takes jobs of kind {row['kind']}")
+            run = lambda: worker.work(json.loads(row["args"] or "{}"), row)
+            for layer in reversed([*self.around, *worker.around]):
+                run = lambda inner=run, layer=layer: layer(row, inner)
+            with _limited(self.timeout if worker.timeout is None else worker.timeout):
+                got = run()
             if got:
                 out["metadata"] = json.dumps(got)
         except Snooze as e:
             out |= {"outcome": "snooze", "snooze_s": float(e.seconds)}
         except Cancel as e:
             out |= {"outcome": "cancel", "error": str(e)}
-        except Exception as e:  # noqa: BLE001
-            cancel = bool(self.on_error and self.on_error(row, e))
-            out |= {"outcome": "cancel" if cancel else "error", "error": str(e)}
+        except BaseException as e:  # noqa: BLE001
+            if isinstance(e, KeyboardInterrupt | SystemExit | GeneratorExit):
+                raise
+            handler = self.on_error if isinstance(e, Exception) and not isinstance(e, MemoryError | RecursionError | AssertionError) else self.on_panic or self.on_error
+            cancel = bool(handler and handler(row, e))
+            out |= {"outcome": "cancel" if cancel else "error", "error": str(e), "trace": traceback.format_exc()}
+            if worker is not None and worker.next_retry and not cancel:
+                out["retry_at"] = worker.next_retry(row, e)
         for hook in self.end:
             hook(row, out)
         return out
@@ -254,13 +335,13 @@ class Workers:
 
         def batch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in frames:
-                out = pd.DataFrame([self.one(r) for r in pdf.to_dict("records")], columns=["id", "outcome", "error", "trace", "snooze_s", "metadata"])
-                out["retry_at"] = pd.NaT
+                out = pd.DataFrame([self.one(r) for r in pdf.to_dict("records")], columns=["id", "outcome", "error", "trace", "snooze_s", "metadata", "retry_at"])
+                out["retry_at"] = pd.to_datetime(out["retry_at"])
                 out["started_at"] = pdf["attempted_at"].to_numpy()
                 yield out[[c.split()[0] for c in OUTCOME.split(", ")]]
 
         return jobs.select("id", "kind", "args", "attempt", "attempted_at", "metadata", "queue").mapInPandas(batch, OUTCOME)
 
 
-__all__ = ["SET_STATE", "OUTCOME", "OUTCOMES", "Cancel", "Snooze", "Workers", "check_queue_name", "check_unique", "commands_of", "insert_options", "log_entries", "metadata_update", "next_step", "output_update", "periodic_runs", "periodic_upsert", "rescue_decisions"]
+__all__ = ["SET_STATE", "OUTCOME", "OUTCOMES", "Cancel", "Snooze", "Worker", "Workers", "check_queue_name", "check_unique", "commands_of", "insert_options", "log_append", "log_entries", "metadata_update", "next_step", "output_update", "periodic_runs", "periodic_upsert", "rescue_decisions"]
 

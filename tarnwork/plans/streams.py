@@ -2,27 +2,33 @@
 
 from __future__ import annotations
 
-import uuid
-from datetime import datetime
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwork.model import JOB, NOTIFICATION
-from tarnwork.runtime import shared_dir
+from tarnwork.runtime import prepared, scratch_path
 from tarnwork.streaming import cooldown, job_events, queue_events, statistics, stuck
 
 
+#: How late a row may come, and how far apart two copies of one.
+LATE = "365 days"
+
+
 def _source(spark: SparkSession, d: str, name: str, schema) -> DataFrame:
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
     # As a pattern, for a table may be one file or a folder of files.
-    return spark.readStream.schema(schema).parquet(f"{d}/{name}.parque[t]")
+    return prepared(spark).readStream.schema(schema).parquet(f"{d}/{name}.parque[t]")
+
+
+def once(stream: DataFrame, keys: list[str], ts: str) -> DataFrame:
+    """Repeated rows of a stream counted once, if they come within :data:`LATE` of
+    each other by ``ts``: the state of a key is dropped after that."""
+    timed = stream.withColumn("__once", F.col(ts).cast("timestamp")).withWatermark("__once", LATE)
+    return timed.dropDuplicatesWithinWatermark(keys).drop("__once")
 
 
 def drained(stream: DataFrame, label: str) -> DataFrame:
     """All that a stream gives for the files there are, as a table."""
-    spark, base = stream.sparkSession, f"{shared_dir(stream.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    spark, base = stream.sparkSession, scratch_path(stream.sparkSession, label)
     run = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
@@ -32,7 +38,7 @@ def flushed(stream: DataFrame, label: str) -> DataFrame:
     """As :func:`drained`, of a stream of windows: also the ones that the
     watermark hasn't passed when the files are read. Each batch writes all
     windows anew; the last one's are the result."""
-    spark, base = stream.sparkSession, f"{shared_dir(stream.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    spark, base = stream.sparkSession, scratch_path(stream.sparkSession, label)
     spark.createDataFrame([], stream.schema).write.parquet(f"{base}/out")
 
     def write(windows: DataFrame, _: int) -> None:
@@ -50,37 +56,36 @@ def stream_cooldown(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_stuck(spark: SparkSession, d: str) -> DataFrame:
-    """Jobs that had been running for an hour by 2025-04-15."""
-    jobs = _source(spark, d, "job_row", JOB).select("id", "state", "attempted_at")
-    end = F.lit(datetime(2025, 4, 15)).cast("timestamp_ntz")
-    early = jobs.where((F.col("state") == "running") & (F.col("attempted_at") < end)).withColumn("at", end)
-    return drained(stuck(early, 3600.0, "at"), "stuck")
+    """Jobs that had been running for an hour by the time of the last update."""
+    jobs = _source(spark, d, "job_row", JOB)
+    updates = jobs.select("id", "state", "attempted_at", F.coalesce("finalized_at", "attempted_at", "created_at").alias("at"))
+    return drained(stuck(updates, 3600.0, "at"), "stuck")
 
 
 def stream_events(spark: SparkSession, d: str) -> DataFrame:
     """Events of all job updates."""
-    events = job_events(_source(spark, d, "job_row", JOB).dropDuplicates(["id", "state"]))
+    events = job_events(once(_source(spark, d, "job_row", JOB), ["id", "state"], "created_at"))
     return drained(events.select("event", "id", "kind", "queue", "complete_s", "queue_wait_s", "run_s"), "events")
 
 
 def stream_queue_events(spark: SparkSession, d: str) -> DataFrame:
     """Events of queues paused, resumed and changed."""
     notes = _source(spark, d, "job_notification", NOTIFICATION).where("topic = 'job_control'")
-    return drained(queue_events(notes.dropDuplicates(["id"])), "queue-events")
+    return drained(queue_events(once(notes, ["id"], "created_at")), "queue-events")
 
 
 def stream_statistics(spark: SparkSession, d: str) -> DataFrame:
     """Means of completed jobs per day of their end."""
-    return flushed(statistics(_source(spark, d, "job_row", JOB).dropDuplicates(["id", "state"]), "1 day", "30 days"), "statistics")
+    return flushed(statistics(_source(spark, d, "job_row", JOB), "1 day", LATE, keys=["id"]), "statistics")
 
 
 QUERIES = {f.__name__: f for f in (stream_cooldown, stream_stuck, stream_events, stream_queue_events, stream_statistics)}
 
 _GAP = "(epoch_us({}) - epoch_us({})) / 1e6"
 SQL = {
-    "stream_stuck": "SELECT DISTINCT id, attempted_at FROM job_row WHERE state = 'running' AND epoch_ms(attempted_at) <= epoch_ms(TIMESTAMP '2025-04-14 23:00:00')",
-    "stream_events": "SELECT CASE state WHEN 'completed' THEN 'job_completed' WHEN 'cancelled' THEN 'job_cancelled' WHEN 'scheduled' THEN 'job_snoozed' ELSE 'job_failed' END AS event, id, kind, queue, "
+    "stream_stuck": "SELECT DISTINCT id, attempted_at FROM job_row WHERE state = 'running' AND epoch_ms(attempted_at) + 3600000 < (SELECT max(epoch_ms(coalesce(finalized_at, attempted_at, created_at))) FROM job_row)",
+    "stream_events": "SELECT CASE state WHEN 'completed' THEN 'job_completed' WHEN 'cancelled' THEN 'job_cancelled' ELSE 'job_failed' END AS event, id, kind, queue, "
     f"{_GAP.format('finalized_at', 'created_at')} AS complete_s, {_GAP.format('attempted_at', 'scheduled_at')} AS queue_wait_s, {_GAP.format('finalized_at', 'attempted_at')} AS run_s "
-    "FROM (SELECT DISTINCT id, kind, queue, state, created_at, scheduled_at, attempted_at, finalized_at FROM job_row) WHERE state IN ('completed', 'cancelled', 'retryable', 'discarded', 'scheduled')",
+    "FROM (SELECT DISTINCT id, kind, queue, state, created_at, scheduled_at, attempted_at, finalized_at FROM job_row) WHERE state IN ('completed', 'cancelled', 'retryable', 'discarded')",
     "stream_queue_events": "SELECT CASE json_extract_string(payload, '$.action') WHEN 'pause' THEN 'queue_paused' WHEN 'resume' THEN 'queue_resumed' ELSE 'queue_metadata_changed' END AS event, json_extract_string(payload, '$.queue') AS queue, created_at FROM (SELECT DISTINCT id, created_at, payload, topic FROM job_notification) WHERE topic = 'job_control' AND json_extract_string(payload, '$.action') IN ('pause', 'resume', 'metadata_changed')",
 }

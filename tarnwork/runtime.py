@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +17,7 @@ SMALL = 8_000_000
 
 def build_session(app: str = "tarnwork", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators expect; ``conf`` overrides them."""
-    settings = {
-        "spark.sql.session.timeZone": "UTC",
+    settings = NEEDED | {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
@@ -30,6 +31,18 @@ def build_session(app: str = "tarnwork", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+#: Settings without which results differ: the zone of zoneless times, and the last of repeated keys in JSON.
+NEEDED = {"spark.sql.session.timeZone": "UTC", "spark.sql.variant.allowDuplicateKeys": "true"}
+
+
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session with the settings that results depend on."""
+    for k, v in NEEDED.items():
+        if spark.conf.get(k, None) != v:
+            spark.conf.set(k, v)
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
@@ -48,16 +61,45 @@ def shared_dir(spark: SparkSession) -> str:
 
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut, and
-    a lost executor costs no recomputation. Deleted when the JVM exits."""
+    a lost executor costs no recomputation. Deleted at the end of the
+    :func:`scratch` it is in, or when the JVM exits."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_OPEN: list[list[str]] = []
+
+
+def _fs(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder that is deleted like a staged table."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    target, fs = _fs(spark, path)
+    fs.deleteOnExit(target)
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables staged within are deleted at its end: results must be written or
+    collected by then. For sessions that run many queries."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            target, fs = _fs(spark, path)
+            fs.delete(target, True)
+
+
 def spread(df: DataFrame, rows: int) -> DataFrame:
     """A (written) table in as many partitions that each holds about ``rows``,
     for steps that take much time a row: sized by rows, not by bytes."""

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tarnwork.runtime import prepared
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A parquet table of ``folder``; the session zone is pinned to UTC, in
     which the zoneless timestamps of the tables are written."""
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return prepared(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
 def distinct_rows(df: DataFrame, *columns: str) -> DataFrame:

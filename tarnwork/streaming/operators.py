@@ -13,7 +13,7 @@ from tarnwork.runtime import micros
 
 
 # Kinds of events.
-EVENTS = ["job_cancelled", "job_completed", "job_failed", "job_snoozed", "queue_metadata_changed", "queue_paused", "queue_resumed"]
+EVENTS = ["job_cancelled", "job_completed", "job_failed", "job_interrupted", "job_snoozed", "queue_metadata_changed", "queue_paused", "queue_resumed"]
 
 
 def cooldown(stream: DataFrame, key: str, ts: str, seconds: float, late: str = "0 seconds") -> DataFrame:
@@ -82,10 +82,17 @@ def stuck(updates: DataFrame, after_seconds: float, ts: str = "at", late: str =
 def job_events(updates: DataFrame, kinds: list[str] | None = None) -> DataFrame:
     """Events of job updates: ``event``, the job's columns, and its run's
     statistics in seconds (``complete_s``, ``queue_wait_s``, ``run_s``). An update
-    that is no event is dropped; so is none for want of room. Works on streams
-    and tables alike."""
+    that is no event is dropped; none is for want of room. Works on streams
+    and tables alike.
+
+    Updates with a ``reason`` (see :func:`tarnwork.operators.commands.reported`)
+    have the event it names. Of rows without, only the states that a run's end
+    alone brings about tell: completed, cancelled, and retryable or discarded."""
     s = F.col("state")
-    event = F.when(s == "completed", "job_completed").when(s == "cancelled", "job_cancelled").when(s.isin("retryable", "discarded"), "job_failed").when(s == "scheduled", "job_snoozed")
+    if "reason" in updates.columns:
+        event = F.when(F.col("reason").isNotNull(), F.concat(F.lit("job_"), F.col("reason")))
+    else:
+        event = F.when(s == "completed", "job_completed").when(s == "cancelled", "job_cancelled").when(s.isin("retryable", "discarded"), "job_failed")
     gap = lambda a, b: (F.unix_micros(F.col(a).cast("timestamp")) - F.unix_micros(F.col(b).cast("timestamp"))) / 1e6
     out = updates.withColumns({"event": event, "complete_s": gap("finalized_at", "created_at"), "queue_wait_s": gap("attempted_at", "scheduled_at"), "run_s": gap("finalized_at", "attempted_at")})
     return out.where(F.col("event").isin(*kinds) if kinds else F.col("event").isNotNull())
@@ -98,11 +105,15 @@ def queue_events(notices: DataFrame) -> DataFrame:
     return notices.select(event.alias("event"), F.get_json_object("payload", "$.queue").alias("queue"), "created_at").where("event IS NOT NULL")
 
 
-def statistics(updates: DataFrame, every: str = "1 minute", late: str = "10 minutes") -> DataFrame:
-    """Means of completed jobs per window of their end. In append mode a window
+def statistics(updates: DataFrame, every: str = "1 minute", late: str = "10 minutes", keys: list[str] | None = None) -> DataFrame:
+    """Means of completed jobs per window of their end; with ``keys`` rows that
+    agree in them and in their end count once (state: one until the watermark
+    has passed the end). In append mode a window
     comes out once the watermark has passed it, in complete mode every window
     does, in each batch."""
     done = job_events(updates, ["job_completed"]).withColumn("__ts", F.col("finalized_at").cast("timestamp")).withWatermark("__ts", late)
+    if keys:
+        done = done.dropDuplicates([*keys, "__ts"])
 
     def mean(a: str, b: str):
         us = micros(F.col(a)) - micros(F.col(b))  # whole numbers add up alike in any order
