@@ -2,18 +2,22 @@
 
 A histogram of the leading order columns per group tells a bucket by which at
 least N rows of the group have come; rows beyond that bucket cannot be among
-the first N and are dropped where they lie, before any shuffle by group. The
+the first N and are dropped. Every group has its threshold: those of the
+largest groups go to the rows where they lie, before any shuffle; all others
+meet their rows in the shuffle that the exact ranking needs anyway. The
 survivors are ranked exactly, with the tie keys.
 """
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Groups whose thresholds are broadcast: the largest ones. The rows of all
-#: other groups go to the exact ranking unfiltered.
+from tarnwork.runtime import staged
+
+#: Groups, the largest ones, whose thresholds are broadcast: where most rows of hot groups are dropped early.
 LARGEST = 10_000
 
 
@@ -26,6 +30,12 @@ def _number(df: DataFrame, name: str) -> Column:
     return c.cast("double")
 
 
+def _edges(values: list[float]) -> list[float]:
+    """Inner bounds of buckets as Bucketizer takes them: each once, open at both ends."""
+    inner = sorted({x for x in values if abs(x) < 1e300})
+    return [float("-inf"), *(inner or [0.0]), float("inf")]
+
+
 def top_n(
     df: DataFrame,
     group: str,
@@ -43,10 +53,11 @@ def top_n(
     last either way. The last columns are the tie keys: give a unique one, or
     rows equal in all of them are taken in no certain order. ``coarse``: how
     many leading order columns, all numbers or times, the histogram uses, each
-    in at most ``bins`` buckets of equal width (+1 for nulls and one for NaN),
-    so a group's histogram has at most ``(bins + 2) ** coarse`` rows. A column
-    behind the first is used if all before it are whole numbers of a range of
-    less than ``bins``, each with a bucket of its own.
+    in at most ``bins`` buckets (+1 for nulls and one for NaN), whose bounds
+    are quantiles of all rows, so that a far-off value spoils none. A group's
+    histogram has at most ``(bins + 2) ** coarse`` rows. A column behind the
+    first is used if all before it are whole numbers of a range of less than
+    ``bins``, each with a bucket of its own.
 
     A null group is a group. Groups of fewer than ``n`` rows come out whole;
     repeated rows count as often as they stand; an empty table gives an empty
@@ -61,23 +72,27 @@ def top_n(
     def key(k: Column) -> list[Column]:
         return [c.desc_nulls_last() if d else c.asc_nulls_last() for c, d in zip((k.getField(x) for x in names), down, strict=True)]
 
+    whole_kind = [isinstance(df.schema[x].dataType, T.IntegralType) for x, _ in lead]
     finite = [F.when(F.abs(v := _number(df, x)) < F.lit(1.0e300), v) for x, _ in lead]
-    edges = df.agg(*(f(v).alias(f"{p}{i}") for i, v in enumerate(finite) for p, f in (("lo", F.min), ("hi", F.max)))).first()
-    buckets = []
+    cuts = [i / bins for i in range(1, bins)]
+    facts = df.agg(*(f(v).alias(f"{p}{i}") for i, v in enumerate(finite) for p, f in (("lo", F.min), ("hi", F.max), ("q", lambda v: F.percentile_approx(v, cuts, 10 * bins))))).first()
+    buckets, numbered = [], df
     for i, (x, d) in enumerate(lead):
-        lo, hi = edges[f"lo{i}"], edges[f"hi{i}"]
-        if lo is None:
-            lo = hi = 0.0
-        whole = isinstance(df.schema[x].dataType, T.IntegralType) and hi - lo < bins
-        step = 1.0 if whole else (hi - lo) / bins or 1.0
-        v = -_number(df, x) if d else _number(df, x)
-        start = -hi if d else lo
-        at = F.least(F.greatest(F.floor((v - F.lit(start)) / F.lit(step)), F.lit(0)), F.lit(bins - 1))
-        nan = F.lit(-1 if d else bins)  # NaN is larger than any number
-        buckets.append(F.when(v.isNull(), bins + 1).when(F.isnan(v), nan).otherwise(at).cast("int").alias(f"b{i}"))
+        lo, hi = facts[f"lo{i}"], facts[f"hi{i}"]
+        v = _number(df, x)
+        whole = whole_kind[i] and lo is not None and hi - lo < bins
+        if whole:
+            at = v - F.lit(lo)
+        else:
+            numbered = numbered.withColumn(f"__v{i}", F.when(F.isnan(v) | v.isNull(), 0.0).otherwise(v))
+            numbered = Bucketizer(splits=_edges(facts[f"q{i}"] or []), inputCol=f"__v{i}", outputCol=f"__at{i}").transform(numbered)
+            at = F.col(f"__at{i}")
+        # NaN is larger than any number, and null comes last.
+        nan = F.lit(-1 - 2 * bins if d else 2 * bins)
+        buckets.append(F.when(v.isNull(), 2 * bins + 1).when(F.isnan(v), nan).otherwise(-at if d else at).cast("int").alias(f"b{i}"))
         if not whole:  # values that share a bucket have no order, so the next column can't refine it
             break
-    rows = df.select(F.struct(*(F.col(c) for c in df.columns)).alias("__row"), F.col(group).alias("__g"), F.struct(*buckets).alias("__b"))
+    rows = numbered.select(F.struct(*(F.col(c) for c in df.columns)).alias("__row"), F.struct(F.col(group)).alias("__g"), F.struct(*buckets).alias("__b"))
 
     histogram = rows.groupBy("__g", "__b").agg(F.count(F.lit(1)).alias("__n"))
     run = Window.partitionBy("__g").orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -86,10 +101,21 @@ def top_n(
         .groupBy("__g")
         .agg(F.sum("__n").alias("__all"), F.min(F.when(F.col("__cum") >= n, F.col("__b"))).alias("__t"))
         .where(F.col("__t").isNotNull())
+        .select(F.col("__g").alias("__hg"), "__t", "__all")
     )
-    hot = limits.orderBy(F.desc("__all"), "__g").limit(largest).select(F.col("__g").alias("__hg"), "__t")  # at most `largest` rows
-    kept = rows.join(F.broadcast(hot), F.col("__g").eqNullSafe(F.col("__hg")), "left").where(F.col("__t").isNull() | (F.col("__b") <= F.col("__t")))
-    # Spark keeps only n rows a group on each side of this shuffle (window group limit).
-    ranked = kept.withColumn("__rank", F.row_number().over(Window.partitionBy("__g").orderBy(*key(F.col("__row"))))).where(F.col("__rank") <= n)
-    out = ranked.select("__row.*", *([F.col("__rank").alias(rank)] if rank else []))
-    return out
+    limits = staged(limits, "thresholds")  # a row a group
+    hot = F.broadcast(limits.orderBy(F.desc("__all"), "__hg").limit(largest).select("__hg", "__t"))  # at most `largest` rows
+    below = F.col("__t").isNull() | (F.col("__b") <= F.col("__t"))
+    own = F.col("__g") == F.col("__hg")
+
+    def ranked(kept: DataFrame) -> DataFrame:
+        # Spark keeps only n rows a group on their way into the window (window group limit).
+        return kept.withColumn("__rank", F.row_number().over(Window.partitionBy("__g").orderBy(*key(F.col("__row"))))).where(F.col("__rank") <= n)
+
+    if limits.count() <= largest:
+        best = ranked(rows.join(hot, own, "left").where(below))
+    else:
+        # The groups behind the largest: one shuffle by group serves the join with their thresholds and the ranking.
+        rest = rows.join(hot, own, "left_anti").join(limits.select("__hg", "__t").hint("shuffle_hash"), own, "left").where(below)
+        best = ranked(rows.join(hot, own).where(below)).select("__row", "__rank").unionByName(ranked(rest).select("__row", "__rank"))
+    return best.select("__row.*", *([F.col("__rank").alias(rank)] if rank else []))

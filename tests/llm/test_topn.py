@@ -55,3 +55,25 @@ def test_empty(spark):
     assert top_n(df, "q", ["p", "at", "id"], 5).count() == 0
     with pytest.raises(ValueError):
         top_n(df, "q", ["p"], 0)
+
+
+def test_every_group_has_a_threshold(spark):
+    """More groups than are broadcast, null groups, a far-off value, and hot groups: all as by brute force."""
+    r = random.Random(9)
+    rows = [(i, r.choice([None, "hot", "hot", *(f"g{k}" for k in range(60))]), r.randint(1, 4), START + timedelta(seconds=r.randint(0, 5_000))) for i in range(6_000)]
+    rows.append((9_999, "hot", 1, datetime(9999, 1, 1)))
+    df = spark.createDataFrame(rows, "id long, g string, p int, at timestamp_ntz")
+    want = brute(rows, 5, lambda x: (x[2], x[3], x[0]))
+    for largest in (1, 7, 10_000):
+        assert sorted(x.id for x in top_n(df, "g", ["p", "at", "id"], 5, largest=largest).collect()) == want
+    late = sorted(rows, key=lambda x: (x[3], x[0]), reverse=True)
+    assert sorted(x.id for x in top_n(df, "g", ["-at", "-id"], 5, largest=3).collect()) == brute(late, 5, lambda x: 0)
+
+
+def test_thresholds_drop_rows_of_large_and_small_groups(spark):
+    rows = [(i, "hot" if i % 3 == 0 else f"g{i % 20}", i % 2, float(i)) for i in range(4_000)]
+    df = spark.createDataFrame(rows, "id long, g string, p int, v double")
+    out = top_n(df, "g", ["v", "id"], 2, largest=1)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("__b") >= 2 and "LeftAnti" in plan
+    assert sorted(x.id for x in out.collect()) == brute(rows, 2, lambda x: (x[3], x[0]))
