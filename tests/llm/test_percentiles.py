@@ -56,3 +56,23 @@ def test_empty_and_clashing_names(spark):
     assert {(r.seg, r.gk, r.p50) for r in got} == {("a", None, 4), ("a", "b", 4)}
     with pytest.raises(ValueError):
         p.rounded(F.col("v"), 0.7)
+
+
+@pytest.mark.parametrize("segment", [1, 7, 64])
+def test_large_groups_are_cut_into_segments(spark, segment):
+    r = random.Random(3)
+    rows = [(r.choice(["hot", "hot", "hot", None, *(f"g{k}" for k in range(30))]), r.choice([r.randint(0, 40), r.randint(-(10**12), 10**12)])) for _ in range(2_000)]
+    df = spark.createDataFrame(rows, "g string, v long").withColumn("d", F.col("v") % 3)
+    out = p.percentiles(p.frequencies(df, ["g", "d"], "v"), [["g"], []], "v", TARGETS, segment=segment)
+    got = {(x.level, x.g): x for x in out.collect()}
+    assert len(got) == len({g for g, _ in rows}) + 1
+    for (level, g), x in got.items():
+        vs = [v for k, v in rows if level or k == g]
+        assert (x.n, x.least, x.most) == (len(vs), min(vs), max(vs))
+        assert all(x[name] == exact(vs, pm) for name, pm in TARGETS.items())
+
+
+def test_running_sums_need_no_shuffle_of_their_own(spark):
+    df = spark.createDataFrame([(f"g{i % 3}", i) for i in range(300)], "g string, v long")
+    plan = p.percentiles(p.frequencies(df, ["g"], "v"), [["g"]], "v", TARGETS, segment=200)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange rangepartitioning") == 1 and plan.count("Exchange hashpartitioning") == 1
