@@ -4,9 +4,11 @@ Texts are read as words (markup, case, quoting and spacing aside). Passages of
 the corpus are windows of words; those that hold too few words of the items to
 be a case are left out by an exact bound. TF-IDF vectors of the passages, with
 document frequencies of the whole corpus, go through a distributed randomised
-SVD; passages are compared with the items' passages by cosine in the latent
-space, and candidates above the threshold are aligned word by word, or, for
-paraphrases, held to a longest common subsequence and an answer check.
+SVD; the items' passages lie in balls of the latent space, and a passage is
+compared by cosine with those of the balls it can reach. Candidates above the
+threshold are held to a longest common subsequence; what has one long enough
+for a case is aligned word by word, and what is none by that is held to the
+stricter subsequence and the answer check of a paraphrase.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwork.runtime import spread, staged
+from tarnwork.runtime import staged
 
 WORDS = re.compile(r"[^\W_]+")
 TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
@@ -32,6 +34,8 @@ LOOKALIKES = str.maketrans("аеорсухіјѕԁһԛԝοαν", "aeopcyxijsdhqw
 
 #: Stretches of text that a task compares; they are small, but take milliseconds each.
 STRETCHES = 1_000
+#: Partial matrices that are added up at once, and the most numbers in a piece of one.
+FAN_IN, PIECE = 16, 1 << 18
 
 
 @dataclass(frozen=True)
@@ -50,8 +54,11 @@ class Leak:
     rank: int = 192
     cosine: float = 0.7
     seed: int = 17
-    #: Items held at once by driver and tasks; more are taken in blocks.
-    block: int = 20_000
+    #: Least cosine of a ball's passages to its middle.
+    ball: float = 0.75
+    #: Words of items held at once by driver and tasks; more are taken in blocks. What is sent to a task, and the
+    #: matrix that comes back, take about 1,000 bytes a word of the block at most.
+    block: int = 100_000
 
 
 def _uncommented(text: str) -> str:
@@ -86,7 +93,6 @@ class Items:
         self.words = [[self.ids.setdefault(w, len(self.ids)) for w in ws] for _, ws in texts]
         starts = [(i, s) for i, ws in enumerate(self.words) for s in sorted({*range(0, len(ws) - how.window + 1, how.item_stride), len(ws) - how.window})]
         self.owner = np.array([i for i, _ in starts], dtype=np.int64)
-        self.first = np.searchsorted(self.owner, np.arange(len(self.keys)))
         self.windows = np.array([self.words[i][s : s + how.window] for i, s in starts], dtype=np.int64).reshape(-1, how.window)
 
     @property
@@ -158,11 +164,47 @@ def _blocks(windows: np.ndarray, v: int) -> Iterator[np.ndarray]:
         yield windows[i : i + step]
 
 
-def _gram_times(stretches: DataFrame, idf: np.ndarray, basis: np.ndarray, own: np.ndarray, how: Leak) -> np.ndarray:
-    """A'(A basis) for the matrix A of all passages: each task sums up its own,
-    sixteen groups of tasks are summed up next, and then these, so that the
-    driver gets one matrix, whatever the corpus."""
+class Balls:
+    """An index of unit vectors: each lies in the ball of the first middle that
+    is near enough, itself if there is none. A vector within the angle ``reach``
+    of a member is within that angle and the ball's radius of its middle, so
+    looking only into such balls loses nothing."""
+
+    def __init__(self, vectors: np.ndarray, least: float):
+        middles: list[int] = []
+        home = np.empty(len(vectors), dtype=np.int64)
+        radius: list[float] = []
+        for i, v in enumerate(vectors):
+            near = vectors[middles] @ v if middles else np.zeros(0)
+            k = int(np.argmax(near)) if len(near) else -1
+            if k < 0 or near[k] < least:
+                k = len(middles)
+                middles.append(i)
+                radius.append(0.0)
+            else:
+                radius[k] = max(radius[k], float(np.arccos(min(1.0, near[k]))))
+            home[i] = k
+        self.middles = vectors[middles]
+        self.radius = np.array(radius)
+        order = np.argsort(home, kind="stable")
+        self.members = np.split(order, np.cumsum(np.bincount(home, minlength=len(middles)))[:-1]) if len(vectors) else []
+
+    def near(self, z: np.ndarray, cosine: float) -> np.ndarray:
+        """The members of all balls that one of ``z`` can reach."""
+        most = z @ self.middles.T
+        # A hair more than the bound, for rounding.
+        bound = np.cos(np.minimum(np.pi, np.arccos(cosine) + self.radius + 1e-3))
+        hit = np.flatnonzero(most.max(axis=0) >= bound)
+        return np.concatenate([self.members[k] for k in hit]) if len(hit) else np.zeros(0, dtype=np.int64)
+
+
+def _gram_times(stretches: DataFrame, parts: int, idf: np.ndarray, basis: np.ndarray, own: np.ndarray, how: Leak) -> np.ndarray:
+    """A'(A basis) for the matrix A of all passages. Each of the ``parts`` tasks
+    sums up its own; the sums are added up in rounds of :data:`FAN_IN`, piece by
+    piece, so that no task holds more than so many pieces and the driver gets
+    one matrix, whatever the corpus."""
     v, r = basis.shape
+    rows = max(1, PIECE // r)
 
     def part(windows: np.ndarray) -> np.ndarray:
         out = np.zeros((v, r), dtype=np.float32)
@@ -172,39 +214,47 @@ def _gram_times(stretches: DataFrame, idf: np.ndarray, basis: np.ndarray, own: n
         return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((v, r), dtype=np.float32)
+        total, any_ = np.zeros((v, r), dtype=np.float32), None
         for pdf in batches:
+            if any_ is None and len(pdf):
+                any_ = int(pdf["part"].iloc[0])
             for ids in pdf["ids"]:
                 total += part(_windows(np.asarray(ids, dtype=np.int64), how)) if len(ids) > 400 else 0
             short = [_windows(np.asarray(x, dtype=np.int64), how) for x in pdf["ids"] if len(x) <= 400]
             if short:
                 total += part(np.concatenate(short))
-        yield pd.DataFrame({"m": [total.tobytes()]})
+        if any_ is not None:
+            for k, at in enumerate(range(0, v, rows)):
+                yield pd.DataFrame({"part": [any_], "piece": [k], "m": [total[at : at + rows].tobytes()]})
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(v * r, dtype=np.float32)
-        for m in pdf["m"]:
+        total = np.frombuffer(pdf["m"].iloc[0], dtype=np.float32).copy()
+        for m in pdf["m"].iloc[1:]:
             total += np.frombuffer(m, dtype=np.float32)
-        return pd.DataFrame({"m": [total.tobytes()]})
+        return pd.DataFrame({"part": pdf["part"].iloc[:1], "piece": pdf["piece"].iloc[:1], "m": [total.tobytes()]})
 
-    parts = stretches.select("ids").mapInPandas(run, "m binary")
-    some = parts.groupBy(F.pmod(F.spark_partition_id(), F.lit(16))).applyInPandas(add, "m binary")
-    sums = some.select("m", (F.length("m") * 0).alias("one")).groupBy("one").applyInPandas(add, "m binary").collect()
+    kind = "part int, piece int, m binary"
+    sums = stretches.select("ids", F.spark_partition_id().alias("part")).mapInPandas(run, kind)
+    while parts > 1:
+        parts = -(-parts // FAN_IN)
+        sums = sums.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int")).groupBy("part", "piece").applyInPandas(add, kind)
     out = part(own).astype(np.float64)
-    for row in sums:
-        out += np.frombuffer(row["m"], dtype=np.float32).reshape(v, r)
+    for row in sums.select("piece", "m").collect():
+        at = row["piece"] * rows
+        m = np.frombuffer(row["m"], dtype=np.float32).reshape(-1, r)
+        out[at : at + len(m)] += m
     return out
 
 
-def latent_basis(stretches: DataFrame, items: Items, idf: np.ndarray, how: Leak) -> np.ndarray:
+def latent_basis(stretches: DataFrame, parts: int, items: Items, idf: np.ndarray, how: Leak) -> np.ndarray:
     """The leading right singular vectors of all passages' TF-IDF matrix, by a
     randomised SVD with one power iteration (two passes over the passages)."""
     v = items.size
     r = min(v, how.rank + 16)
     start = np.random.default_rng(how.seed).standard_normal((v, r)).astype(np.float32)
-    q, _ = np.linalg.qr(_gram_times(stretches, idf, start, items.windows, how))
+    q, _ = np.linalg.qr(_gram_times(stretches, parts, idf, start, items.windows, how))
     q = q.astype(np.float32)
-    b = q.T @ _gram_times(stretches, idf, q, items.windows, how)
+    b = q.T @ _gram_times(stretches, parts, idf, q, items.windows, how)
     value, vector = np.linalg.eigh((b + b.T) / 2)
     best = np.argsort(value)[::-1][: min(how.rank, r)]
     return (q @ vector[:, best]).astype(np.float32)
@@ -256,15 +306,19 @@ def aligned(item: list[int], text: list[int], joined: list[int], how: Leak) -> b
     return False
 
 
-def common_subsequence(a: list[int], b: list[int]) -> int:
-    """Length of the longest common subsequence, in bits of a whole number."""
+def common_subsequence(a: list[int], b: list[int], joined: list[int] | None = None) -> int:
+    """Length of the longest common subsequence, in bits of a whole number.
+    A word of ``b`` also stands for what it makes with the next one, ``joined``."""
     mask: dict[int, int] = defaultdict(int)
     for i, w in enumerate(a):
         mask[w] |= 1 << i
     full = (1 << len(a)) - 1
     row = full
-    for w in b:
-        met = row & mask.get(w, 0)
+    for j, w in enumerate(b):
+        met = mask.get(w, 0)
+        if joined is not None and joined[j] >= 0:
+            met |= mask.get(joined[j], 0)
+        met &= row
         row = ((row + met) | (row - met)) & full
     return len(a) - row.bit_count()
 
@@ -285,7 +339,8 @@ def leaks(docs: DataFrame, items: DataFrame, *, doc: str = "doc_id", doc_text: s
     where no such run stands, but six in ten of the item's words stand in
     order and the answer check holds. Every document is read in whole; no
     candidate above the cosine is dropped. The items are the stated query set:
-    they are held in blocks of ``how.block``. Null and empty texts hold
+    they are held in blocks of about ``how.block`` words, for each of which the
+    documents are read once. Null and empty texts hold
     nothing; items of fewer than ``how.words`` words can't be found. Repeated
     documents are each reported; a pair is reported once. Empty tables give an
     empty result.
@@ -293,7 +348,7 @@ def leaks(docs: DataFrame, items: DataFrame, *, doc: str = "doc_id", doc_text: s
     kind_d, kind_i = docs.schema[doc].dataType.simpleString(), items.schema[item].dataType.simpleString()
     schema = f"`{doc}` {kind_d}, `{item}` {kind_i}, kind string, cosine double"
     spark = docs.sparkSession
-    total = items.where(F.col(item_text).isNotNull()).count()
+    total = items.agg(F.sum(F.size(F.split(F.trim(item_text), r"\s+")))).first()[0] or 0
     blocks = max(1, -(-total // how.block))
     out = None
     for b in range(blocks):
@@ -309,16 +364,21 @@ def _leaks_of_block(docs: DataFrame, doc: str, doc_text: str, rows: list[tuple],
     if not items.keys:
         return None
     found = staged(regions(docs, doc, doc_text, items, how), "stretches")
-    stretches = spread(found.where("ids IS NOT NULL"), STRETCHES)
+    stretches = found.where("ids IS NOT NULL")
+    parts = max(1, -(-stretches.count() // STRETCHES))
+    stretches = stretches.repartition(parts)  # sized by rows, which take time, not by bytes
     counts = found.where("df IS NOT NULL").select("n", F.posexplode("df").alias("at", "df")).where("df > 0 OR at = 0").groupBy("at").agg(F.sum("df").alias("df"), F.sum(F.when(F.col("at") == 0, F.col("n"))).alias("n")).collect()
     df, n = np.zeros(items.size), 0
     for r in counts:  # at most a row per word of the items
         df[r["at"]] = r["df"]
         n = r["n"] if r["at"] == 0 else n
     idf = np.log((1 + (n or 0)) / (1 + df)) + 1
-    basis = latent_basis(stretches, items, idf, how)
+    basis = latent_basis(stretches, parts, items, idf, how)
     mine = np.concatenate([_tfidf(w, idf) @ basis for w in _blocks(items.windows, items.size)])
     mine = (mine / np.maximum(np.linalg.norm(mine, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+    balls = Balls(mine, how.ball)
+    owner = items.owner
+    least = how.words - how.words // how.per_error  # an error takes a word out of the subsequence, at most
     names = schema.split(", ")
     columns = [names[0].split("`")[1], names[1].split("`")[1], "kind", "cosine"]
 
@@ -327,18 +387,23 @@ def _leaks_of_block(docs: DataFrame, doc: str, doc_text: str, rows: list[tuple],
             out = []
             for k, ids, joined in zip(pdf["key"], pdf["ids"], pdf["joined"], strict=True):
                 ids = np.asarray(ids, dtype=np.int64)
-                best = np.full(len(items.keys), -1.0, dtype=np.float32)
-                for w in _blocks(_windows(ids, how), max(items.size, len(mine))):
+                best: dict[int, float] = {}
+                for w in _blocks(_windows(ids, how), items.size):
                     z = _tfidf(w, idf) @ basis
                     z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
-                    best = np.maximum(best, np.maximum.reduceat((z @ mine.T).max(axis=0), items.first))
+                    some = balls.near(z, how.cosine)
+                    most = (z @ mine[some].T).max(axis=0) if len(some) else np.zeros(0)
+                    for at in np.flatnonzero(most >= how.cosine):
+                        i = int(owner[some[at]])
+                        best[i] = max(best.get(i, -1.0), float(most[at]))
                 text, joined = ids.tolist(), list(joined)
-                for i in np.flatnonzero(best >= how.cosine):
+                for i, cosine in sorted(best.items()):
                     a = items.words[i]
-                    if aligned(a, text, joined, how):
-                        out.append((k, items.keys[i], "passage", float(best[i])))
-                    elif common_subsequence(a, text) * 10 >= 6 * len(a) and answered(a, text, idf):
-                        out.append((k, items.keys[i], "paraphrase", float(best[i])))
+                    long = common_subsequence(a, text, joined)
+                    if long >= least and aligned(a, text, joined, how):
+                        out.append((k, items.keys[i], "passage", cosine))
+                    elif long * 10 >= 6 * len(a) and answered(a, text, idf):
+                        out.append((k, items.keys[i], "paraphrase", cosine))
             yield pd.DataFrame(out, columns=columns)
 
     pairs = stretches.select("key", "ids", "joined").mapInPandas(run, schema)

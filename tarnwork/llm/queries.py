@@ -66,6 +66,12 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return found.where("kind = 'passage'").select("doc_id", "item_id")
 
 
+def p7_paraphrases(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that say over what an item says, without a run of its words."""
+    found = leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_item"))
+    return found.where("kind = 'paraphrase'").select("doc_id", "item_id", F.round("cosine", 4).alias("cosine"))
+
+
 def p7_items(spark: SparkSession, d: str) -> DataFrame:
     """Every item with the number of documents it leaked into."""
     items = table(spark, d, "eval_item").select("item_id", "suite", "split")
@@ -91,6 +97,7 @@ QUERIES = {
     "p6_windows": p6_windows,
     "p6_filling": p6_filling,
     "p7_found": p7_found,
+    "p7_paraphrases": p7_paraphrases,
     "p7_items": p7_items,
     "p8_found": p8_found,
     "p8_sources": p8_sources,

@@ -54,7 +54,7 @@ def test_runs_disguises_and_near_misses(spark):
     ]
     want = {(1, 0), (3, 2), (4, 3), (7, 6), (8, 7), (9, 0), (10, 1), (11, 2), (12, 3), (13, 3), (17, 4), (18, 0), (18, 6)}
     assert pairs(spark, docs, items) == want
-    assert pairs(spark, docs, items, block=3) == want  # items in blocks
+    assert pairs(spark, docs, items, block=250) == want  # items in blocks
 
 
 def test_candidates_lose_no_case(spark):
@@ -78,12 +78,61 @@ def test_candidates_lose_no_case(spark):
 
 
 def test_paraphrase(spark):
+    """Every sixth word is another: no run of 20 with two errors, but most words in order, names among them."""
     r, items = random.Random(4), items_of(3, 9)
-    ws = items[1][1].split()
-    docs = [(1, " ".join(x if i % 6 else filler(r, 1) for i, x in enumerate(ws))), (2, filler(r, 200))]
-    how = lk.Leak(cosine=0.3)
-    got = [(x.doc_id, x.item_id) for x in lk.leaks(*frames(spark, docs, items), how=how).where("kind = 'paraphrase'").collect()]
-    assert (2, 1) not in got and all(k == (1, 1) for k in got)
+    ws = items[1][1].rstrip(".").split()
+    plain = set(ws[::6])  # words that many texts have; the others are the item's own
+    swapped = [filler(r, 1) if x in plain else x for x in ws]
+    docs = [(1, " ".join(swapped)), (2, filler(r, 200)), (3, " ".join(r.sample(ws, len(ws)))), (4, " ".join(ws[:10]))]
+    docs += [(10 + i, " ".join(sorted(plain)[:17])) for i in range(10)]
+    got = [(x.doc_id, x.item_id) for x in lk.leaks(*frames(spark, docs, items), how=lk.Leak(cosine=0.3)).where("kind = 'paraphrase'").collect()]
+    assert got == [(1, 1)]
+
+
+def test_balls_lose_nothing():
+    r = np.random.default_rng(3)
+    centres = r.standard_normal((12, 24))
+    v = np.concatenate([c + 0.4 * r.standard_normal((20, 24)) for c in centres]).astype(np.float32)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    z = np.concatenate([v[::3] + 0.1 * r.standard_normal((80, 24)).astype(np.float32), r.standard_normal((60, 24)).astype(np.float32)])
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    for least in (0.5, 0.75, 0.95):
+        balls = lk.Balls(v, least)
+        assert sorted(np.concatenate(balls.members)) == list(range(len(v)))
+        looked = 0
+        for x in z:
+            some = set(balls.near(x[None], 0.7).tolist())
+            looked += len(some)
+            assert set(np.flatnonzero(v @ x >= 0.7)) <= some
+        assert least == 0.5 or looked < len(z) * len(v) * 0.6
+
+
+def test_sums_in_rounds_equal_one_sum(spark):
+    r = random.Random(6)
+    items = lk.Items(items_of(4), lk.Leak())
+    texts = [[r.randrange(-1, items.size) for _ in range(r.randint(18, 60))] for _ in range(90)]
+    idf = np.linspace(1, 3, items.size)
+    basis = np.random.default_rng(1).standard_normal((items.size, 8)).astype(np.float32)
+    rows = spark.createDataFrame([(x,) for x in texts], "ids array<int>")
+    a = np.concatenate([lk._tfidf(lk._windows(np.array(x), lk.Leak()), idf) for x in texts] + [lk._tfidf(items.windows, idf)]).astype(np.float64)
+    want = a.T @ (a @ basis)
+    for parts in (1, 5, 40):  # none, one and two rounds
+        got = lk._gram_times(rows.repartition(parts), parts, idf, basis, items.windows, lk.Leak())
+        assert np.allclose(got, want, atol=1e-2)
+
+
+def test_every_run_has_the_common_subsequence():
+    """What the alignment takes is never refused by the subsequence before it."""
+    r, how = random.Random(7), lk.Leak()
+    for _ in range(400):
+        item = [r.randrange(60) for _ in range(40)]
+        text, joined = [], []
+        for w in item[5:30]:
+            c = r.random()
+            text += [] if c < 0.04 else [99] if c < 0.08 else [w, 98] if c < 0.12 else [w]
+        joined = [-1] * len(text)
+        if lk.aligned(item, text, joined, how):
+            assert lk.common_subsequence(item, text, joined) >= how.words - how.words // how.per_error
 
 
 def test_empty_tables(spark):
