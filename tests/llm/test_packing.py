@@ -32,7 +32,7 @@ def test_pack_in_shards_and_rounds(spark):
     r = np.random.default_rng(6)
     rows = [(i, int(x), max(0, int(x) - 1)) for i, x in enumerate(np.clip(r.lognormal(5.5, 1, 2000).astype(int), 0, 2048))] + [(9001, 0, 0), (9002, 2048, 2047)]
     df = spark.createDataFrame(rows, "id long, tokens long, loss long").withColumns({"shard": F.lit("x"), "window": F.lit("y"), "again": F.lit(1)})
-    how = pk.Window(shard=300, segments=12)
+    how = pk.Window(shard=300, segments=12, loss=2048)
     got = pk.pack(df, ["id"], how).collect()
     assert sorted(x.id for x in got) == sorted(x[0] for x in rows)
     u = used(got)
@@ -58,3 +58,43 @@ def test_texts_whole_or_cut_into_full_windows(spark):
     assert all(t <= 512 for t, _, _ in used(got).values())
     fill = pk.filling(spark.createDataFrame(got), 512).first()
     assert fill.windows == len(used(got)) and fill.tokens == sum(c or 0 for c in count.values())
+
+
+def test_loss_is_borne_by_own_words_only():
+    encoder, size = pk._encoder(f"{pk.TOKENIZERS}/{pk.VOCABULARY}")
+    text = "It ran über Nacht.\n> quoted words of another\nThen it ended.\n```\nselect 1\n```\n| a | b |\n12:30:01.5 level=info n=3\nDone 時計.\n"
+    ids = encoder.encode_ordinary(text)
+    assert b"".join(encoder.decode_single_token_bytes(i) for i in ids).decode() == text
+    begins, at = [], 0
+    for i in ids:
+        begins.append(at)
+        at += size[i]
+    own = [(a, b) for a, b in ((text.encode().find(x.encode()), text.encode().find(x.encode()) + len(x.encode()) + 1) for x in ("It ran über Nacht.", "Then it ended.", "Done 時計."))]
+    want = [any(a <= x < b for a, b in own) or x >= len(text.encode()) for x in begins]
+    for window in (7, 1000):
+        flags = [w and i % window > 0 for i, w in enumerate(want)]
+        assert pk.loss_of(ids, size, text, window) == [sum(flags[i : i + window]) for i in range(0, len(ids), window)]
+    assert pk.loss_of([], size, "", 7) == [0] and sum(pk.loss_of(ids, size, text, 1000)) < len(ids) - 20
+
+
+@pytest.mark.parametrize(("limit", "how"), [("segments", pk.Window(segments=8)), ("loss", pk.Window(loss=1400))])
+def test_each_limit_binds(spark, limit, how):
+    """Without the limit windows would pass it; with it none does, and little room is lost."""
+    r = np.random.default_rng(8)
+    t = np.clip(r.lognormal(5.5, 1, 1500).astype(int), 1, 1300)
+    loss = np.where(r.random(1500) < 0.4, 0, t)
+    df = spark.createDataFrame([(i, int(a), int(b)) for i, (a, b) in enumerate(zip(t, loss, strict=True))], "id long, tokens long, loss long")
+    free = used(pk.pack(df, ["id"], pk.Window(segments=10**6, loss=2048)).collect())
+    held = used(pk.pack(df, ["id"], how).collect())
+    at, most = {"segments": (1, how.segments), "loss": (2, how.loss)}[limit]
+    assert sum(u[at] > most for u in free.values()) > len(free) / 20
+    assert all(u[at] <= most for u in held.values())
+    assert len(held) <= 1.2 * max(t.sum() / 2048, loss.sum() / how.loss, 1500 / how.segments) + 1
+
+
+def test_broken_limits_are_told(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, "c")], "doc_id long, text string")
+    rows = [(1, 0, 0, 2048, 2047, "w"), (1, 1, 2048, 30, 20, "v"), (2, 0, 0, 2030, 5, "v"), (2, 0, 0, 2030, 5, "u"), (4, 1, 2048, 9, 9, None)]
+    packed = spark.createDataFrame(rows, "doc_id long, piece int, first long, tokens long, loss long, window string")
+    got = pk.broken_limits(docs, "doc_id", "text", packed).first()
+    assert (got.texts, got.missing, got.repeated, got.over_tokens, got.over_segments, got.over_loss) == (3, 1, 1, 1, 0, 0)
