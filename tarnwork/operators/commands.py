@@ -251,7 +251,8 @@ def insert_strict(jobs: DataFrame, rows: DataFrame, now: datetime) -> DataFrame:
     """The new jobs of a bulk load in which a conflict of keys is an error: if
     any row's key is held, by a job or an earlier row, using the result fails."""
     result = insert(jobs, rows, now)
-    refused = F.raise_error(F.concat(F.lit("a unique key is held already, by job "), F.col("id").cast("string")))
+    # Both sides of the join are named, so that it isn't raised for jobs no row meets.
+    refused = F.raise_error(F.concat(F.lit("the unique key of row "), F.col("ordinal").cast("string"), F.lit(" is held by job "), F.col("id").cast("string")))
     return inserted_rows(result.withColumn("duplicate", F.when(F.col("duplicate"), refused.cast("boolean")).otherwise(F.lit(False))))
 
 

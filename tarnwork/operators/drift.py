@@ -511,3 +511,17 @@ def kind_table(rows: DataFrame, columns: dict[str, str], kind: str, at: Series =
     cols = [*at.series, at.file, at.key, *keep]
     mine = rows.where(F.col(at.series[-1]) == kind).groupBy(*cols).agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("m"))
     return mine.select(*cols, *(F.col("m").getItem(c).try_cast(t).alias(c) for c, t in columns.items()))
+
+
+def cast_lines(rows: DataFrame, columns: DataFrame, at: Series = Series(), *, keep: list[str] = ()) -> DataFrame:
+    """:func:`unified` rows as one row per line: ``line`` is a JSON object of all
+    its fields in the order of their names, each cast to the type its column
+    has in the whole of its kind (``columns``, see :func:`columns_of`)."""
+    kind, cols = at.series[-1], [*at.series, at.file, at.key, *keep]
+    types = columns.select(F.col(kind).alias("__kind"), F.col("name").alias("__name"), F.col("type").alias("__cast"))
+    met = rows.join(types, F.col(kind).eqNullSafe(F.col("__kind")) & (F.col("name") == F.col("__name")))  # columns of kinds: broadcast where small
+    plain = F.col("__cast").isin("bigint", "boolean") | (F.col("type").isin("array", "object"))
+    text = F.when(F.col("__cast") == "double", F.to_json(F.array(F.col("value").try_cast("double")))).when(plain, F.concat(F.lit("["), F.col("value"), F.lit("]"))).otherwise(F.to_json(F.array("value")))
+    pair = F.concat(F.expr("substr(to_json(array(name)), 2, length(to_json(array(name))) - 2)"), F.lit(":"), F.expr("substr(__text, 2, length(__text) - 2)"))
+    lines = met.withColumn("__text", text).withColumn("__pair", F.struct("name", pair.alias("pair")))
+    return lines.groupBy(*cols).agg(F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.collect_list("__pair")), lambda p: p.pair), ","), F.lit("}")).alias("line"))

@@ -11,6 +11,7 @@ path, each linked to the record it lies in.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pandas as pd
 import pyarrow as pa
@@ -372,6 +373,34 @@ def tables(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
 
 
 def flat_table(links: DataFrame, path: str, columns: list[str]) -> DataFrame:
-    """One kind of child record as a flat table: its links and the named fields as text."""
+    """One kind of child record as a flat table: its links and the named fields
+    as text; a field whose name a link or another field has (in any case of
+    letters) gets underscores behind it."""
     mine = links.where(F.col("path") == path)
-    return mine.select("key", "pos", "parent_path", "parent_pos", *(F.col("fields").getItem(c).alias(c) for c in columns))
+    fixed = ["key", "pos", "parent_path", "parent_pos"]
+    used, out = {c.lower() for c in [*fixed, "id"]}, []
+    for c in columns:
+        name = c
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(F.col("fields").getItem(c).alias(name))
+    return mine.select(*fixed, *out)
+
+
+def kinds_of(links: DataFrame) -> DataFrame:
+    """The columns of each table of records: ``path``, ``name``, ``records`` that have it."""
+    return links.select("path", F.explode(F.map_keys("fields")).alias("name")).groupBy("path", "name").agg(F.count(F.lit(1)).alias("records"))
+
+
+def write_tables(links: DataFrame, folder: str) -> list[str]:
+    """Every kind of record as a parquet table of its own below ``folder``, in
+    one pass per kind over the (written) links; the paths written."""
+    paths: dict[str, list[str]] = {}
+    for r in kinds_of(links).orderBy("path", "name").collect():  # names of fields
+        paths.setdefault(r["path"], []).append(r["name"])
+    for r in links.select("path").distinct().collect():
+        paths.setdefault(r["path"], [])
+    for path, names in paths.items():
+        flat_table(links, path, names).write.mode("errorifexists").parquet(f"{folder.rstrip('/')}/{quote(path, safe='')}")
+    return sorted(paths)

@@ -13,6 +13,7 @@ from tarnwork.model import LEADER, STATES, broken_rules
 from tarnwork.operators import commands, machine, reads
 from tarnwork.operators.listing import JobFilter
 from tarnwork.sources import distinct_rows, table
+from tarnwork.streaming.operators import job_events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -378,13 +379,33 @@ CAST(coalesce(len(errors), 0) + CASE WHEN priority = 2 THEN 1 ELSE 0 END AS BIGI
 def q_apply_outcomes(spark, d):
     """Every running job ends: by priority it is done, fails, is stopped or snoozed."""
     jobs = _jobs(spark, d, *_RUN)
+    out = commands.set_state(jobs, machine.commands_of(jobs, _outcomes(jobs), NOW), NOW)
+    size = F.coalesce(F.when(F.col("errors").isNotNull(), F.size("errors")), F.lit(0)).cast("bigint")
+    return out.select("id", "state", "attempt", "finalized_at", "scheduled_at", size.alias("n_errors"), F.get_json_object("metadata", "$.snoozes").alias("snoozes"))
+
+
+def _outcomes(jobs: DataFrame) -> DataFrame:
     p = F.col("priority")
     none = lambda t: F.lit(None).cast(t)
     outcome = F.when(p == 1, "completed").when(p == 2, "error").when(p == 3, "soft_stop").otherwise("snooze")
-    outcomes = jobs.where("state = 'running'").select("id", outcome.alias("outcome"), F.lit("boom").alias("error"), none("string").alias("trace"), F.lit(90.0).alias("snooze_s"), none("timestamp_ntz").alias("retry_at"), none("string").alias("metadata"), F.col("attempted_at").alias("started_at"))
-    out = commands.set_state(jobs, machine.commands_of(jobs, outcomes, NOW), NOW)
-    size = F.coalesce(F.when(F.col("errors").isNotNull(), F.size("errors")), F.lit(0)).cast("bigint")
-    return out.select("id", "state", "attempt", "finalized_at", "scheduled_at", size.alias("n_errors"), F.get_json_object("metadata", "$.snoozes").alias("snoozes"))
+    return jobs.where("state = 'running'").select("id", outcome.alias("outcome"), F.lit("boom").alias("error"), none("string").alias("trace"), F.lit(90.0).alias("snooze_s"), none("timestamp_ntz").alias("retry_at"), none("string").alias("metadata"), F.col("attempted_at").alias("started_at"))
+
+
+@query(f"SELECT CASE priority WHEN 1 THEN 'job_completed' WHEN 2 THEN 'job_failed' WHEN 3 THEN 'job_interrupted' ELSE 'job_snoozed' END AS event, count(*) AS n FROM {_from('id', 'state', 'priority')} WHERE state = 'running' GROUP BY 1")
+def q_job_events(spark, d):
+    """The events of the runs that :func:`q_apply_outcomes` ends, by the reasons they ended for."""
+    jobs = _jobs(spark, d, *_RUN, "created_at")
+    changes = machine.commands_of(jobs, _outcomes(jobs), NOW)
+    events = job_events(commands.reported(commands.set_state(jobs, changes, NOW), changes))
+    return events.groupBy("event").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT id, state, queue FROM (SELECT DISTINCT id, state, queue, unique_key FROM job_row) WHERE unique_key IS NULL")
+def q_insert_strict(spark, d):
+    """A bulk load of the jobs without a unique key, as themselves: no conflict."""
+    jobs = _jobs(spark, d, *_WHOLE)
+    rows = jobs.where("unique_key IS NULL").withColumn("ordinal", F.col("id"))
+    return commands.insert_strict(jobs.where("unique_key IS NOT NULL"), rows, NOW).select("id", "state", "queue")
 
 
 def _kinds(jobs: DataFrame) -> DataFrame:
@@ -517,6 +538,35 @@ def q_leader_reelect(spark, d):
     return commands.leader_reelect(first, "node-01", NOW, 20.0, datetime(2025, 4, 15, 0, 0, 10))
 
 
+@query(f"SELECT 'node-01' AS leader_id, 'default' AS name, {NOW_SQL} - INTERVAL 1 HOUR AS elected_at, {NOW_SQL} + INTERVAL 20 SECOND AS expires_at")
+def q_leader_get(spark, d):
+    """An inserted term, read back."""
+    return commands.leader_elected(commands.leader_insert(spark.createDataFrame([], LEADER), "node-01", NOW, ttl=20.0, elected_at=datetime(2025, 4, 14, 23)))
+
+
+@query("SELECT 'job_leadership' AS topic, '{\"leader_id\":\"node-01\",\"action\":\"resigned\"}' AS payload, 0 AS left")
+def q_leader_resign(spark, d):
+    term = commands.leader_insert(spark.createDataFrame([], LEADER), "node-01", NOW)
+    rest, notice = commands.leader_resign(term, "node-01", NOW)
+    return notice.join(rest.agg(F.count(F.lit(1)).alias("left"))).select("topic", "payload", "left")  # one row each
+
+
+@query("SELECT 0 AS left")
+def q_leader_delete_expired(spark, d):
+    term = commands.leader_insert(spark.createDataFrame([], LEADER), "node-01", NOW, expires_at=HORIZON)
+    return commands.leader_without_expired(term, NOW).agg(F.count(F.lit(1)).alias("left"))
+
+
+@query(f"SELECT e.line, e.version, {NOW_SQL} AS created_at FROM (SELECT 'main' AS line, unnest(range(1, 13)) AS version) e WHERE NOT EXISTS (SELECT 1 FROM job_migration m WHERE m.line = e.line AND m.version = e.version)")
+def q_migration_insert(spark, d):
+    return commands.migrations_insert(table(spark, d, "job_migration"), "main", [*range(1, 13)], NOW)
+
+
+@query("SELECT line, version, created_at FROM job_migration WHERE NOT (line = 'main' AND version IN (2, 3))")
+def q_migration_delete(spark, d):
+    return commands.migrations_delete(table(spark, d, "job_migration"), "main", [2, 3])
+
+
 @query("SELECT max(id) + 1 AS id, 'job_control' AS topic, '{\"action\":\"pause\",\"queue\":\"default\"}' AS payload FROM job_notification")
 def q_notification_insert(spark, d):
     note = commands.queue_notice("default", "pause", spark).withColumn("ordinal", F.lit(0))
@@ -538,11 +588,30 @@ def q_periodic_runs(spark, d):
     return machine.periodic_runs(spec, NOW)
 
 
-@query()
-def q_log_cap(spark, d):
+_LOG = "json_extract(metadata, '$.\"runner:log\"')"
+_LOGS = f"""WITH j AS (SELECT DISTINCT id, attempt, metadata FROM job_row WHERE metadata LIKE '%runner:log%'),
+o AS (SELECT id, attempt, CASE WHEN json_type({_LOG}) = 'ARRAY' THEN list_transform(list_filter(CAST({_LOG} AS JSON[]), lambda x: json_type(x) = 'OBJECT'), lambda x: {{'attempt': CAST(json_extract(x, '$.attempt') AS BIGINT), 'log': json_extract_string(x, '$.log')}}) ELSE [] END AS old FROM j),
+e AS (SELECT id, pos, (all_)[pos] AS x, len(all_) AS most FROM (SELECT id, old || [{{'attempt': CAST(attempt AS BIGINT), 'log': 'finished job ' || id}}] AS all_ FROM o), unnest(range(1, len(all_) + 1)) u(pos)),
+s AS (SELECT id, pos, x, most, 1 + sum(strlen(CAST(to_json(x) AS VARCHAR)) + 1) OVER (PARTITION BY id ORDER BY pos DESC) AS upto FROM e),
+k AS (SELECT id, pos, x FROM s WHERE upto <= 160 OR pos = most)
+"""
+
+
+def _logged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     jobs = _jobs(spark, d, "id", "attempt", "metadata").where("metadata LIKE '%runner:log%'")
-    new = jobs.select("id", F.col("attempt"), F.concat(F.lit("finished job "), F.col("id")).alias("log"))
-    return machine.log_entries(jobs, new, most_total=160)
+    return jobs, jobs.select("id", F.col("attempt"), F.concat(F.lit("finished job "), F.col("id")).alias("log"))
+
+
+@query(f"{_LOGS} SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY pos) - 1 AS INT) AS pos, x.attempt AS attempt, x.log AS log FROM k")
+def q_log_cap(spark, d):
+    return machine.log_entries(*_logged(spark, d), most_total=160)
+
+
+@query(f"{_LOGS} SELECT k.id, count(*) AS entries, last(x.log ORDER BY pos) AS newest, any_value(len(json_keys(metadata))) AS n_keys FROM k JOIN j ON j.id = k.id GROUP BY k.id")
+def q_log_append(spark, d):
+    out = machine.log_append(*_logged(spark, d), most_total=160)
+    log = F.from_json(F.get_json_object("metadata", "$['runner:log']"), "array<struct<attempt:bigint,log:string>>")
+    return out.select("id", F.size(log).cast("bigint").alias("entries"), F.element_at(log, -1).getField("log").alias("newest"), F.size(F.json_object_keys("metadata")).cast("bigint").alias("n_keys"))
 
 
 _STEPS = ["basil", "opal", "quartz", "juniper", "umber", "fjord"]

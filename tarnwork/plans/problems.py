@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tarnwork.model import STATES
 from tarnwork.operators import drift, nested
 from tarnwork.operators import tree_agg as tree
+from tarnwork.runtime import staged
 from tarnwork.sources import distinct_rows, table
 
 #: A chunk's rows, the merges per round, and the least rounds, of the queries below.
@@ -59,6 +60,22 @@ def p3_columns(spark: SparkSession, d: str) -> DataFrame:
     return drift.columns_of(p3_unified(spark, d))
 
 
+def p3_lines(spark: SparkSession, d: str) -> DataFrame:
+    """All archived jobs, a row each, under one set of columns per kind, cast."""
+    rows = staged(p3_unified(spark, d), "unified")
+    return drift.cast_lines(rows, drift.columns_of(rows), keep=["line_no"])
+
+
+def p3_table(spark: SparkSession, d: str) -> DataFrame:
+    """The table of the kind with most archived lines."""
+    rows = staged(p3_unified(spark, d), "unified")
+    top = rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "kind").first()
+    if top is None:
+        return drift.kind_table(rows, {}, "", keep=["line_no"])
+    columns = {r["name"]: r["type"] for r in drift.columns_of(rows.where(F.col("kind") == top["kind"])).orderBy("name").collect()}  # fields of one kind
+    return drift.kind_table(rows, columns, top["kind"], keep=["line_no"])
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Every child record of args, metadata and errors."""
     jobs = table(spark, d, "job_row").select("id", "args", "metadata", "errors")
@@ -73,6 +90,24 @@ def p4_tables(spark: SparkSession, d: str) -> DataFrame:
     return links.select(F.col("key").alias("id"), "path", "pos", "pre", "post", F.to_json("fields").alias("fields"), "parent_path", "parent_pos")
 
 
+def p4_links(spark: SparkSession, d: str) -> DataFrame:
+    """The record that each child record of args and metadata lies in."""
+    return p4_tables(spark, d).select("id", "path", "pos", "parent_path", "parent_pos")
+
+
+def p4_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """The tables of child records: a row per path and field, with how many records have it."""
+    return nested.kinds_of(nested.tables(table(spark, d, "job_row").select("id", "args", "metadata"), "id", ["args", "metadata"]))
+
+
+def p4_flat(spark: SparkSession, d: str) -> DataFrame:
+    """The records of the path that most jobs have, as a table of its own."""
+    links = staged(nested.tables(table(spark, d, "job_row").select("id", "args", "metadata"), "id", ["args", "metadata"]), "links")
+    top = links.groupBy("path").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "path").first()
+    names = [r["name"] for r in nested.kinds_of(links.where(F.col("path") == top["path"])).orderBy("name").collect()] if top else []  # fields of one kind
+    return nested.flat_table(links, top["path"] if top else "", names).withColumnRenamed("key", "id")
+
+
 def p4_errors(spark: SparkSession, d: str) -> DataFrame:
     """The table of the elements of errors."""
     jobs = table(spark, d, "job_row").select("id", "errors").distinct()
@@ -80,13 +115,28 @@ def p4_errors(spark: SparkSession, d: str) -> DataFrame:
     return item.select(F.col("key").alias("id"), F.col("pos").cast("int").alias("pos"), *(F.col(f"item.{c}").alias(c) for c in ("at", "attempt", "error", "trace")))
 
 
-QUERIES = {"p1_found": p1_found, "p1_summary": p1_summary, "p3_found": p3_found, "p3_unified": p3_unified, "p3_columns": p3_columns, "p4_found": p4_found, "p4_tables": p4_tables, "p4_errors": p4_errors}
+QUERIES = {"p1_found": p1_found, "p1_summary": p1_summary, "p3_found": p3_found, "p3_unified": p3_unified, "p3_columns": p3_columns, "p3_lines": p3_lines, "p3_table": p3_table, "p4_found": p4_found, "p4_tables": p4_tables, "p4_links": p4_links, "p4_kinds": p4_kinds, "p4_flat": p4_flat, "p4_errors": p4_errors}
 
 _JOBS = "(SELECT DISTINCT id, queue, kind, state, attempt, attempted_at, scheduled_at FROM job_row)"
 _FIELDS = f"(SELECT 'queue' AS field, queue AS value, * FROM {_JOBS} UNION ALL SELECT 'kind' AS field, kind AS value, * FROM {_JOBS})"
+# Every node of args and metadata, strings that hold JSON opened; first which paths hold an array anywhere, then the records.
+_DOCS = "(SELECT DISTINCT id, args, metadata FROM job_row)"
+_ROOTS = " UNION ALL ".join(f"SELECT id, '{c}' AS path, CASE WHEN json_valid({c}) THEN CAST({c} AS JSON) END AS v FROM {_DOCS}" for c in ("args", "metadata"))
+_OPENED = "CASE WHEN json_type(c.value) = 'VARCHAR' AND ltrim(c.value ->> '$')[1] IN ('{', '[') AND json_valid(c.value ->> '$') AND json_type(c.value ->> '$') IN ('OBJECT', 'ARRAY') THEN CAST(c.value ->> '$' AS JSON) ELSE c.value END"
+_RECORDS = f"""WITH RECURSIVE nodes AS (SELECT DISTINCT path, v FROM ({_ROOTS})
+UNION ALL SELECT CASE WHEN json_type(n.v) = 'OBJECT' THEN n.path || '.' || c.key ELSE n.path END, {_OPENED} FROM nodes n, json_each(n.v) c WHERE json_type(n.v) IN ('OBJECT', 'ARRAY')),
+arrays AS (SELECT DISTINCT path FROM nodes WHERE json_type(v) = 'ARRAY'),
+walk AS (SELECT id, path, '' AS pos, v, false AS element, CAST(NULL AS VARCHAR) AS up, CAST(NULL AS VARCHAR) AS up_pos FROM ({_ROOTS})
+UNION ALL SELECT s.id, CASE WHEN s.t = 'OBJECT' THEN s.path || '.' || c.key ELSE s.path END, CASE WHEN s.t = 'OBJECT' THEN s.at WHEN s.at = '' THEN c.key ELSE s.at || '.' || c.key END, {_OPENED}, s.t = 'ARRAY', CASE WHEN s.record THEN s.path ELSE s.up END, CASE WHEN s.record THEN s.at ELSE s.up_pos END
+ FROM (SELECT w.*, json_type(w.v) AS t, json_type(w.v) = 'OBJECT' AND (w.element OR w.path IN (FROM arrays)) AS record, CASE WHEN json_type(w.v) = 'OBJECT' AND NOT w.element AND w.path IN (FROM arrays) THEN CASE WHEN w.pos = '' THEN '0' ELSE w.pos || '.0' END ELSE w.pos END AS at FROM walk w WHERE json_type(w.v) IN ('OBJECT', 'ARRAY')) s, json_each(s.v) c),
+records AS (SELECT DISTINCT id, path, CASE WHEN element THEN pos WHEN pos = '' THEN '0' ELSE pos || '.0' END AS pos, up AS parent_path, up_pos AS parent_pos FROM walk WHERE json_type(v) = 'OBJECT' AND (element OR path IN (FROM arrays)))
+"""
+_ERRORS = "(SELECT id, unnest(errors) AS e, generate_subscripts(errors, 1) AS pos FROM (SELECT DISTINCT id, errors FROM job_row WHERE len(errors) > 0))"
 SQL = {
+    "p4_found": f"{_RECORDS} SELECT id, path, pos FROM records UNION ALL SELECT id, 'errors', CAST(pos - 1 AS VARCHAR) FROM {_ERRORS} WHERE e IS NOT NULL",
+    "p4_links": f"{_RECORDS} SELECT * FROM records",
     "p1_found": f"SELECT field, value FROM {_FIELDS} WHERE value IS NOT NULL GROUP BY field, value HAVING count(*) * 100 >= 3 * (SELECT count(*) FROM {_JOBS})",
-    "p4_errors": "SELECT id, pos - 1 AS pos, e.at AS at, e.attempt AS attempt, e.error AS error, e.trace AS trace FROM (SELECT id, unnest(errors) AS e, generate_subscripts(errors, 1) AS pos FROM (SELECT DISTINCT id, errors FROM job_row WHERE len(errors) > 0)) WHERE e IS NOT NULL",
+    "p4_errors": f"SELECT id, pos - 1 AS pos, e.at AS at, e.attempt AS attempt, e.error AS error, e.trace AS trace FROM {_ERRORS} WHERE e IS NOT NULL",
     "p1_summary": "SELECT field, value, count(*) AS n, "
     + ", ".join(f"count(*) FILTER (WHERE state = '{s}') AS n_{s}" for s in STATES)
     + f", CAST(sum(attempt) AS BIGINT) AS attempts, max(attempted_at) AS last_attempted_at, min(scheduled_at) AS first_scheduled_at FROM {_FIELDS} GROUP BY field, value",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwork.model import JOB, NOTIFICATION
+from tarnwork.plans.jobs import SQL as JOB_SQL
 from tarnwork.runtime import prepared, scratch_path
 from tarnwork.streaming import cooldown, job_events, queue_events, statistics, stuck
 
@@ -83,6 +84,9 @@ QUERIES = {f.__name__: f for f in (stream_cooldown, stream_stuck, stream_events,
 
 _GAP = "(epoch_us({}) - epoch_us({})) / 1e6"
 SQL = {
+    "stream_statistics": JOB_SQL["q_job_stats_daily"],
+    "stream_cooldown": """WITH RECURSIVE n AS (SELECT DISTINCT json_extract_string(payload, '$.queue') AS queue, created_at FROM job_notification WHERE topic = 'job_insert'),
+r AS (SELECT queue, min(created_at) AS created_at FROM n GROUP BY queue UNION ALL SELECT r.queue, min(n.created_at) FROM r JOIN n ON n.queue IS NOT DISTINCT FROM r.queue AND n.created_at >= r.created_at + INTERVAL 60 SECOND GROUP BY r.queue) SELECT * FROM r""",
     "stream_stuck": "SELECT DISTINCT id, attempted_at FROM job_row WHERE state = 'running' AND epoch_ms(attempted_at) + 3600000 < (SELECT max(epoch_ms(coalesce(finalized_at, attempted_at, created_at))) FROM job_row)",
     "stream_events": "SELECT CASE state WHEN 'completed' THEN 'job_completed' WHEN 'cancelled' THEN 'job_cancelled' ELSE 'job_failed' END AS event, id, kind, queue, "
     f"{_GAP.format('finalized_at', 'created_at')} AS complete_s, {_GAP.format('attempted_at', 'scheduled_at')} AS queue_wait_s, {_GAP.format('finalized_at', 'attempted_at')} AS run_s "

@@ -21,7 +21,6 @@ def test_query_matches_sql(spark, name):
     assert_same(e.queries()[name](spark, str(SMALL)), e.oracle_sql()[name], SMALL)
 
 
-@pytest.mark.parametrize("name", ["q_log_cap", "stream_cooldown", "stream_statistics", "p3_unified", "p3_columns", "p4_tables"])
-def test_query_runs(spark, name):
-    df = e.queries()[name](spark, str(SMALL))
-    assert df.columns and df.count() >= 0
+def test_every_query_without_sql_is_known():
+    """Each of these is tested by hand-made cases, brute force or invariants."""
+    assert {n for n in e.queries() if n not in e.oracle_sql() and not n.startswith(("p2", "p5", "p6", "p7", "p8"))} == {"p3_found", "p3_unified", "p3_columns", "p3_lines", "p3_table", "p4_tables", "p4_kinds", "p4_flat"}
