@@ -60,6 +60,13 @@ def p3_columns(spark: SparkSession, d: str) -> DataFrame:
     return drift.columns_of(p3_unified(spark, d))
 
 
+def p3_kept(spark: SparkSession, d: str) -> DataFrame:
+    """How many values other than null each file has in :func:`p3_unified`; none may be lost on the way."""
+    rows = p3_unified(spark, d)
+    scalars = F.when(F.col("type") == "array", F.regexp_count("value", F.lit(r'"(?:[^"\\]|\\.)*"|[0-9.eE+-]+|true|false'))).when(F.col("type") == "object", 0).otherwise(1)
+    return rows.groupBy("archiver", "kind", "file_no").agg(F.sum(scalars).alias("scalars")).where("scalars > 0")
+
+
 def p3_lines(spark: SparkSession, d: str) -> DataFrame:
     """All archived jobs, a row each, under one set of columns per kind, cast."""
     rows = staged(p3_unified(spark, d), "unified")
@@ -115,7 +122,7 @@ def p4_errors(spark: SparkSession, d: str) -> DataFrame:
     return item.select(F.col("key").alias("id"), F.col("pos").cast("int").alias("pos"), *(F.col(f"item.{c}").alias(c) for c in ("at", "attempt", "error", "trace")))
 
 
-QUERIES = {"p1_found": p1_found, "p1_summary": p1_summary, "p3_found": p3_found, "p3_unified": p3_unified, "p3_columns": p3_columns, "p3_lines": p3_lines, "p3_table": p3_table, "p4_found": p4_found, "p4_tables": p4_tables, "p4_links": p4_links, "p4_kinds": p4_kinds, "p4_flat": p4_flat, "p4_errors": p4_errors}
+QUERIES = {"p1_found": p1_found, "p1_summary": p1_summary, "p3_found": p3_found, "p3_unified": p3_unified, "p3_columns": p3_columns, "p3_kept": p3_kept, "p3_lines": p3_lines, "p3_table": p3_table, "p4_found": p4_found, "p4_tables": p4_tables, "p4_links": p4_links, "p4_kinds": p4_kinds, "p4_flat": p4_flat, "p4_errors": p4_errors}
 
 _JOBS = "(SELECT DISTINCT id, queue, kind, state, attempt, attempted_at, scheduled_at FROM job_row)"
 _FIELDS = f"(SELECT 'queue' AS field, queue AS value, * FROM {_JOBS} UNION ALL SELECT 'kind' AS field, kind AS value, * FROM {_JOBS})"
@@ -132,7 +139,32 @@ UNION ALL SELECT s.id, CASE WHEN s.t = 'OBJECT' THEN s.path || '.' || c.key ELSE
 records AS (SELECT DISTINCT id, path, CASE WHEN element THEN pos WHEN pos = '' THEN '0' ELSE pos || '.0' END AS pos, up AS parent_path, up_pos AS parent_pos FROM walk WHERE json_type(v) = 'OBJECT' AND (element OR path IN (FROM arrays)))
 """
 _ERRORS = "(SELECT id, unnest(errors) AS e, generate_subscripts(errors, 1) AS pos FROM (SELECT DISTINCT id, errors FROM job_row WHERE len(errors) > 0))"
+# The fields of archived lines by a walk over their nodes; a rename is a pair of fields gone and come whose values agree in
+# all jobs of both files (of several such pairs the first by name: which of them the structure favours, SQL can't say).
+_LINES = "WITH RECURSIVE l AS (SELECT row_number() OVER () AS line, * FROM (SELECT DISTINCT archiver, kind, file_no AS f, {more} job_id AS j, CAST(args AS JSON) AS v FROM job_archive WHERE json_valid(args)) WHERE json_type(v) = 'OBJECT'),"
+_CHANGES = r"""n AS (SELECT line, CAST([] AS VARCHAR[]) AS names, '' AS places, v, false AS named FROM l
+ UNION ALL SELECT n.line, CASE WHEN json_type(n.v) = 'OBJECT' THEN list_append(names, c.key) ELSE names END, CASE WHEN json_type(n.v) = 'ARRAY' THEN places || '.' || lpad(c.key, 8, '0') ELSE places END, c.value, json_type(n.v) = 'OBJECT' FROM n, json_each(n.v) c WHERE json_type(n.v) IN ('OBJECT', 'ARRAY')),
+m AS (SELECT line, names, places, named, v, array_to_string(names, chr(31)) AS p, CASE json_type(v) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' WHEN 'NULL' THEN 'null' ELSE 'number' END AS t FROM n WHERE len(names) > 0),
+fields AS (SELECT DISTINCT archiver, kind, f, p, t FROM m JOIN l USING (line) WHERE named AND t != 'null'),
+steps AS (SELECT *, lag(f) OVER (PARTITION BY archiver, kind ORDER BY f) AS b FROM (SELECT DISTINCT archiver, kind, f FROM l)),
+was AS (SELECT s.archiver, s.kind, s.f, s.b, x.p, x.t FROM steps s JOIN fields x ON x.archiver = s.archiver AND x.kind = s.kind AND x.f = s.b),
+now AS (SELECT s.archiver, s.kind, s.f, s.b, x.p, x.t FROM steps s JOIN fields x ON x.archiver = s.archiver AND x.kind = s.kind AND x.f = s.f WHERE s.b IS NOT NULL),
+cases AS (SELECT DISTINCT archiver, kind, f, b, p, 'removed' AS change FROM was ANTI JOIN now USING (archiver, kind, f, p)
+ UNION ALL SELECT DISTINCT archiver, kind, f, b, p, 'added' FROM now ANTI JOIN was USING (archiver, kind, f, p)
+ UNION ALL SELECT DISTINCT archiver, kind, f, b, p, 'retyped' FROM (FROM now ANTI JOIN was USING (archiver, kind, f, p, t)) SEMI JOIN was USING (archiver, kind, f, p)),
+tops AS (SELECT * FROM cases c WHERE NOT EXISTS (SELECT 1 FROM cases o WHERE o.archiver = c.archiver AND o.kind = c.kind AND o.f = c.f AND starts_with(c.p, o.p || chr(31)))),
+vals AS (SELECT t.archiver, t.kind, t.f, t.p, t.change, l.j, l.line, string_agg(array_to_string(m.names[len(string_split(t.p, chr(31))) + 1:], chr(31)) || '|' || m.places || '=' || CASE WHEN m.t = 'number' THEN CAST(CAST(m.v AS DOUBLE) AS VARCHAR) ELSE CAST(m.v AS VARCHAR) END, chr(30) ORDER BY m.names, m.places) AS d
+ FROM tops t JOIN l ON l.archiver = t.archiver AND l.kind = t.kind AND l.f = CASE t.change WHEN 'removed' THEN t.b ELSE t.f END JOIN m ON m.line = l.line AND (m.p = t.p OR starts_with(m.p, t.p || chr(31)))
+ WHERE t.change != 'retyped' AND (m.t NOT IN ('array', 'object') OR CAST(m.v AS VARCHAR) IN ('[]', '{}')) AND NOT (m.t = 'null' AND m.named AND m.p = t.p) GROUP BY ALL),
+met AS (SELECT DISTINCT o.archiver, o.kind, o.f, o.p, o.j, o.d FROM vals o JOIN l ON l.archiver = o.archiver AND l.kind = o.kind AND l.f = o.f AND l.j = o.j WHERE o.change = 'removed'),
+pairs AS (SELECT o.archiver, o.kind, o.f, o.p, c.p AS q FROM met o JOIN tops c ON c.archiver = o.archiver AND c.kind = o.kind AND c.f = o.f AND c.change = 'added'
+ LEFT JOIN (SELECT DISTINCT archiver, kind, f, p, j, d FROM vals WHERE change = 'added') x ON x.archiver = o.archiver AND x.kind = o.kind AND x.f = o.f AND x.p = c.p AND x.j = o.j AND x.d = o.d GROUP BY ALL HAVING count(*) = count(x.d)),
+renames AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY archiver, kind, f, p ORDER BY q) = 1 AND row_number() OVER (PARTITION BY archiver, kind, f, q ORDER BY p) = 1)
+SELECT archiver, kind, f AS file_no, 'renamed' AS change, replace(p, chr(31), '.') AS field, replace(q, chr(31), '.') AS new_field FROM renames
+UNION ALL SELECT archiver, kind, f, change, replace(p, chr(31), '.'), '' FROM tops t WHERE NOT EXISTS (SELECT 1 FROM renames r WHERE r.archiver = t.archiver AND r.kind = t.kind AND r.f = t.f AND (t.change = 'removed' AND r.p = t.p OR t.change = 'added' AND r.q = t.p))"""
 SQL = {
+    "p3_found": f"{_LINES.format(more='')} {_CHANGES}",
+    "p3_kept": f"{_LINES.format(more='line_no,')} n AS (SELECT line, v FROM l UNION ALL SELECT n.line, c.value FROM n, json_each(n.v) c WHERE json_type(n.v) IN ('OBJECT', 'ARRAY')) SELECT archiver, kind, f AS file_no, count(*) AS scalars FROM n JOIN l USING (line) WHERE json_type(n.v) NOT IN ('OBJECT', 'ARRAY', 'NULL') GROUP BY ALL",
     "p4_found": f"{_RECORDS} SELECT id, path, pos FROM records UNION ALL SELECT id, 'errors', CAST(pos - 1 AS VARCHAR) FROM {_ERRORS} WHERE e IS NOT NULL",
     "p4_links": f"{_RECORDS} SELECT * FROM records",
     "p1_found": f"SELECT field, value FROM {_FIELDS} WHERE value IS NOT NULL GROUP BY field, value HAVING count(*) * 100 >= 3 * (SELECT count(*) FROM {_JOBS})",

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import UTC, datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tarnwork.model import TOPICS
 from tarnwork.operators import commands, machine, reads
 from tarnwork.runtime import staged
 from tarnwork.sources.store import Store
@@ -17,7 +20,8 @@ from tarnwork.sources.store import Store
 
 @dataclass(frozen=True)
 class Settings:
-    """How often and how much the loops do; retention None keeps for ever."""
+    """How often and how much the loops do; retention None keeps for ever.
+    ``room`` is how many jobs of a queue a worker has running at most."""
 
     worker: str = "worker-1"
     room: int = 100
@@ -26,7 +30,10 @@ class Settings:
     scheduler: timedelta = timedelta(seconds=5)
     rescue_after: timedelta = timedelta(hours=1)
     job_timeout: timedelta = timedelta(minutes=1)
+    step_timeout: timedelta = timedelta(seconds=30)
     retention: dict = field(default_factory=lambda: {"cancelled": timedelta(hours=24), "completed": timedelta(hours=24), "discarded": timedelta(days=7)})
+    queue_retention: timedelta = timedelta(hours=24)
+    notification_retention: timedelta = timedelta(hours=1)
 
 
 class Breaker:
@@ -45,33 +52,80 @@ class Breaker:
             self.trips = []
 
 
-def cycle(jobs: Store, queues: DataFrame, workers: machine.Workers, now: datetime, settings: Settings = Settings(), breaker: Breaker | None = None) -> dict[str, int]:
-    """One round: schedule, fetch for every queue not paused, work on the
-    executors, end the runs, rescue stuck jobs, delete old ones. One snapshot
-    is written per step that changes rows. Returns the rows of each step."""
-    batch = settings.reduced_batch if breaker and breaker.open else settings.batch
+def room_of(jobs: DataFrame, queues: DataFrame, worker: str, most: int) -> DataFrame:
+    """(queue, most): how many jobs of each queue a worker may still take; none of a paused one."""
+    busy = jobs.where((F.col("state") == "running") & (F.element_at("attempted_by", -1) == worker)).groupBy("queue").agg(F.count(F.lit(1)).alias("__busy"))
+    free = F.greatest(F.lit(most) - F.coalesce("__busy", F.lit(0)), F.lit(0))
+    names = queues.select(F.col("name").alias("queue"), "paused_at")
+    return names.join(busy, "queue", "left").select("queue", F.when(F.col("paused_at").isNull(), free).otherwise(0).cast("int").alias("most"))
+
+
+def cycle(jobs: Store, queues: DataFrame | Store, workers: machine.Workers, now: datetime, settings: Settings = Settings(), breaker: Breaker | None = None, outbox: Store | None = None) -> dict[str, int]:
+    """One round: schedule (batch after batch while they are full), fetch for
+    every queue not paused, work on the executors, end the runs, rescue stuck
+    jobs (while batches are full), delete old jobs, and, where ``queues`` and
+    ``outbox`` are stores, old queues and notifications. Queues that got jobs
+    are notified in the outbox. Each step writes the rows it changes. A step
+    that takes too long trips the breaker. Returns the rows of each step."""
     done: dict[str, int] = {}
 
-    def step(name: str, changed: DataFrame, f: Callable[[DataFrame, DataFrame], DataFrame] = commands.applied) -> DataFrame:
+    def size() -> int:
+        return settings.reduced_batch if breaker and breaker.open else settings.batch
+
+    def step(name: str, changed: DataFrame, gone: bool = False, store: Store = jobs) -> DataFrame:
+        began = time.monotonic()
         rows = staged(changed, name)
-        done[name] = rows.count()
-        if done[name]:
-            jobs.change(lambda table: f(table, rows))
+        n = rows.count()
+        if n:
+            store.merge(rows, gone)
+        done[name] = done.get(name, 0) + n
+        if breaker:
+            if time.monotonic() - began > settings.step_timeout.total_seconds():
+                breaker.trip(now)
+            else:
+                breaker.reset_if_closed()
         return rows
 
-    step("scheduled", commands.schedule(jobs.read(), now + settings.scheduler, batch))
-    room = queues.select(F.col("name").alias("queue"), F.when(F.col("paused_at").isNull(), settings.room).otherwise(0).alias("most"))
-    taken = step("fetched", commands.fetch_all(jobs.read(), room, now, settings.worker))
+    def notify(rows: DataFrame) -> None:
+        if outbox is None:
+            return
+        # A queue is notified once, by a job due now or in a moment.
+        soon = rows.where((F.col("state") == "available") & (F.col("scheduled_at") <= commands.at(now + timedelta(milliseconds=5)))).select("queue").distinct()
+        notes = soon.select(F.to_json(F.struct("queue")).alias("payload"), F.lit(TOPICS["insert"]).alias("topic"), (F.row_number().over(Window.orderBy("queue")) - 1).alias("ordinal"))  # a row a queue
+        step("notified", commands.notifications_insert(outbox.read(), notes, now), store=outbox)
+
+    def while_full(name: str, batch: Callable[[int], DataFrame], gone: bool = False, after: Callable[[DataFrame], None] | None = None) -> None:
+        while True:
+            most, before = size(), done.get(name, 0)
+            rows = step(name, batch(most), gone)
+            if after and done[name] > before:
+                after(rows)
+            if done[name] - before < most:
+                return
+
+    while_full("scheduled", lambda most: commands.schedule(jobs.read(), now + settings.scheduler, most), after=notify)
+    names = queues.read() if isinstance(queues, Store) else queues
+    taken = step("fetched", commands.fetch_all(jobs.read(), room_of(jobs.read(), names, settings.worker, settings.room), now, settings.worker))
     outcomes = staged(workers.run(taken), "outcomes")
     changes = machine.commands_of(taken, outcomes, now, settings.scheduler.total_seconds())
     step("ended", commands.set_state(jobs.read(), changes, now))
-    stuck = reads.stuck_jobs(jobs.read(), now - settings.rescue_after, batch)
-    kinds = jobs.spark.createDataFrame([(k, 0.0) for k in workers.kinds] or [("", 0.0)], "kind string, timeout_s double")
-    decided = machine.rescue_decisions(stuck, kinds, now, settings.job_timeout.total_seconds())
-    step("rescued", commands.rescue(jobs.read(), decided.where("decision != 'ignore'")))
+    kinds = workers.timeouts(jobs.spark)
+    last, full = 0, True
+    while full:  # some of a full batch may be left alone
+        most = size()
+        stuck = staged(reads.stuck_jobs(jobs.read(), now - settings.rescue_after, most, after=last), "stuck")
+        n, top = stuck.agg(F.count(F.lit(1)), F.max("id")).first()
+        last, full = top or last, n == most
+        decided = machine.rescue_decisions(stuck, kinds, now, settings.job_timeout.total_seconds())
+        step("rescued", commands.rescue(jobs.read(), decided.where("decision != 'ignore'")))
     horizons = {s: now - keep for s, keep in settings.retention.items() if keep is not None}
     if horizons:
-        step("deleted", commands.expired(jobs.read(), horizons, batch), commands.without)
+        while_full("deleted", lambda most: commands.expired(jobs.read(), horizons, most), gone=True)
+    if isinstance(queues, Store):
+        step("queues_deleted", commands.queues_expired(queues.read(), now - settings.queue_retention, size()), True, queues)
+    if outbox is not None:
+        old = outbox.read().where(F.col("created_at") < commands.at(now - settings.notification_retention))
+        step("notifications_deleted", old, True, outbox)
     return done
 
 
@@ -85,15 +139,58 @@ def run_every(spark, seconds: float, checkpoint: str, f: Callable[[datetime], ob
     return ticks.writeStream.foreachBatch(once).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
 
 
-def complete_from(stream: DataFrame, jobs: Store, checkpoint: str, now: Callable[[], datetime], *, order: str = "at", available_now: bool = False) -> StreamingQuery:
+def complete_from(stream: DataFrame, jobs: Store, checkpoint: str, now: Callable[[], datetime], *, order: str = "at", available_now: bool = False, retries: int = 3, sub_batch: int = 1_000_000) -> StreamingQuery:
     """Ends runs from a stream of state changes (:data:`machine.SET_STATE` and a
     time ``order``): a micro-batch keeps the last change per job and applies
-    them together. A batch that fails is tried again by the engine; applying a
-    change twice is harmless, for the job no longer runs."""
+    them together, writing only the jobs they change. A batch that fails is
+    tried again ``retries`` times, ever later, and then by the engine, when the
+    query is started anew; applying a change twice is harmless, for the job no
+    longer runs. ``sub_batch`` changes go into one version at most."""
+
+    def part(last: DataFrame, parts: int, i: int) -> None:
+        mine = last.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == i) if parts > 1 else last
+        jobs.merge(staged(commands.set_state(jobs.read(), mine, now()), "ended"))
 
     def batch(rows: DataFrame, _: int) -> None:
         last = staged(commands.last_per_job(rows, order), "changes")
-        jobs.change(lambda table: commands.applied(table, commands.set_state(table, last, now())))
+        parts = -(-last.count() // sub_batch)
+        for i in range(parts):
+            for again in range(retries + 1):
+                try:
+                    part(last, parts, i)
+                    break
+                except Exception:
+                    if again == retries:
+                        raise
+                    time.sleep(0.1 * 4**again)
 
     out = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (out.trigger(availableNow=True) if available_now else out).start()
+
+
+def complete_now(jobs: Store, changes: DataFrame, now: datetime) -> DataFrame:
+    """Ends runs at once, outside any stream; the jobs as they are then."""
+    rows = staged(commands.set_state(jobs.read(), changes, now), "ended")
+    jobs.merge(rows)
+    return rows
+
+
+class Completer:
+    """Ends runs in the background, batch by batch in the order they were given,
+    by one thread: the store has a single writer. :meth:`close` waits for all
+    and raises what failed."""
+
+    def __init__(self, jobs: Store, now: Callable[[], datetime]):
+        self.jobs, self.now = jobs, now
+        self._pool = ThreadPoolExecutor(max_workers=1)
+        self._runs: list[Future] = []
+
+    def give(self, changes: DataFrame) -> Future:
+        run = self._pool.submit(lambda: complete_now(self.jobs, changes, self.now()))
+        self._runs.append(run)
+        return run
+
+    def close(self) -> None:
+        self._pool.shutdown(wait=True)
+        for run in self._runs:
+            run.result()

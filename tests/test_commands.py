@@ -172,3 +172,128 @@ def test_store_keeps_snapshots(spark, tmp_path):
     assert s.versions() == [2, 3] and sorted(by_id(s.read())) == [1, 2, 3]
     s.change(lambda t: c.without(t, t.where(F.col("id") == 2)))
     assert sorted(by_id(s.read())) == [1, 3] and sorted(by_id(s.read(3))) == [1, 2, 3]
+
+
+def test_store_writes_changes_and_compacts(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "jobs"), JOB, keep=2, deltas=3)
+    s.merge(table(spark, job(1), job(2), job(3)))  # the first is a snapshot
+    s.merge(table(spark, job(2, "running"), job(4)))
+    assert {i: r.state for i, r in by_id(s.read()).items()} == {1: "available", 2: "running", 3: "available", 4: "available"}
+    s.merge(table(spark, job(1), job(2)), gone=True)
+    assert sorted(by_id(s.read())) == [3, 4] and sorted(by_id(s.read(2))) == [1, 2, 3, 4] and sorted(by_id(s.read(1))) == [1, 2, 3]
+    assert len(list((tmp_path / "jobs").glob("v*"))) == 1  # no snapshot for either
+    s.merge(table(spark, job(2, "completed")))
+    assert len(list((tmp_path / "jobs").glob("v*"))) == 2 and {i: r.state for i, r in by_id(s.read()).items()} == {2: "completed", 3: "available", 4: "available"}
+    s.write(s.read())
+    s.write(s.read())
+    assert s.versions() == [6, 7]
+
+
+@pytest.mark.parametrize(("left", "right", "want"), [
+    ('{"a":1,"a":2,"b":3}', '{"c":1}', {"a": 2, "b": 3, "c": 1}), ("not json", '{"c":1}', "not json"), ("[1]", '{"c":1}', "[1]"), (None, '{"c":1}', {"c": 1}),
+    (" ", '{"c":1}', {"c": 1}), ('{"a":{"x":1}}', '{"a":{"y":2}}', {"a": {"y": 2}}), ('{"a":1}', None, {"a": 1}), ('{"a":1}', "{}", {"a": 1}), ('{"a":1}', "bad", {"a": 1}),
+])
+def test_merge_loses_nothing_of_the_left(spark, left, right, want):
+    from tarnwork.functions import json_merge
+
+    got = spark.createDataFrame([(left, right)], "a string, b string").select(json_merge(F.col("a"), F.col("b"))).first()[0]
+    assert got == want or json.loads(got) == want
+
+
+def test_whole_numbers_are_compared_digit_by_digit(spark):
+    from tarnwork.functions import json_contains
+
+    big = 2**53 + 1
+    df = spark.createDataFrame([(f'{{"n": {big}}}',), (f'{{"n": {big - 1}}}',), ('{"n": 5.0}',), ('{"n": 5.5}',), ('{"n": 123456789012345678901234567890}',)], "m string")
+    n = lambda v: df.where(json_contains(F.col("m"), json.dumps({"n": v}))).count()
+    assert (n(big), n(5), n(5.5), n(123456789012345678901234567890), n(123456789012345678901234567891)) == (1, 1, 1, 1, 0)
+
+
+@pytest.mark.parametrize(("name", "good"), [("a", True), ("a_b-c|d", True), ("a1", True), ("a__b", False), ("A", False), ("a/b", False), ("_a", False), ("a_", False), ("", False), ("a" * 64, True), ("a" * 65, False), ("a" * 63 + "!", False)])
+def test_queue_names(name, good):
+    if good:
+        m.check_queue_name(name)
+    else:
+        with pytest.raises(ValueError):
+            m.check_queue_name(name)
+
+
+def test_strict_inserts_and_terms_refuse_conflicts(spark):
+    key, mask = b"key", mask_of(["available", "pending", "running", "scheduled"])
+    jobs = table(spark, job(1, unique_key=key, unique_states=mask), job(5))
+    rows = lambda *ks: spark.createDataFrame([(i, k, mask if k else None) for i, k in enumerate(ks)], "ordinal long, unique_key binary, unique_states int")
+    assert sorted(by_id(c.insert_strict(jobs, rows(None, b"new"), NOW))) == [6, 7]
+    for bad in (rows(key), rows(b"x", b"x")):
+        with pytest.raises(Exception, match="unique key of row"):
+            c.insert_strict(jobs, bad, NOW).collect()
+    term = c.leader_insert(spark.createDataFrame([], LEADER), "x", NOW, ttl=5)
+    assert [(r.leader_id, r.expires_at) for r in c.leader_elected(term).collect()] == [("x", NOW + timedelta(seconds=5))]
+    with pytest.raises(Exception, match="a term already"):
+        c.leader_insert(term, "y", NOW).collect()
+
+
+def test_workers_limits_retries_traces_and_layers():
+    import time
+
+    calls = []
+
+    class Plugin:
+        def begin(self, row):
+            calls.append("begin")
+
+        def around(self, row, run):
+            calls.append("in")
+            out = run()
+            calls.append("out")
+            return {**(out or {}), "seen": True}
+
+        def insert(self, row):
+            return row | {"queue": "other"}
+
+    def slow(args, row):
+        time.sleep(5)
+
+    def broken(args, row):
+        raise RuntimeError("broken")
+
+    def panics(args, row):
+        raise MemoryError("full")
+
+    w = m.Workers()
+    w.plug(Plugin())
+    w.on_panic = lambda row, e: True
+    w.add("slow", slow, timeout=0.2)
+    w.add("broken", broken, next_retry=lambda row, e: NOW)
+    w.add("panics", panics)
+    w.add("fine", lambda args, row: {"n": args["n"]}, around=(lambda row, run: run() | {"own": 1},))
+    run = lambda kind: w.one({"id": 1, "kind": kind, "args": '{"n": 2}'})
+    assert run("slow")["outcome"] == "error" and "no end after" in run("slow")["error"]
+    got = run("broken")
+    assert (got["outcome"], got["retry_at"]) == ("error", NOW) and "RuntimeError: broken" in got["trace"] and "in broken" in got["trace"]
+    assert run("panics")["outcome"] == "cancel" and "no worker" in run("none")["error"]
+    calls.clear()
+    assert json.loads(run("fine")["metadata"]) == {"n": 2, "own": 1, "seen": True} and calls == ["begin", "in", "out"]
+    assert w.inserting([{"queue": "q", "id": 1}]) == [{"queue": "other", "id": 1}]
+
+
+def test_log_append_writes_the_log_back(spark):
+    logs = json.dumps({"runner:log": [{"attempt": 1, "log": "a" * 50}, {"attempt": 2, "log": "b" * 50}], "x": 1})
+    jobs = table(spark, job(1, metadata=logs), job(2), job(4))
+    new = spark.createDataFrame([(1, 3, "é" * 40), (2, 1, "d")], "id long, attempt int, log string")
+    got = {i: json.loads(r.metadata) for i, r in by_id(m.log_append(jobs, new, most_total=170)).items()}
+    assert sorted(got) == [1, 2] and got[2] == {"runner:log": [{"attempt": 1, "log": "d"}]}
+    assert got[1] == {"x": 1, "runner:log": [{"attempt": 3, "log": "é" * 40}]} or len(got[1]["runner:log"]) == 2
+    many = table(spark, job(1, metadata=json.dumps({"runner:log": [{"attempt": i, "log": "x" * 10} for i in range(20_000)]})))
+    assert m.log_entries(many, new.limit(1)).count() == 20_001
+
+
+def test_events_follow_the_reasons(spark):
+    from tarnwork.streaming import job_events
+
+    jobs = table(spark, *(job(i, "running", attempt=1) for i in range(1, 7)))
+    n = None
+    outs = [(1, "completed", n, n, n, n, n, OLD), (2, "error", "x", n, n, n, n, OLD), (3, "snooze", n, n, 1.0, n, n, OLD), (4, "soft_stop", n, n, n, n, n, OLD), (5, "cancel", "x", n, n, n, n, OLD), (6, "snooze", n, n, 99.0, n, n, OLD)]
+    changes = m.commands_of(jobs, spark.createDataFrame(outs, m.OUTCOME), NOW)
+    got = {r.id: (r.event, r.state) for r in job_events(c.reported(c.set_state(jobs, changes, NOW), changes)).collect()}
+    assert got == {1: ("job_completed", "completed"), 2: ("job_failed", "available"), 3: ("job_snoozed", "available"), 4: ("job_interrupted", "available"), 5: ("job_cancelled", "cancelled"), 6: ("job_snoozed", "scheduled")}
+    assert job_events(table(spark, job(1, "scheduled"))).count() == 0

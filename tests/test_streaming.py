@@ -1,5 +1,7 @@
 from datetime import datetime, timedelta
 
+import pytest
+
 from tarnwork.model import JOB, QUEUE
 from tarnwork.operators import commands as c
 from tarnwork.operators import machine as m
@@ -77,3 +79,38 @@ def test_breaker():
     b, t = Breaker(), datetime(2025, 1, 1)
     assert not b.trip(t) and not b.trip(t + timedelta(minutes=1)) and not b.trip(t + timedelta(minutes=12))
     assert not b.trip(t + timedelta(minutes=13)) and b.trip(t + timedelta(minutes=14))
+
+
+def test_cycle_takes_batch_after_batch_notifies_and_cleans(spark, tmp_path):
+    from tarnwork.model import NOTIFICATION
+
+    store, queues, outbox = Store(spark, str(tmp_path / "jobs"), JOB), Store(spark, str(tmp_path / "queues"), QUEUE, key="name"), Store(spark, str(tmp_path / "notes"), NOTIFICATION)
+    busy = job(20, "running", attempted_at=NOW, attempted_by=["worker-1"], queue="a")
+    store.write(table(spark, *(job(i, "scheduled", queue="a" if i % 2 else "b") for i in range(1, 8)), busy, job(30, "completed", attempted_at=OLD), job(31, "completed", attempted_at=OLD), job(32, "completed", attempted_at=OLD)))
+    queues.write(spark.createDataFrame([("a", NOW, "{}", None, NOW), ("b", NOW, "{}", None, NOW), ("old", OLD, "{}", None, OLD)], QUEUE))
+    outbox.write(spark.createDataFrame([(1, OLD, "{}", "job_insert")], NOTIFICATION))
+    w = m.Workers()
+    w.add("k", lambda args, row: None)
+    done = cycle(store, queues, w, NOW, Settings(batch=3, room=2), Breaker(), outbox)
+    assert done["scheduled"] == 7 and done["deleted"] >= 3 and done["queues_deleted"] == 1 and done["notifications_deleted"] == 1
+    assert done["fetched"] == 3  # two of b, and one beside the busy one of a
+    assert {r.name for r in queues.read().collect()} == {"a", "b"}
+    assert {r.payload for r in outbox.read().collect()} == {'{"queue":"a"}', '{"queue":"b"}'}
+
+
+def test_completers(spark, tmp_path):
+    from tarnwork.streaming.loops import Completer, complete_now
+
+    store = Store(spark, str(tmp_path / "jobs"), JOB)
+    store.write(table(spark, job(1, "running"), job(2, "running"), job(3, "running")))
+    change = lambda i: spark.createDataFrame([(i, "completed", None, None, NOW, None, None)], c.SET_STATE)
+    assert [r.state for r in complete_now(store, change(1), NOW).collect()] == ["completed"]
+    later = Completer(store, lambda: NOW)
+    later.give(change(2))
+    later.give(change(3))
+    later.close()
+    assert {r.state for r in store.read().collect()} == {"completed"}
+    bad = Completer(store, lambda: NOW)
+    bad.give(spark.range(1))
+    with pytest.raises(Exception):
+        bad.close()
