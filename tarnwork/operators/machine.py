@@ -107,6 +107,16 @@ def periodic_upsert(have: DataFrame, new: DataFrame, now: datetime) -> DataFrame
     return have.join(rows.select("id"), "id", "left_anti").select(*have.columns).unionByName(rows.select(*have.columns))
 
 
+def periodic_touch(have: DataFrame, ids: list[str], now: datetime) -> DataFrame:
+    """Durable periodic jobs with ``updated_at`` set for those named: they are still wanted."""
+    return have.withColumn("updated_at", F.when(F.col("id").isin(*ids), at(now)).otherwise(F.col("updated_at")))
+
+
+def periodic_kept(have: DataFrame, horizon: datetime) -> DataFrame:
+    """Durable periodic jobs without those no one has touched since ``horizon``."""
+    return have.where(F.col("updated_at") >= at(horizon))
+
+
 # --- logs, output, steps -----------------------------------------------------
 
 
@@ -343,5 +353,5 @@ class Workers:
         return jobs.select("id", "kind", "args", "attempt", "attempted_at", "metadata", "queue").mapInPandas(batch, OUTCOME)
 
 
-__all__ = ["SET_STATE", "OUTCOME", "OUTCOMES", "Cancel", "Snooze", "Worker", "Workers", "check_queue_name", "check_unique", "commands_of", "insert_options", "log_append", "log_entries", "metadata_update", "next_step", "output_update", "periodic_runs", "periodic_upsert", "rescue_decisions"]
+__all__ = ["SET_STATE", "OUTCOME", "OUTCOMES", "Cancel", "Snooze", "Worker", "Workers", "check_queue_name", "check_unique", "commands_of", "insert_options", "log_append", "log_entries", "metadata_update", "next_step", "output_update", "periodic_kept", "periodic_runs", "periodic_touch", "periodic_upsert", "rescue_decisions"]
 

@@ -133,7 +133,27 @@ def expired_schemas(spark: SparkSession, prefix: str, before: str) -> list[str]:
     return sorted(d.name for d in spark.catalog.listDatabases() if d.name.startswith(prefix) and d.name < before)
 
 
-def flags_of(wanted: list[str], have: list[str]) -> dict[str, bool]:
-    """Which of the wanted names exist."""
-    there = set(have)
-    return {w: w in there for w in wanted}
+def which_exist(wanted: DataFrame, have: DataFrame, column: str) -> DataFrame:
+    """The wanted names, in order, with ``exists``: whether ``have`` has them."""
+    there = have.select(column).distinct().withColumn("__there", F.lit(True))
+    return wanted.select(column).join(there, column, "left").select(column, F.col("__there").isNotNull().alias("exists")).orderBy(column)
+
+
+def rebuilt_leftovers(names: DataFrame, column: str, name: str) -> DataFrame:
+    """The names that a rebuild of ``name`` leaves behind when it breaks off: it
+    with a suffix for the new or the old copy, and maybe a number."""
+    suffix = F.substr(F.col(column), F.lit(len(name) + 1))
+    return names.select(column).where(F.col(column).startswith(name) & suffix.rlike("^_cc(new|old)[0-9]*$")).orderBy(column)
+
+
+def schema_create(spark: SparkSession, name: str) -> None:
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {quoted(name)}")
+
+
+def schema_drop(spark: SparkSession, name: str) -> None:
+    """Drops a database with all its tables."""
+    spark.sql(f"DROP DATABASE IF EXISTS {quoted(name)} CASCADE")
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"

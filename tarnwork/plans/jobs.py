@@ -142,6 +142,26 @@ def q_queue_name_list(spark, d):
     return reads.names(table(spark, d, "job_queue"), "name", "shop", "m", ["shop0000166"], 50)
 
 
+@query("SELECT w.name, EXISTS (SELECT 1 FROM job_queue q WHERE q.name = w.name) AS exists FROM (SELECT unnest(['default', 'mailers', 'nowhere']) AS name) w")
+def q_names_exist(spark, d):
+    wanted = spark.createDataFrame([("default",), ("mailers",), ("nowhere",)], "name string")
+    return reads.which_exist(wanted, table(spark, d, "job_queue"), "name")
+
+
+@query("SELECT DISTINCT name || s AS name FROM job_queue, (SELECT unnest(['_ccnew', '_ccold12']) AS s) WHERE name = 'default'")
+def q_rebuild_leftovers(spark, d):
+    queues = table(spark, d, "job_queue").select("name")
+    made = queues.select(F.explode(F.array(*(F.concat("name", F.lit(s)) for s in ("", "_ccnew", "_ccold12", "_ccnewer", "_1")))).alias("name"))
+    return reads.rebuilt_leftovers(made, "name", "default")
+
+
+@query(f"""SELECT to_base64(encode('{{"id": ' || id || ', "kind": "' || kind || '", "queue": "' || queue || '", "sort_field": "id", "time": null}}')) AS cursor FROM (SELECT id, kind, queue FROM {_from()} ORDER BY id LIMIT 100) ORDER BY id DESC LIMIT 1""")
+def q_job_list_cursor(spark, d):
+    """The cursor behind the first page, as text."""
+    cursor = JobFilter().last_cursor(JobFilter().run(_jobs(spark, d)))
+    return spark.createDataFrame([(cursor.encode(),)] if cursor else [], "cursor string")
+
+
 _ALL_STATES = " UNION ALL ".join(f"SELECT '{s}' AS state" for s in STATES)
 
 
@@ -614,6 +634,14 @@ def q_log_append(spark, d):
     return out.select("id", F.size(log).cast("bigint").alias("entries"), F.element_at(log, -1).getField("log").alias("newest"), F.size(F.json_object_keys("metadata")).cast("bigint").alias("n_keys"))
 
 
+@query(f"SELECT name AS id, {NOW_SQL} AS next_run_at, {NOW_SQL} AS updated_at FROM job_queue WHERE name LIKE 't%' UNION ALL SELECT name, created_at, CASE WHEN name = 'default' THEN {NOW_SQL} ELSE updated_at END FROM job_queue WHERE name NOT LIKE 't%' AND (name = 'default' OR updated_at >= {HORIZON_SQL})")
+def q_periodic_durable(spark, d):
+    """Durable periodic jobs, one a queue: some planned anew, one touched, and those no one has touched dropped."""
+    have = table(spark, d, "job_queue").select(F.col("name").alias("id"), F.col("created_at").alias("next_run_at"), "updated_at")
+    new = have.where("id LIKE 't%'").select("id", commands.at(NOW).alias("next_run_at"))
+    return machine.periodic_kept(machine.periodic_touch(machine.periodic_upsert(have, new, NOW), ["default"], NOW), HORIZON)
+
+
 _STEPS = ["basil", "opal", "quartz", "juniper", "umber", "fjord"]
 _DONE = "json_extract_string(metadata, '$.\"runner:resumable_step\"')"
 

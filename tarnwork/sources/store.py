@@ -92,6 +92,10 @@ class Store:
         base = max(v for v, k in have if k == "v")
         return self.write(self.read()) if sum(v > base for v, k in have if k == "d") + 1 >= self.deltas else new
 
+    def truncate(self) -> int:
+        """The next version: an empty snapshot."""
+        return self.write(self.spark.createDataFrame([], self.schema))
+
     def change(self, f: Callable[[DataFrame], DataFrame]) -> int:
         """The next snapshot, as a function of the newest version: for changes of most rows."""
         return self.write(f(self.read()))

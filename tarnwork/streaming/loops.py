@@ -16,6 +16,7 @@ from tarnwork.model import TOPICS
 from tarnwork.operators import commands, machine, reads
 from tarnwork.runtime import staged
 from tarnwork.sources.store import Store
+from tarnwork.streaming.pilot import Pilot
 
 
 @dataclass(frozen=True)
@@ -60,7 +61,7 @@ def room_of(jobs: DataFrame, queues: DataFrame, worker: str, most: int) -> DataF
     return names.join(busy, "queue", "left").select("queue", F.when(F.col("paused_at").isNull(), free).otherwise(0).cast("int").alias("most"))
 
 
-def cycle(jobs: Store, queues: DataFrame | Store, workers: machine.Workers, now: datetime, settings: Settings = Settings(), breaker: Breaker | None = None, outbox: Store | None = None) -> dict[str, int]:
+def cycle(jobs: Store, queues: DataFrame | Store, workers: machine.Workers, now: datetime, settings: Settings = Settings(), breaker: Breaker | None = None, outbox: Store | None = None, pilot: Pilot | None = None) -> dict[str, int]:
     """One round: schedule (batch after batch while they are full), fetch for
     every queue not paused, work on the executors, end the runs, rescue stuck
     jobs (while batches are full), delete old jobs, and, where ``queues`` and
@@ -68,6 +69,8 @@ def cycle(jobs: Store, queues: DataFrame | Store, workers: machine.Workers, now:
     are notified in the outbox. Each step writes the rows it changes. A step
     that takes too long trips the breaker. Returns the rows of each step."""
     done: dict[str, int] = {}
+    pilot = pilot or Pilot()
+    pilot.worker_alive(settings.worker, now)
 
     def size() -> int:
         return settings.reduced_batch if breaker and breaker.open else settings.batch
@@ -105,10 +108,10 @@ def cycle(jobs: Store, queues: DataFrame | Store, workers: machine.Workers, now:
 
     while_full("scheduled", lambda most: commands.schedule(jobs.read(), now + settings.scheduler, most), after=notify)
     names = queues.read() if isinstance(queues, Store) else queues
-    taken = step("fetched", commands.fetch_all(jobs.read(), room_of(jobs.read(), names, settings.worker, settings.room), now, settings.worker))
+    taken = step("fetched", pilot.fetch(jobs.read(), room_of(jobs.read(), names, settings.worker, settings.room), now, settings.worker))
     outcomes = staged(workers.run(taken), "outcomes")
     changes = machine.commands_of(taken, outcomes, now, settings.scheduler.total_seconds())
-    step("ended", commands.set_state(jobs.read(), changes, now))
+    step("ended", pilot.set_state(jobs.read(), changes, now))
     kinds = workers.timeouts(jobs.spark)
     last, full = 0, True
     while full:  # some of a full batch may be left alone
@@ -120,7 +123,7 @@ def cycle(jobs: Store, queues: DataFrame | Store, workers: machine.Workers, now:
         step("rescued", commands.rescue(jobs.read(), decided.where("decision != 'ignore'")))
     horizons = {s: now - keep for s, keep in settings.retention.items() if keep is not None}
     if horizons:
-        while_full("deleted", lambda most: commands.expired(jobs.read(), horizons, most), gone=True)
+        while_full("deleted", lambda most: commands.expired(jobs.read(), horizons, most, excluded=pilot.queues_not_cleaned()), gone=True)
     if isinstance(queues, Store):
         step("queues_deleted", commands.queues_expired(queues.read(), now - settings.queue_retention, size()), True, queues)
     if outbox is not None:
