@@ -10,6 +10,7 @@ import json
 import re
 import sys
 from contextlib import contextmanager
+from functools import cache
 from json.decoder import scanstring
 
 _SPACE = re.compile(r"[ \t\n\r]*")
@@ -95,12 +96,17 @@ def parse(text: str | None, parse_float=float):
             return None
 
 
+@cache
+def _encoder(sort_keys: bool, ensure_ascii: bool, spaced: bool):
+    return json.JSONEncoder(sort_keys=sort_keys, ensure_ascii=ensure_ascii, separators=(", ", ": ") if spaced else (",", ":")).encode
+
+
 def dump(v, *, sort_keys: bool = False, ensure_ascii: bool = False, spaced: bool = True, scalar=None) -> str:
     """JSON of a value, however deep; ``scalar`` may write scalars its own way (or give None)."""
     comma, colon = (", ", ": ") if spaced else (",", ":")
     if scalar is None:
         try:
-            return json.dumps(v, sort_keys=sort_keys, ensure_ascii=ensure_ascii, separators=(comma, colon))
+            return _encoder(sort_keys, ensure_ascii, spaced)(v)
         except RecursionError:
             pass
     out: list[str] = []

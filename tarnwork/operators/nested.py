@@ -110,6 +110,8 @@ def holders(posts: list[int]) -> list[int]:
 def _rest(values: list) -> tuple[list | None, bool]:
     """An array without its objects (null in their place; None where nothing
     but nulls is left), and whether it had any."""
+    if all(type(x) in (int, float, bool) for x in values):
+        return values, False
     out, had = [], False
     for x in values:
         x = opened(x)
@@ -128,15 +130,21 @@ def _scalars(v: dict) -> dict[str, str]:
     left out."""
     flat = {}
     for k, x in v.items():
-        inner = opened(x)
-        if isinstance(inner, list):
-            rest, had = _rest(inner)
-            if rest is not None:
-                flat[k] = x if isinstance(x, str) and not had else dump(rest)
-        elif isinstance(x, str) and inner is x:
+        kind = type(x)
+        if kind is int:
+            flat[k] = str(x)
+        elif kind is str and not (x[:1] in OPENERS or x[:1].isspace()):
             flat[k] = x
-        elif x is not None and not isinstance(inner, dict):
-            flat[k] = dump(x)
+        elif x is None or kind is dict:
+            continue
+        else:
+            inner = opened(x)
+            if isinstance(inner, list):
+                rest, had = _rest(inner)
+                if rest is not None:
+                    flat[k] = x if kind is str and not had else dump(rest)
+            elif not isinstance(inner, dict):
+                flat[k] = x if kind is str else dump(x)
     return flat
 
 
@@ -187,7 +195,7 @@ class Labeller:
                 if shape[-1] == LONE and up >= 0:
                     self.rows[row_of[up]][-1] = True
                 row_of[i] = len(self.rows)
-                self.rows.append([key, shape, _unwound(pos), pre, posts[i], _scalars(v) if self.fields else None, over, False])
+                self.rows.append([key, shape, _unwound(pos), pre, posts[i], dump(_scalars(v), spaced=False) if self.fields else None, over, False])
             around.append((shape, marks))
             poss.append(pos)
             above.append(over)
@@ -198,7 +206,7 @@ def label(df: DataFrame, key: str, columns: list[str], *, fields: bool = True) -
 
     A row per object: ``key``, ``shape`` (the names on the way with marks for
     arrays and lone objects), ``pos`` (positions in the arrays on the way),
-    ``pre``, ``post`` and, if asked for, ``fields`` (see :func:`_scalars`),
+    ``pre``, ``post`` and, if asked for, ``fields`` (see :func:`_scalars`; as JSON),
     ``ups`` (pre of the objects whose intervals hold its own up to an array's
     element, inmost first) and ``holds`` (whether a lone object lies right in it).
     Arrays come out as rows with a null ``pos``, once per batch and shape.
@@ -211,7 +219,7 @@ def label(df: DataFrame, key: str, columns: list[str], *, fields: bool = True) -
     kind = df.schema[key].dataType
     out = T.StructType([T.StructField("key", kind), T.StructField("shape", T.StringType()), T.StructField("pos", T.ArrayType(T.IntegerType())), T.StructField("pre", T.IntegerType()), T.StructField("post", T.IntegerType())])
     if fields:
-        out.add("fields", T.MapType(T.StringType(), T.StringType())).add("ups", T.ArrayType(T.IntegerType())).add("holds", T.BooleanType())
+        out.add("fields", T.StringType()).add("ups", T.ArrayType(T.IntegerType())).add("holds", T.BooleanType())
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,10 +239,7 @@ def label(df: DataFrame, key: str, columns: list[str], *, fields: bool = True) -
                 k, shape, pos, pre, post, flat, ups, holds = map(list, zip(*rows, strict=True))
                 data = [pa.array(k, batch.schema.field(0).type), _clean(shape), pa.array(pos, pa.list_(pa.int32())), pa.array(pre, pa.int32()), pa.array(post, pa.int32())]
                 if fields:
-                    names = [list(f) if f is not None else [] for f in flat]
-                    offsets = pa.array([0, *pd.Series([len(n) for n in names]).cumsum()], pa.int32())
-                    data.append(pa.MapArray.from_arrays(offsets, _clean([x for n in names for x in n]), _clean([x for f in flat if f for x in f.values()])))
-                    data += [pa.array(ups, pa.list_(pa.int32())), pa.array(holds, pa.bool_())]
+                    data += [_clean(flat), pa.array(ups, pa.list_(pa.int32())), pa.array(holds, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(data, names=[f.name for f in out.fields])
 
     return df.select(F.col(key), *(F.col(c) for c in columns)).mapInArrow(walk, out)
@@ -329,9 +334,13 @@ def child_records(df: DataFrame, key: str, json_columns: list[str], array_column
     return out.distinct()
 
 
+def _map(fields: str) -> Column:
+    return F.from_json(fields, "map<string,string>")
+
+
 def linked(nodes: DataFrame) -> DataFrame:
     """The record table of a (written) node table: ``key``, ``path``, ``pos``,
-    ``pre``, ``post``, ``column``, ``fields`` and the parent's ``parent_path``,
+    ``pre``, ``post``, ``column``, ``fields`` (name -> text, as JSON) and the parent's ``parent_path``,
     ``parent_pos`` and ``parent_pre`` (null: the record lies in the row itself).
 
     The parent is the inmost record among the objects whose intervals hold the
@@ -351,7 +360,7 @@ def linked(nodes: DataFrame) -> DataFrame:
     is_part = F.col("plan").isNull()
     steps = F.split(F.regexp_replace("shape", "[\x01\x02]", ""), END)
     way = F.array_join(F.slice(steps, F.size(steps) - F.col("up") + 1, F.col("up")), ".")
-    named = F.transform(F.map_entries("fields"), lambda e: F.struct(F.when(is_part, F.concat(way, F.lit("."), e.key)).otherwise(e.key).alias("key"), e.value.alias("value")))
+    named = F.transform(F.map_entries(_map("fields")), lambda e: F.struct(F.when(is_part, F.concat(way, F.lit("."), e.key)).otherwise(e.key).alias("key"), e.value.alias("value")))
     whole = F.when(~is_part, F.struct("path", "pos", "post", *(c for c in out if c.startswith("parent_"))))
     rows = found.where("plan IS NULL OR holds").select("key", "column", F.when(is_part, F.col("parent_pre")).otherwise(F.col("pre")).alias("pre"), whole.alias("r"), F.struct("pre", named.alias("named")).alias("part"))
     # The objects of one record, which were one text.
@@ -360,7 +369,7 @@ def linked(nodes: DataFrame) -> DataFrame:
     names = F.array_distinct(F.transform("named", lambda e: e.key))
     of = lambda n: F.transform(F.filter("named", lambda e: e.key == n), lambda e: e.value)
     clash = F.map_from_arrays(names, F.transform(names, lambda n: F.when(F.size(of(n)) > 1, F.to_json(of(n))).otherwise(F.element_at(of(n), 1))))
-    folded = rows.withColumn("fields", F.when(F.size(names) < F.size("named"), clash).otherwise(F.map_from_entries("named")))
+    folded = rows.withColumn("fields", F.to_json(F.when(F.size(names) < F.size("named"), clash).otherwise(F.map_from_entries("named"))))
     return alone.unionByName(folded.select(*out))
 
 
@@ -384,13 +393,13 @@ def flat_table(links: DataFrame, path: str, columns: list[str]) -> DataFrame:
         while name.lower() in used:
             name += "_"
         used.add(name.lower())
-        out.append(F.col("fields").getItem(c).alias(name))
-    return mine.select(*fixed, *out)
+        out.append(F.col("__map").getItem(c).alias(name))
+    return mine.withColumn("__map", _map("fields")).select(*fixed, *out)
 
 
 def kinds_of(links: DataFrame) -> DataFrame:
     """The columns of each table of records: ``path``, ``name``, ``records`` that have it."""
-    return links.select("path", F.explode(F.map_keys("fields")).alias("name")).groupBy("path", "name").agg(F.count(F.lit(1)).alias("records"))
+    return links.select("path", F.explode(F.json_object_keys("fields")).alias("name")).groupBy("path", "name").agg(F.count(F.lit(1)).alias("records"))
 
 
 def write_tables(links: DataFrame, folder: str) -> list[str]:

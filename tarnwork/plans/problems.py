@@ -94,7 +94,7 @@ def p4_tables(spark: SparkSession, d: str) -> DataFrame:
     the record each lies in."""
     jobs = table(spark, d, "job_row").select("id", "args", "metadata")
     links = nested.tables(jobs, "id", ["args", "metadata"])
-    return links.select(F.col("key").alias("id"), "path", "pos", "pre", "post", F.to_json("fields").alias("fields"), "parent_path", "parent_pos")
+    return links.select(F.col("key").alias("id"), "path", "pos", "pre", "post", "fields", "parent_path", "parent_pos")
 
 
 def p4_links(spark: SparkSession, d: str) -> DataFrame:
