@@ -51,7 +51,8 @@ class Window:
 
 
 #: A line of copied matter: a quote, a table row, or a log line.
-COPIED = re.compile(r"\s*(?:>|\||\[?(?:\d{4}-\d\d-\d\d[T ])?\d{1,2}:\d\d(?::\d\d(?:[.,]\d+)?)?Z?\]?\s.*?\w=)")
+_COPIED = r"[^\S\n]*(?:>|\||\[?(?:\d{4}-\d\d-\d\d[T ])?\d{1,2}:\d\d(?::\d\d(?:[.,]\d+)?)?Z?\]?[^\S\n].*?\w=)"
+COPIED, COPIED_AT = re.compile(_COPIED), re.compile("^" + _COPIED, re.M)
 
 
 @lru_cache(maxsize=2)
@@ -68,6 +69,8 @@ def _encoder(path: str):
 
 def copied_bytes(text: str) -> np.ndarray:
     """Where copied matter begins and ends in the UTF-8 form of a text, in turn."""
+    if "```" not in text and not COPIED_AT.search(text):
+        return np.zeros(0, dtype=np.int64)
     out, at, fence, before = [], 0, False, False
     for line in text.split("\n"):
         mark = line.lstrip()[:3] == "```"
@@ -83,8 +86,11 @@ def copied_bytes(text: str) -> np.ndarray:
 def loss_of(ids: list[int], size: np.ndarray, text: str, window: int) -> list[int]:
     """Loss-bearing tokens of each piece of ``window`` tokens: those that begin
     in no copied matter, but for a piece's first, which nothing foretells."""
+    edges = copied_bytes(text)
+    if not len(edges):  # all are own words
+        return [min(window, len(ids) - at) - 1 for at in range(0, len(ids), window)] or [0]
     begins = np.r_[0, np.cumsum(size[ids])[:-1]] if ids else np.zeros(0, dtype=np.int64)
-    own = np.searchsorted(copied_bytes(text), begins, side="right") % 2 == 0
+    own = np.searchsorted(edges, begins, side="right") % 2 == 0
     own[::window] = False
     return np.add.reduceat(own, np.arange(0, len(own), window)).tolist() if len(own) else [0]
 
