@@ -519,7 +519,9 @@ def cast_lines(rows: DataFrame, columns: DataFrame, at: Series = Series(), *, ke
     has in the whole of its kind (``columns``, see :func:`columns_of`)."""
     kind, cols = at.series[-1], [*at.series, at.file, at.key, *keep]
     types = columns.select(F.col(kind).alias("__kind"), F.col("name").alias("__name"), F.col("type").alias("__cast"))
-    met = rows.join(types, F.col(kind).eqNullSafe(F.col("__kind")) & (F.col("name") == F.col("__name")))  # columns of kinds: broadcast where small
+    types = staged(types.withColumn("bytes", F.octet_length("__name") + F.coalesce(F.octet_length(F.col("__kind").cast("string")), F.lit(0)) + 64), "types")
+    types = (F.broadcast(types) if _broadcastable(types) else types).drop("bytes")
+    met = rows.join(types, F.col(kind).eqNullSafe(F.col("__kind")) & (F.col("name") == F.col("__name")))
     plain = F.col("__cast").isin("bigint", "boolean") | (F.col("type").isin("array", "object"))
     text = F.when(F.col("__cast") == "double", F.to_json(F.array(F.col("value").try_cast("double")))).when(plain, F.concat(F.lit("["), F.col("value"), F.lit("]"))).otherwise(F.to_json(F.array("value")))
     pair = F.concat(F.expr("substr(to_json(array(name)), 2, length(to_json(array(name))) - 2)"), F.lit(":"), F.expr("substr(__text, 2, length(__text) - 2)"))

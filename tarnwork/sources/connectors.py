@@ -4,20 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tarnwork.model import NOTIFICATION, TABLES
 
 
-def read_jdbc(spark: SparkSession, url: str, name: str, *, key: str = "id", parts: int = 16, **options: str) -> DataFrame:
-    """A table of a live database, read in ranges of ``key``. The database's
-    driver must be on the class path; none comes with this package."""
+def read_jdbc(spark: SparkSession, url: str, name: str, *, key: str | None = "id", parts: int = 16, **options: str) -> DataFrame:
+    """A table of a live database, read in ranges of ``key``, a whole number or
+    a time (None: by one task). The database's driver must be on the class
+    path; none comes with this package."""
     source = spark.read.format("jdbc").options(url=url, **options)
-    low, high = source.option("query", f"SELECT min({key}) AS lo, max({key}) AS hi FROM {name}").load().first()
+    if key is None:
+        return source.option("dbtable", name).load()
+    own = spark.sparkContext._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(key)
+    low, high = spark.read.format("jdbc").options(url=url, **options).option("query", f"SELECT min({own}) AS lo, max({own}) AS hi FROM {name}").load().first()
     if low is None:
         return source.option("dbtable", name).load()
     return source.options(dbtable=name, partitionColumn=key, lowerBound=low, upperBound=high + 1, numPartitions=parts).load()
 
 
+def write_jdbc(df: DataFrame, url: str, name: str, *, batch: int = 10_000, **options: str) -> None:
+    """Bulk load into a table of a live database, by as many connections as
+    there are partitions; a row that breaks a constraint fails the load.
+    Columns a database has no type for go as text: arrays as JSON."""
+    plain = [F.to_json(f.name).alias(f.name) if isinstance(f.dataType, T.ArrayType | T.StructType | T.MapType) else F.col(f.name) for f in df.schema.fields]
+    df.select(*plain).write.format("jdbc").options(url=url, dbtable=name, batchsize=batch, **options).mode("append").save()
+
+
 def read_json(spark: SparkSession, path: str, name: str) -> DataFrame:
     """A table from files of one JSON object per line, in the table's schema."""
     return spark.read.schema(TABLES[name]).json(path)

@@ -1,7 +1,9 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tarnwork import runtime
-from tarnwork.model import JOB
+from tarnwork.model import JOB, NOTIFICATION
+from tarnwork.plans.streams import drained
 from tarnwork.sources import connectors, distinct_rows, table
 from tests.conftest import DATA
 from tests.test_commands import by_id, job
@@ -59,3 +61,26 @@ def test_json_append_and_layout(spark, tmp_path):
     one = spark.read.parquet(str(tmp_path / "layout")).where("state = 'running'")
     assert [r.id for r in one.collect()] == [2]
     assert "PartitionFilters: [isnotnull(state" in one._jdf.queryExecution().executedPlan().toString()
+
+
+def test_jdbc_reads_in_ranges_and_appends(spark):
+    """Against the small database that comes with the engine."""
+    url, driver = "jdbc:derby:memory:jobs;create=true", "org.apache.derby.jdbc.EmbeddedDriver"
+    jobs = jobs_of(spark, *(job(i, "running", tags=["a"], unique_states=3) for i in range(1, 50))).select("id", "kind", "priority", "scheduled_at", "state", "tags")
+    connectors.write_jdbc(jobs, url, "job_row", driver=driver)
+    got = connectors.read_jdbc(spark, url, "job_row", parts=4, driver=driver)
+    rows = {r[0]: r for r in got.collect()}
+    assert got.rdd.getNumPartitions() == 4 and sorted(rows) == list(range(1, 50)) and rows[7][1:3] == ("k", 1) and rows[7][5] == '["a"]'
+    connectors.write_jdbc(jobs.where("id = 1").withColumn("id", F.lit(100).cast("long")), url, "job_row", driver=driver)
+    assert connectors.read_jdbc(spark, url, "job_row", key=None, driver=driver).count() == 50
+    connectors.write_jdbc(jobs.limit(0), url, "empty_jobs", driver=driver)
+    assert connectors.read_jdbc(spark, url, "empty_jobs", driver=driver).count() == 0
+
+
+def test_outbox_files_are_a_stream(spark, tmp_path):
+    path = str(tmp_path / "notes")
+    at = __import__("datetime").datetime(2025, 1, 1)
+    for i, topic in enumerate(["job_insert", "job_control", "job_insert"]):
+        connectors.append(spark.createDataFrame([(i, at, "{}", topic)], NOTIFICATION), path, "job_notification")
+    stream = connectors.notifications(spark, path, ["job_insert"], files_per_trigger=1)
+    assert sorted(r.id for r in drained(stream, "notes").collect()) == [0, 2]
