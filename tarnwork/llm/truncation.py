@@ -259,7 +259,7 @@ def judge(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
     lines = staged(whole_lines(open_, within), "lines")
     listed = within.where("within >= 2 AND length(shape) >= 2").select("shape", F.col("within").alias("n"))
     below = continued(lines.select("shape"), listed, "shape", 12)
-    line = lines.join(below, "shape", "left").select("shape", "as_last", "within", ((F.col("as_last") >= 5) & (F.col("as_last") >= SPIKE * F.greatest("before", "after"))).alias("spike"), (F.coalesce("below", F.lit(0)) >= F.col("as_last") + F.col("within")).alias("carried_on"))
+    line = lines.join(below, "shape", "left").select("shape", "as_last", "within", ((F.col("as_last") >= 5) & (F.col("as_last") >= SPIKE * F.greatest("before", "after"))).alias("spike"), (F.coalesce("below", F.lit(0)) >= F.col("as_last") + F.col("within")).alias("carried_on"), F.col("below").isNotNull().alias("line_goes_on"))
 
     abbr = counts.where("kind = 'abbr' AND a >= 2 AND a > b").select(F.col("name").alias("abbr"), F.lit(True).alias("is_abbr"))
     limit = limits(ends, "chars").withColumn("by_chars", F.lit(True))
@@ -282,16 +282,18 @@ def judge(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
     cut_word = F.col("settled").isNull() & ~F.col("word").startswith("\x00") & (n["n"] == 0) & yes(F.col("goes_on")) & ~F.col("word").rlike("^[0-9.,:]+$")
     known_line = ((n["within"] >= 2) & (n["within"] * GOES_ON >= n["a"]) | yes(F.col("spike"))) & ~yes(F.col("carried_on"))
     plain = F.col("form") == "line"
+    # A line that is known to be whole, but also to go on, was cut if the text is as long as its source's limit.
+    overruled = at_limit & yes(F.col("line_goes_on"))
     # Before dots, a word on which sentences mostly end is the end of a thought.
-    goes_on = F.when(F.col("dots"), n["a"] >= n["b"]).otherwise(plain & (n["a"] + n["b"] > n["c"]) | yes(F.col("carried_on")))
-    phrase = (~known_line | at_limit) & goes_on & (n["a"] + n["b"] > 0)
+    goes_on = F.when(F.col("dots"), n["a"] >= n["b"]).otherwise(plain & (n["a"] + n["b"] > n["c"]) | yes(F.col("carried_on")) | overruled)
+    phrase = (~known_line | overruled) & goes_on & (n["a"] + n["b"] > 0)
     evidence = (
         F.when(F.col("settled"), "open")
         .when(F.col("settled").isNotNull() | (F.col("form") == "log"), None)
         .when(F.col("form") == "closed", F.when(yes(F.col("is_abbr")), "phrase"))
         .when(cut_word, "word")
         .when(phrase, "phrase")
-        .when(plain & at_limit, "length")
+        .when(F.col("form").isin("line", "item") & at_limit & ~known_line, "length")
     )
     out = full.withColumn("__evidence", evidence)
     return out.select(F.col("doc_id").alias(key), "source", at_limit.alias("at_limit"), cut_word.alias("cut_word"), F.col("__evidence").alias("evidence"), F.col("__evidence").isNotNull().alias("cut"), "form", "dots")
