@@ -103,5 +103,6 @@ def test_reads(jobs, spark):
     assert [tuple(r) for r in reads.count_by_queue_and_state(jobs, asked).collect()] == [("none", 0, 0), ("q1", 0, 0)]
     none = reads.run_statistics(jobs.limit(0).withColumn("created_at", F.col("scheduled_at"))).first()
     assert (none.n, none.run_s) == (0, 0.0)
-    assert reads.flags_of(["a", "b"], ["b"]) == {"a": False, "b": True}
+    wanted, have = (spark.createDataFrame([(x,) for x in xs], "name string") for xs in (["b", "a", "c"], ["a", "a", "b", "z"]))
+    assert [tuple(r) for r in reads.which_exist(wanted, have, "name").collect()] == [("a", True), ("b", True), ("c", False)]
     assert not reads.table_exists(spark, "no_such_table") and not reads.column_exists(spark, "no_such_table", "c")
