@@ -171,23 +171,24 @@ class Balls:
     looking only into such balls loses nothing."""
 
     def __init__(self, vectors: np.ndarray, least: float):
-        middles: list[int] = []
+        middles, n = np.empty_like(vectors), 0
         home = np.empty(len(vectors), dtype=np.int64)
         radius: list[float] = []
         for i, v in enumerate(vectors):
-            near = vectors[middles] @ v if middles else np.zeros(0)
-            k = int(np.argmax(near)) if len(near) else -1
+            near = middles[:n] @ v
+            k = int(np.argmax(near)) if n else -1
             if k < 0 or near[k] < least:
-                k = len(middles)
-                middles.append(i)
+                k = n
+                middles[n] = v
+                n += 1
                 radius.append(0.0)
             else:
                 radius[k] = max(radius[k], float(np.arccos(min(1.0, near[k]))))
             home[i] = k
-        self.middles = vectors[middles]
+        self.middles = middles[:n].copy()
         self.radius = np.array(radius)
         order = np.argsort(home, kind="stable")
-        self.members = np.split(order, np.cumsum(np.bincount(home, minlength=len(middles)))[:-1]) if len(vectors) else []
+        self.members = np.split(order, np.cumsum(np.bincount(home, minlength=n))[:-1]) if len(vectors) else []
 
     def near(self, z: np.ndarray, cosine: float) -> np.ndarray:
         """The members of all balls that one of ``z`` can reach."""

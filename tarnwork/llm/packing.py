@@ -30,6 +30,8 @@ TOKENIZERS, VOCABULARY = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
 #: Tasks of a round; each packs one shard, or several one after the other. Their
 #: number is set, as shards are small in bytes and would be put together in one.
 MOST_TASKS = 20_000
+#: Loss is rounded up to multiples of this, so that few sizes differ.
+STEP = 32
 # Fixed value: how that vocabulary cuts a text before its merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -165,7 +167,7 @@ def _packer(key: list[str], cols: list[str], room: np.ndarray, how: Window, roun
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         # In order of the key, so that a task that is run again packs alike.
         pdf = pdf.sort_values([*key, "tokens", "loss"], kind="stable").reset_index(drop=True)
-        sizes = np.column_stack([pdf["tokens"], np.ones(len(pdf), dtype=np.int64), np.minimum(pdf["loss"], how.loss)])
+        sizes = np.column_stack([pdf["tokens"], np.ones(len(pdf), dtype=np.int64), np.minimum(-(-pdf["loss"] // STEP) * STEP, how.loss)])
         at = fill(sizes, room)
         used = np.bincount(at, pdf["tokens"])
         shard = pdf["shard"].iloc[0]

@@ -46,7 +46,8 @@ def p2_wait_merged(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """The first five jobs of each queue by priority, scheduled_at and id."""
-    jobs = distinct_rows(table(spark, d, "job_row"), "id", "queue", "priority", "scheduled_at")
+    # Read three times: for the bounds of buckets, the histograms and the ranking.
+    jobs = staged(distinct_rows(table(spark, d, "job_row"), "id", "queue", "priority", "scheduled_at"), "jobs")
     return top_n(jobs, "queue", ["priority", "scheduled_at", "id"], 5).select("queue", "id")
 
 

@@ -193,24 +193,34 @@ def limits(ends: DataFrame, length: str) -> DataFrame:
     return own.withColumn("around", around).where((F.col("n") >= 5) & (F.col("n") >= 8 * F.greatest("around", F.lit(0.25)))).select("source", length)
 
 
-def continued(finals: DataFrame, known: DataFrame, name: str, head: int = 4) -> DataFrame:
+def _few(df: DataFrame) -> bool:
+    """Whether a (written) table has so few rows that it, and what is made of them, is broadcast."""
+    return df.count() <= FEW
+
+
+def _hinted(df: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(df) if few else df
+
+
+def continued(finals: DataFrame, known: DataFrame, name: str, head: int = 4, few: bool = False) -> DataFrame:
     """(``name``, ``below``) of those ``finals`` that are inner nodes of the trie
     of ``known`` (``name``, ``n``): proper prefixes of its entries, with the
     count of the most frequent entry below.
 
     The trie is built only where a final can meet it: of entries that begin
     like a final, and of those the prefixes as long as a final of that beginning.
+    With ``few`` finals their beginnings go to the entries, not the other way.
     """
     heads = finals.select(F.substring(name, 1, head).alias("head"), F.length(name).alias("size")).distinct()
     short = heads.where(F.col("size") < head).select("head", F.array("size").alias("sizes"))
     heads = heads.where(F.col("size") >= head).groupBy("head").agg(F.collect_set("size").alias("sizes"))  # lengths of words or lines
-    meets = known.select(name, "n", F.substring(name, 1, head).alias("head")).join(heads, "head")
+    meets = known.select(name, "n", F.substring(name, 1, head).alias("head")).join(_hinted(heads, few), "head")
     nodes = meets.select(F.explode(F.filter("sizes", lambda i: i < F.length(name))).alias("size"), name, "n")
     by_start = [F.struct(F.substring(name, 1, i).alias("head"), F.lit(i).alias("size")) for i in range(1, head)]
-    brief = known.where(F.length(name) > 1).select(F.explode(F.array(*by_start)).alias("p"), name, "n").where(F.col("p.size") < F.length(name)).select("p.head", name, "n").groupBy("head").agg(F.max("n").alias("below"))
-    brief = brief.join(short.select("head"), "head", "left_semi").withColumnRenamed("head", name)
+    brief = known.where(F.length(name) > 1).select(F.explode(F.array(*by_start)).alias("p"), name, "n").where(F.col("p.size") < F.length(name)).select("p.head", "n")
+    brief = brief.join(_hinted(short.select("head"), few), "head", "left_semi").groupBy(F.col("head").alias(name)).agg(F.max("n").alias("below"))
     deep = nodes.select(F.expr(f"substring({name}, 1, size)").alias(name), "n").groupBy(name).agg(F.max("n").alias("below"))
-    return deep.unionByName(brief).join(finals.select(name).distinct(), name, "left_semi")
+    return deep.unionByName(brief).join(_hinted(finals.select(name).distinct(), few), name, "left_semi")
 
 
 def whole_lines(ends: DataFrame, within: DataFrame) -> DataFrame:
@@ -249,33 +259,40 @@ def judge(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
     looked_up = F.col("settled").isNull() & (F.col("dots") | F.col("form").isin("line", "item", "sign-off", "link"))
     open_ = ends.where(looked_up).select("doc_id", "word", "shape", "digest")
 
-    finals = open_.where("word != ''").select("word").distinct()
-    known = staged(finals.join(words, "word", "left").withColumn("word_kind", kind_of), "finals")
-    trie = continued(known.where("n IS NULL").select("word"), words.select("word", "n"), "word")
+    finals = staged(open_.where("word != ''").select("word").distinct(), "words")
+    few = _few(finals)
+    there = words.join(_hinted(finals, few), "word")
+    known = staged(finals.join(there, "word", "left").withColumn("word_kind", kind_of), "finals")
+    trie = continued(known.where("n IS NULL").select("word"), words.select("word", "n"), "word", few=few)
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     known = known.join(F.broadcast(kinds), "word_kind", "left").join(trie, "word", "left").select("word", zero("n"), *(F.coalesce(x, F.when(F.col("n").isNull(), F.col(f"kind_{x}")), F.lit(0)).alias(x) for x in "abc"), F.col("below").isNotNull().alias("goes_on"))
 
     within = counts.where("kind = 'line'").select(F.col("name").alias("shape"), F.col("a").alias("within"))
     lines = staged(whole_lines(open_, within), "lines")
     listed = within.where("within >= 2 AND length(shape) >= 2").select("shape", F.col("within").alias("n"))
-    below = continued(lines.select("shape"), listed, "shape", 12)
+    few_lines = _few(lines)
+    below = continued(lines.select("shape"), listed, "shape", 12, few_lines)
     line = lines.join(below, "shape", "left").select("shape", "as_last", "within", ((F.col("as_last") >= 5) & (F.col("as_last") >= SPIKE * F.greatest("before", "after"))).alias("spike"), (F.coalesce("below", F.lit(0)) >= F.col("as_last") + F.col("within")).alias("carried_on"), F.col("below").isNotNull().alias("line_goes_on"))
 
     abbr = counts.where("kind = 'abbr' AND a >= 2 AND a > b").select(F.col("name").alias("abbr"), F.lit(True).alias("is_abbr"))
-    limit = limits(ends, "chars").withColumn("by_chars", F.lit(True))
-    limit_b = limits(ends.where("bytes > chars"), "bytes").withColumn("by_bytes", F.lit(True))
+    by_chars = limits(ends, "chars").select("source", F.col("chars").alias("length"), F.lit("chars").alias("of"))
+    by_bytes = limits(ends.where("bytes > chars"), "bytes").select("source", F.col("bytes").alias("length"), F.lit("bytes").alias("of"))
+    limit = staged(by_chars.unionByName(by_bytes), "limits")
+    abbr = staged(abbr, "abbreviations")
 
     # Texts without a final word or line meet nothing; a key of their own each keeps them out of one task.
     own = F.concat(F.lit("\x00"), F.xxhash64("doc_id").cast("string"))
     keyed = lambda c: F.when(F.col(c) != "", F.col(c)).otherwise(own).alias(c)
-    judged = ends.where(looked_up).withColumns({c: keyed(c) for c in ("word", "shape")}).join(known, "word", "left").join(line, "shape", "left")
+    judged = ends.where(looked_up).withColumns({c: keyed(c) for c in ("word", "shape")}).join(_hinted(known, few), "word", "left").join(_hinted(line, few_lines), "shape", "left")
     rest = ends.where(~looked_up)
     full = judged.unionByName(rest.withColumns({f.name: F.lit(None).cast(f.dataType) for f in judged.schema.fields if f.name not in rest.columns}))
     full = full.withColumn("abbr", keyed("abbr"))
-    for side, on in ((abbr, "abbr"), (limit, ["source", "chars"]), (limit_b, ["source", "bytes"])):
-        side = staged(side, "side")
-        # Broadcast only if counted and few; else a join, whose hot keys adaptive execution splits.
-        full = full.join(F.broadcast(side) if side.count() <= FEW else side, on, "left")
+    # Broadcast only if counted and few; else a join, whose hot keys adaptive execution splits.
+    full = full.join(_hinted(abbr, _few(abbr)), "abbr", "left")
+    few_limits = _few(limit)
+    for of in ("chars", "bytes"):
+        mine = limit.where(F.col("of") == of).select("source", F.col("length").alias(of), F.lit(True).alias(f"by_{of}"))
+        full = full.join(_hinted(mine, few_limits), ["source", of], "left")
     yes = lambda c: F.coalesce(c, F.lit(False))
     n = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("n", "a", "b", "c", "within", "as_last")}
     at_limit = yes(F.coalesce("by_chars", "by_bytes"))

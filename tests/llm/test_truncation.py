@@ -110,7 +110,7 @@ def test_flags_come_from_the_tries_and_the_limits(spark, monkeypatch):
     cut = [(1000 + i, t[: r.randint(20, len(t) - 2)], "forum") for i, t, _ in corpus(200, 3)]
     rows = corpus() + cut + [(3000, "It ran.\n```\nselect 1", "forum")]
     whole = {k for k, x in judged(spark, rows).items() if x.cut}
-    none = lambda finals, known, name, head=4: finals.select(name, F.lit(1).alias("below")).limit(0)
+    none = lambda finals, known, name, head=4, few=False: finals.select(name, F.lit(1).alias("below")).limit(0)
     monkeypatch.setattr(tr, "continued", none)
     half = {k for k, x in judged(spark, rows).items() if x.cut}
     assert len(half) < len(whole) * 0.7  # no trie of letters
