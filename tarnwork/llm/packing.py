@@ -31,7 +31,7 @@ TOKENIZERS, VOCABULARY = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
 #: number is set, as shards are small in bytes and would be put together in one.
 MOST_TASKS = 20_000
 #: Loss is rounded up to multiples of this, so that few sizes differ.
-STEP = 32
+STEP = 8
 # Fixed value: how that vocabulary cuts a text before its merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
