@@ -133,14 +133,18 @@ REASONS = ("cancelled", "completed", "failed", "interrupted", "snoozed")
 SET_STATE = "id bigint, state string, attempt int, error struct<at:timestamp_ntz,attempt:int,error:string,trace:string>, finalized_at timestamp_ntz, metadata string, scheduled_at timestamp_ntz"
 
 
-def set_state(jobs: DataFrame, batch: DataFrame, now: datetime) -> DataFrame:
+def _by_id(df: DataFrame, ordered: bool) -> DataFrame:
+    return df.orderBy("id") if ordered else df
+
+
+def set_state(jobs: DataFrame, batch: DataFrame, now: datetime, *, ordered: bool = False) -> DataFrame:
     """Ends the run of many jobs (columns of :data:`SET_STATE`).
 
     Only running jobs change state. One that is to be retried or scheduled but
     was told to cancel is cancelled now, keeping its attempt and time. Errors
     are appended in either case; metadata is merged even if the job isn't
     running. Unknown ids are passed over; unchanged jobs come back as well.
-    All come by id.
+    They come by id if ``ordered`` is asked for, which costs a sort.
     """
     b = batch.select(*(F.col(c).alias(f"__{c}") for c in ("id", "state", "attempt", "error", "finalized_at", "metadata", "scheduled_at")))
     met = jobs.join(b, jobs["id"] == b["__id"])
@@ -156,7 +160,7 @@ def set_state(jobs: DataFrame, batch: DataFrame, now: datetime) -> DataFrame:
         "scheduled_at": take("scheduled_at", moves),
         "state": F.when(cancels, "cancelled").when(running, F.col("__state")).otherwise(F.col("state")),
     }
-    return met.select(*(new[c].alias(c) if c in new else F.col(c) for c in jobs.columns)).orderBy("id")
+    return _by_id(met.select(*(new[c].alias(c) if c in new else F.col(c) for c in jobs.columns)), ordered)
 
 
 def reported(changed: DataFrame, batch: DataFrame) -> DataFrame:
@@ -170,17 +174,17 @@ def last_per_job(commands: DataFrame, order: str) -> DataFrame:
     return commands.groupBy("id").agg(F.max_by(rows, order).alias("r")).select("r.*")
 
 
-def rescue(jobs: DataFrame, batch: DataFrame) -> DataFrame:
+def rescue(jobs: DataFrame, batch: DataFrame, *, ordered: bool = False) -> DataFrame:
     """Rescued jobs: ``batch`` is (id, error, finalized_at, scheduled_at, state).
     The error is appended, and the count of rescues in the metadata grows by
-    one (from nought if it is no number)."""
+    one (from nought if it is no number). By id if ``ordered``."""
     b = batch.select("id", *(F.col(c).alias(f"__{c}") for c in ("error", "finalized_at", "scheduled_at", "state")))
     count = F.try_variant_get(F.try_parse_json("metadata"), f"$['{RESCUE_KEY}']", "variant")
     number = F.schema_of_variant(count).rlike("^(BIGINT|INT|DOUBLE|FLOAT|DECIMAL)")
     n = F.when(number, count.try_cast("double").cast("long")).otherwise(F.lit(0))
     merged = json_merge(F.col("metadata"), F.to_json(F.struct((F.coalesce(n, F.lit(0)) + 1).alias(RESCUE_KEY))))
     new = {"errors": append(F.col("errors"), F.col("__error")), "metadata": merged} | {c: F.col(f"__{c}") for c in ("finalized_at", "scheduled_at", "state")}
-    return jobs.join(b, "id").select(*(new[c].alias(c) if c in new else F.col(c) for c in jobs.columns)).orderBy("id")
+    return _by_id(jobs.join(b, "id").select(*(new[c].alias(c) if c in new else F.col(c) for c in jobs.columns)), ordered)
 
 
 def expired(jobs: DataFrame, horizons: dict[str, datetime], most: int | None = 10_000, *, excluded: list[str] | None = None, included: list[str] | None = None) -> DataFrame:

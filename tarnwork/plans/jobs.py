@@ -12,6 +12,7 @@ from tarnwork import functions as fn
 from tarnwork.model import LEADER, STATES, broken_rules
 from tarnwork.operators import commands, machine, reads
 from tarnwork.operators.listing import JobFilter
+from tarnwork.runtime import staged
 from tarnwork.sources import distinct_rows, table
 from tarnwork.streaming.operators import job_events
 
@@ -277,7 +278,7 @@ _WHOLE = ["id", "args", "attempt", "attempted_at", "attempted_by", "created_at",
 
 def _inserted(spark: SparkSession, d: str) -> DataFrame:
     """Every job with a unique key is inserted again, as a new available one."""
-    jobs = _jobs(spark, d, *_WHOLE)
+    jobs = staged(_jobs(spark, d, *_WHOLE), "jobs")  # read by different columns
     again = jobs.where("unique_key IS NOT NULL").select(F.col("id").alias("ordinal"), "args", "kind", "queue", "priority", "tags", "unique_key", "unique_states")
     return commands.insert(jobs, again, NOW)
 

@@ -297,3 +297,12 @@ def test_events_follow_the_reasons(spark):
     got = {r.id: (r.event, r.state) for r in job_events(c.reported(c.set_state(jobs, changes, NOW), changes)).collect()}
     assert got == {1: ("job_completed", "completed"), 2: ("job_failed", "available"), 3: ("job_snoozed", "available"), 4: ("job_interrupted", "available"), 5: ("job_cancelled", "cancelled"), 6: ("job_snoozed", "scheduled")}
     assert job_events(table(spark, job(1, "scheduled"))).count() == 0
+
+
+def test_changes_come_by_id_where_asked(spark):
+    ids = [9, 2, 7, 1, 8, 3]
+    jobs = table(spark, *(job(i, "running") for i in ids)).repartition(3)
+    changes = spark.createDataFrame([(i, "completed", None, None, NOW, None, None) for i in ids], c.SET_STATE)
+    assert [r.id for r in c.set_state(jobs, changes, NOW, ordered=True).collect()] == sorted(ids)
+    batch = spark.createDataFrame([(i, (NOW, 1, "stuck", ""), None, NOW, "retryable") for i in ids], "id long, error struct<at:timestamp_ntz,attempt:int,error:string,trace:string>, finalized_at timestamp_ntz, scheduled_at timestamp_ntz, state string")
+    assert [r.id for r in c.rescue(jobs, batch, ordered=True).collect()] == sorted(ids)
