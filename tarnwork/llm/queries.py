@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,7 +126,10 @@ def _percentile_sql(levels: str) -> str:
 
 
 _LEVELS = f"SELECT 0 AS level, queue, CAST(NULL AS VARCHAR) AS day, wait_us FROM {_WAITS} UNION ALL SELECT 1 AS level, queue, day, wait_us FROM {_WAITS}"
+_GROW = math.log((1 + 0.005) / (1 - 0.005))
+_ROUNDED = f"CASE WHEN abs(wait_us) <= 200 THEN wait_us ELSE CAST(sign(wait_us) AS BIGINT) * CAST(round(exp(floor(ln(CAST(abs(wait_us) AS DOUBLE)) / {_GROW!r}) * {_GROW!r}) * 1.005) AS BIGINT) END"
 SQL = {
+    "p2_wait_bounded": _percentile_sql(f"SELECT level, queue, day, {_ROUNDED} AS wait_us FROM ({_LEVELS})"),
     "p2_wait_percentiles": _percentile_sql(_LEVELS),
     "p2_wait_merged": _percentile_sql(_LEVELS),
     "p6_limits": "SELECT count(text) AS texts, 0 AS missing, 0 AS repeated, 0 AS cut_short, 0 AS over_tokens, 0 AS over_segments, 0 AS over_loss, true AS tight FROM documents",
