@@ -306,3 +306,11 @@ def test_changes_come_by_id_where_asked(spark):
     assert [r.id for r in c.set_state(jobs, changes, NOW, ordered=True).collect()] == sorted(ids)
     batch = spark.createDataFrame([(i, (NOW, 1, "stuck", ""), None, NOW, "retryable") for i in ids], "id long, error struct<at:timestamp_ntz,attempt:int,error:string,trace:string>, finalized_at timestamp_ntz, scheduled_at timestamp_ntz, state string")
     assert [r.id for r in c.rescue(jobs, batch, ordered=True).collect()] == sorted(ids)
+
+
+def test_split_lists(spark):
+    from tarnwork.functions import split_list
+
+    df = spark.createDataFrame([("a,b",), ("",), (None,), ("x.y",)], "t string")
+    assert [r[0] for r in df.select(split_list(F.col("t"))).collect()] == [["a", "b"], [], None, ["x.y"]]
+    assert df.select(split_list(F.col("t"), ".")).collect()[3][0] == ["x", "y"]

@@ -206,3 +206,13 @@ def test_records_come_from_the_intervals(monkeypatch):
     monkeypatch.setattr(nested, "holders", lambda posts: [-1] * len(posts))
     off = labelled(CASES[0]).rows
     assert not any(r[1].endswith(nested.ELEMENT) or r[2] or r[6] for r in off)
+
+
+def test_every_kind_is_written_as_a_table(spark, tmp_path):
+    df = spark.createDataFrame([(1, CASES[0]), (2, CASES[1]), (3, '{"a": [{"Key": 1, "key": 2, "pos": 3, "pos_": 4}]}')], "id long, args string")
+    links = nested.tables(df, "id", ["args"])
+    assert nested.write_tables(links, str(tmp_path / "out")) == ["args.a", "args.a.b"]
+    b = spark.read.parquet(str(tmp_path / "out" / "args.a.b"))
+    assert sorted((r.key, r.pos, r.parent_pos, r.c) for r in b.collect()) == [(1, "0.0", "0", "1"), (1, "0.2", "0", "2"), (2, "0.0", "0", "3")]
+    a = spark.read.parquet(str(tmp_path / "out" / "args.a")).where("key = 3").first().asDict()
+    assert len(a) == 9 and sorted(v for k, v in a.items() if k.rstrip("_").lower() in ("key", "pos") and k not in ("key", "pos")) == ["1", "2", "3", "4"]

@@ -114,3 +114,19 @@ def test_completers(spark, tmp_path):
     bad.give(spark.range(1))
     with pytest.raises(Exception):
         bad.close()
+
+
+def test_run_every_calls_with_the_time(spark, tmp_path):
+    import time
+
+    from tarnwork.streaming import run_every
+
+    seen = []
+    run = run_every(spark, 0.2, str(tmp_path / "ticks"), seen.append)
+    try:
+        until = time.monotonic() + 30
+        while len(seen) < 2 and time.monotonic() < until:
+            time.sleep(0.1)
+    finally:
+        run.stop()
+    assert len(seen) >= 2 and seen == sorted(seen)
