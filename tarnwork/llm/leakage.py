@@ -55,7 +55,7 @@ class Leak:
     cosine: float = 0.7
     seed: int = 17
     #: Least cosine of a ball's passages to its middle.
-    ball: float = 0.75
+    ball: float = 0.9
     #: Words of items held at once by driver and tasks; more are taken in blocks. What is sent to a task, and the
     #: matrix that comes back, take about 1,000 bytes a word of the block at most.
     block: int = 100_000
