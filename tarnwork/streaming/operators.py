@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,10 @@ from tarnwork.runtime import micros
 
 # Kinds of events.
 EVENTS = ["job_cancelled", "job_completed", "job_failed", "job_interrupted", "job_snoozed", "queue_metadata_changed", "queue_paused", "queue_resumed"]
+#: States that running jobs share in :func:`stuck`. A stream's checkpoint holds for one number only.
+BUCKETS = 1024
+# The bucket of jobs without id, and the places of a row's state: before and behind running are others.
+_NO_ID, _RUNNING, _UNKNOWN = -1, 0, 9
 
 
 def cooldown(stream: DataFrame, key: str, ts: str, seconds: float, late: str = "0 seconds") -> DataFrame:
@@ -49,33 +54,45 @@ def cooldown(stream: DataFrame, key: str, ts: str, seconds: float, late: str = "
 def stuck(updates: DataFrame, after_seconds: float, ts: str = "at", late: str = "0 seconds") -> DataFrame:
     """Jobs that have been running for ``after_seconds``, by event time: (id,
     attempted_at). ``updates`` is a stream of (id, state, attempted_at, ``ts``).
-    A job that ends before its time is up drops its state."""
+    A job that ends before its time is up drops its state. A batch's rows of a
+    job go in order of time, then of state; the last one holds.
+
+    Jobs share :data:`BUCKETS` states by the hash of their id, each with the ids
+    and begins of its running jobs and a timer for the first that is due, so a
+    call of Python serves a bucket of jobs."""
+    us = int(after_seconds * 1_000_000)
+    none = np.empty(0, "<i8")
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            (begun,) = state.get
-            state.remove()
-            yield pd.DataFrame({"id": [k[0]], "us": [begun]})
-            return
-        rows = sorted((t, s, a) for f in frames for t, s, a in zip(f["us"], f["state"], f["begun"], strict=True))
-        out = []
-        for _, s, a in rows:
-            if s != "running":
-                if state.exists:
-                    state.remove()
-            elif a == a:
-                state.update((int(a),))
-        if state.exists:
-            due = (state.get[0] + int(after_seconds * 1e6)) // 1000
-            if due <= state.getCurrentWatermarkMs():
-                out.append(state.get[0])
+        ids, begun = (np.frombuffer(x, "<i8") for x in state.get) if state.exists else (none, none)
+        if not state.hasTimedOut:
+            key, at, order, start = (np.concatenate(x) for x in zip(*([f[c].to_numpy() for c in ("job", "us", "order", "begun")] for f in frames), strict=True))
+            by = np.lexsort((start, order, at, key))
+            by = by[order[by] != _UNKNOWN]
+            last = by[np.append(key[by][1:] != key[by][:-1], True)] if len(by) else by
+            kept, runs = ~np.isin(ids, key[last]), last[order[last] == _RUNNING]
+            ids, begun = np.concatenate([ids[kept], key[runs]]), np.concatenate([begun[kept], start[runs]])
+        due, now = (begun + us) // 1000, state.getCurrentWatermarkMs()
+        over = due < now
+        if over.all():
+            if state.exists:
                 state.remove()
-            else:
-                state.setTimeoutTimestamp(due)
-        yield pd.DataFrame({"id": [k[0]] * len(out), "us": out}).astype({"us": "int64"})
-
-    src = updates.withColumn("__ts", F.col(ts).cast("timestamp")).withWatermark("__ts", late).select("id", "state", "__ts", F.unix_micros("__ts").alias("us"), F.unix_micros(F.col("attempted_at").cast("timestamp")).alias("begun"))
-    out = src.groupBy("id").applyInPandasWithState(step, "id bigint, us bigint", "begun bigint", "append", GroupStateTimeout.EventTimeTimeout)
+        else:
+            state.update((ids[~over].astype("<i8").tobytes(), begun[~over].astype("<i8").tobytes()))
+            state.setTimeoutTimestamp(max(1, int(due[~over].min())))
+        if over.any():
+            # Nullable, for the worker pads what it sends with nulls, which makes plain integers floats.
+            jobs = ids[over] if k[0] != _NO_ID else [None] * int(over.sum())
+            yield pd.DataFrame({"id": pd.array(jobs, "Int64"), "us": pd.array(begun[over], "Int64")})
+
+    # All of a job's columns are numbers that are never null, which pandas keeps exact.
+    begin, job = F.unix_micros(F.col("attempted_at").cast("timestamp")), F.col("id").cast("long")
+    running = F.col("state") == "running"
+    order = F.when(running & begin.isNull(), _UNKNOWN).when(running, _RUNNING).when(F.col("state") > "running", _RUNNING + 1).otherwise(_RUNNING - 1)
+    bucket = F.when(job.isNull(), _NO_ID).otherwise(F.pmod(F.xxhash64(job), F.lit(BUCKETS)).cast("int"))
+    known = [F.coalesce(job, F.lit(0)).alias("job"), F.coalesce(F.unix_micros("__ts"), F.lit(-(2**63))).alias("us"), order.alias("order"), F.coalesce(begin, F.lit(0)).alias("begun")]
+    src = updates.withColumn("__ts", F.col(ts).cast("timestamp")).withWatermark("__ts", late).select(bucket.alias("bucket"), "__ts", *known)
+    out = src.groupBy("bucket").applyInPandasWithState(step, "id bigint, us bigint", "ids binary, begun binary", "append", GroupStateTimeout.EventTimeTimeout)
     return out.select("id", F.timestamp_micros("us").cast("timestamp_ntz").alias("attempted_at"))
 
 

@@ -10,6 +10,7 @@ from tarnwork.plans.streams import QUERIES, drained
 from tarnwork.sources.store import Store
 from tarnwork.streaming import complete_from, cooldown, cycle, stuck
 from tarnwork.streaming.loops import Breaker, Settings
+from tarnwork.streaming.operators import BUCKETS
 from tests.conftest import DATA
 from tests.oracle import assert_same
 from tests.test_commands import NOW, OLD, by_id, job, table
@@ -36,6 +37,34 @@ def test_stuck_jobs_come_out_by_event_time(spark, tmp_path):
     assert [(r.id, r.attempted_at) for r in got] == [(1, OLD)]
 
 
+UPDATES = "id long, state string, attempted_at timestamp_ntz, at timestamp_ntz"
+
+
+def test_stuck_jobs_share_states(spark, tmp_path):
+    many, ended = 3000, {7, 2999}
+    rows = [(i, "running", OLD, OLD) for i in range(many)] + [(i, "completed", OLD, OLD + timedelta(minutes=5)) for i in ended] + [(many, "running", NOW, NOW)]
+    src = stuck(stream(spark, tmp_path, [rows], UPDATES), 3600.0)
+    run = src.writeStream.format("memory").queryName("stuck_shared").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    got = [r.id for r in spark.table("stuck_shared").collect()]
+    assert sorted(got) == [i for i in range(many) if i not in ended]
+    assert 0 < max(o.numRowsTotal for p in run.recentProgress for o in p.stateOperators) <= BUCKETS
+
+
+def test_stuck_jobs_over_batches(spark, tmp_path):
+    big, at = 2**62 + 1, lambda m: OLD + timedelta(minutes=m)
+    batches = [
+        [(1, "running", OLD, OLD), (2, "running", OLD, OLD), (3, "running", OLD, OLD), (3, "running", OLD, OLD), (big, "running", OLD, OLD), (None, "running", at(1), at(1)), (4, "running", None, at(1)), (8, None, OLD, at(1))],
+        [(2, "completed", OLD, at(30)), (5, "retryable", at(20), at(31)), (5, "running", at(32), at(32)), (3, "running", None, at(33)), (6, "running", at(33), at(33)), (6, "cancelled", at(33), at(34))],
+        [(1, "running", at(40), at(40)), (7, "running", at(40), at(40))],
+        [(9, "running", at(100), at(100))],  # the timer of 7 is due just then, which is not past
+        [(10, "running", at(101), at(101))],
+    ]
+    got = drained(stuck(stream(spark, tmp_path, batches, UPDATES), 3600.0), "t").collect()
+    want = [(1, at(40)), (3, OLD), (5, at(32)), (7, at(40)), (big, OLD), (None, at(1))]
+    assert sorted(((r.id, r.attempted_at) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_statistics_give_every_day(spark):
     small = DATA / "sf0.001"
     assert_same(QUERIES["stream_statistics"](spark, str(small)), job_queries.SQL["q_job_stats_daily"], small)
